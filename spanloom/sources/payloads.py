@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_uuid, content_id, is_uuid
-from ..functions.times import parse_rfc3339
-from ..signals import NIL_UUID, SIGNALS, U32_MAX, Signal, zero_value
+from ..functions.times import is_rfc3339, parse_rfc3339
+from ..signals import NIL_UUID, SIGNALS, SPARK_TYPES, U32_MAX, Signal, zero_value
 
 # Worst element decides the status of its payload, so order matters.
 STATUSES = ("ok", "bad_timestamp", "out_of_range", "invalid_json")
@@ -51,137 +51,144 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _number(x: Column, kind: Column) -> Column:
-    finite = F.abs(F.try_variant_get(x, "$", "double")) < F.lit(float("inf"))
-    return F.when((kind == "BIGINT") | kind.startswith("DECIMAL") | ((kind == "DOUBLE") & finite), OK).otherwise(INVALID)
+# JSON readers that take standard JSON only.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+# How a field is read as a typed value. Its JSON type is judged apart, because a
+# typed reader turns a number into text and ``"1"`` into 1 without a word.
+_READ_AS = {
+    "text": "string", "uuid": "string", "time": "string", "time?": "string", "u32": "bigint", "u64": "bigint",
+    "double": "double", "doubles": "array<double>", "u64s": "array<bigint>", "labels": "map<string,string>",
+}
 
 
-def _unsigned(x: Column, kind: Column, limit: int | None) -> Column:
-    small = F.try_variant_get(x, "$", "bigint")
-    fits = (kind == "BIGINT") & (small >= 0)
+def _present(x: Column, t: Column, raw: Column, kind: str) -> Column:
+    """Status and value of a field that is there: ``t`` its JSON type, ``raw`` as the typed reader saw it."""
+
+    def read(status: Column, value: Column) -> Column:
+        return F.struct(status.alias("status"), value.cast(SPARK_TYPES[kind]).alias("value"))
+
+    is_text = t == "STRING"
+    if kind == "text":
+        return read(F.when(is_text, OK).otherwise(INVALID), raw)
+    if kind == "uuid":
+        return read(F.when(is_text & is_uuid(raw), OK).otherwise(INVALID), canonical_uuid(raw))
+    if kind in ("time", "time?"):
+        return _let(
+            F.when(is_text & is_rfc3339(raw), parse_rfc3339(raw)),
+            lambda at: read(F.when(at.isNotNull(), OK).otherwise(INVALID), at),
+        )
+    if kind in ("u32", "u64"):
+        return read(_unsigned_status(x, t, raw, U32_MAX if kind == "u32" else None), raw)
+    if kind == "double":
+        return read(_number_status(t, raw), raw)
+    if kind in ("doubles", "u64s"):
+        # Typed items stand at the same places as the untyped ones.
+        items = F.try_variant_get(x, "$", "array<variant>")
+        check = _number_status if kind == "doubles" else None
+        codes = F.zip_with(
+            items, raw,
+            lambda y, r: _let(
+                F.schema_of_variant(y),
+                lambda k: F.when(k.isNull() | (k == "VOID"), OK).otherwise(
+                    check(k, r) if check else _unsigned_status(y, k, r)
+                ),
+            ),
+        )
+        zero = F.lit(0.0) if kind == "doubles" else F.lit(0).cast("bigint")
+        worst = F.when(items.isNull(), INVALID).otherwise(F.coalesce(F.array_max(codes), F.lit(OK)))
+        return read(worst, F.transform(raw, lambda r: F.coalesce(r, zero)))
+    if kind == "labels":
+        return _let(F.try_variant_get(x, "$", "map<string,variant>"), lambda m: read(_labels_status(m), _labels(x, m, raw)))
+    raise ValueError(f"unknown column kind {kind!r}")
+
+
+def _number_status(t: Column, raw: Column) -> Column:
+    finite = F.abs(raw) < F.lit(float("inf"))
+    return F.when((t == "BIGINT") | t.startswith("DECIMAL") | ((t == "DOUBLE") & finite), OK).otherwise(INVALID)
+
+
+def _unsigned_status(x: Column, t: Column, raw: Column, limit: int | None = None) -> Column:
+    fits = (t == "BIGINT") & (raw >= 0)
     if limit is not None:
-        return F.when(fits & (small <= limit), OK).otherwise(INVALID)
+        return F.when(fits & (raw <= limit), OK).otherwise(INVALID)
     wide = F.try_variant_get(x, "$", "decimal(38,0)")
-    above = kind.rlike(r"^DECIMAL\(\d+,0\)$") & wide.between(
+    above = t.rlike(r"^DECIMAL\(\d+,0\)$") & wide.between(
         F.lit(str(2**63)).cast("decimal(38,0)"), F.lit(str(2**64 - 1)).cast("decimal(38,0)")
     )
     return F.when(fits, OK).when(above, OUT_OF_RANGE).otherwise(INVALID)
 
 
-def _each(items: Column, check: Callable[[Column, Column], Column]) -> Column:
-    """Worst status over a list; null items read as the zero value."""
-    worst = F.array_max(
-        F.transform(
-            items,
-            lambda y: _let(
-                F.schema_of_variant(y),
-                lambda k: F.when(k.isNull() | (k == "VOID"), OK).otherwise(check(y, k)),
-            ),
-        )
-    )
-    return F.when(items.isNull(), INVALID).otherwise(F.coalesce(worst, F.lit(OK)))
-
-
-def _field_status(element: Column, name: str, kind: str) -> Column:
-    """Status of one field of one element."""
-
-    def check(x: Column, t: Column) -> Column:
-        text = F.try_variant_get(x, "$", "string")
-        if kind == "text":
-            found = F.when(t == "STRING", OK).otherwise(INVALID)
-        elif kind == "uuid":
-            found = F.when((t == "STRING") & is_uuid(text), OK).otherwise(INVALID)
-        elif kind in ("time", "time?"):
-            found = F.when((t == "STRING") & parse_rfc3339(text).isNotNull(), OK).otherwise(INVALID)
-        elif kind == "u32":
-            found = _unsigned(x, t, U32_MAX)
-        elif kind == "u64":
-            found = _unsigned(x, t, None)
-        elif kind == "double":
-            found = _number(x, t)
-        elif kind == "doubles":
-            found = _each(F.try_variant_get(x, "$", "array<variant>"), _number)
-        elif kind == "u64s":
-            found = _each(F.try_variant_get(x, "$", "array<variant>"), lambda y, k: _unsigned(y, k, None))
-        elif kind == "labels":
-            found = _each(
-                F.map_values(F.try_variant_get(x, "$", "map<string,variant>")),
-                lambda y, k: F.when(k == "STRING", OK).otherwise(INVALID),
-            )
-        else:
-            raise ValueError(f"unknown column kind {kind!r}")
-        absent = F.lit(BAD_TIMESTAMP if kind == "time" else OK)
-        return F.when(t.isNull() | (t == "VOID"), absent).otherwise(found)
+def _labels_status(labels: Column) -> Column:
+    kinds = F.transform(F.map_values(labels), lambda v: F.schema_of_variant(v))
+    texts = F.forall(kinds, lambda k: k.isNull() | k.isin("STRING", "VOID"))
+    return F.when(texts, OK).otherwise(INVALID)
 
+
+def _labels(x: Column, labels: Column, raw: Column) -> Column:
+    """Label map without NULLs; the typed reader keeps repeated keys, the last of which counts."""
+    unique = F.when(F.size(labels) == F.size(raw), raw).otherwise(F.try_variant_get(x, "$", "map<string,string>"))
+    return F.transform_values(unique, lambda _, v: F.coalesce(v, F.lit("")))
+
+
+def _field(x: Column, raw: Column, kind: str) -> Column:
+    """Struct (status, value) of one field of one element."""
+    absent = F.struct(
+        F.lit(BAD_TIMESTAMP if kind == "time" else OK).alias("status"), zero_value(kind).alias("value")
+    )
     return _let(
-        F.try_variant_get(element, f"$.{name}", "variant"),
-        lambda x: _let(F.schema_of_variant(x), lambda t: check(x, t)),
+        F.schema_of_variant(x),
+        lambda t: F.when(t.isNull() | (t == "VOID"), absent).otherwise(_present(x, t, raw, kind)),
     )
 
 
-def _element_status(element: Column, signal: Signal) -> Column:
-    fields = F.greatest(*[_field_status(element, n, k) for n, k in signal.wire_columns.items()])
-    return F.when(F.schema_of_variant(element).startswith("OBJECT"), fields).otherwise(INVALID)
+def _element(kinds: Column, typed: Column, signal: Signal) -> Column:
+    """Struct (status, row) of one element, read twice: as untyped fields and as typed ones."""
+    names = list(signal.wire_columns)
+    fields = F.struct(*[_field(kinds[n], typed[n], k).alias(n) for n, k in signal.wire_columns.items()])
+    return _let(
+        fields,
+        lambda read: F.struct(
+            # An element that is null instead of an object.
+            F.when(kinds.isNull(), INVALID).otherwise(F.greatest(*[read[n]["status"] for n in names])).alias("status"),
+            F.struct(*[read[n]["value"].alias(n) for n in names]).alias("row"),
+        ),
+    )
 
 
 def decode(payloads: DataFrame, signal: str) -> DataFrame:
-    """One row per payload: payload_id, source, value, signal, status, n_rows, elements."""
+    """One row per payload: payload_id, source, value, signal, status, n_rows, elements.
+
+    ``elements`` holds a (status, row) struct per element, rows typed. A lone
+    object reads as a list of one.
+    """
     spec = SIGNALS[signal]
+    wire = spec.wire_columns
+    untyped = F.from_json("value", "array<struct<" + ",".join(f"`{n}`: variant" for n in wire) + ">>", _STRICT)
+    typed = F.from_json("value", "array<struct<" + ",".join(f"`{n}`: {_READ_AS[k]}" for n, k in wire.items()) + ">>", _STRICT)
 
-    def judge(v: Column, elements: Column) -> Column:
-        codes = F.array_max(F.transform(elements, lambda e: _element_status(e, spec)))
+    def judge(elements: Column) -> Column:
+        worst = F.array_max(F.transform(elements, lambda e: e["status"]))
         status = (
-            F.when(v.isNull(), "invalid_json")
-            .when(F.is_variant_null(v) | (F.size(elements) == 0), "empty")
-            .otherwise(F.element_at(F.array(*[F.lit(s) for s in STATUSES]), codes + 1))
+            F.when(F.size(elements) == 0, "empty")
+            .when(elements.isNotNull(), F.element_at(F.array(*[F.lit(s) for s in STATUSES]), worst + 1))
+            .when(F.col("value").rlike(r"^[ \t\r\n]*null(?![A-Za-z0-9_])"), "empty")
+            .otherwise("invalid_json")
         )
         return F.struct(status.alias("status"), F.coalesce(F.size(elements), F.lit(0)).alias("n_rows"), elements.alias("elements"))
 
-    def split(v: Column) -> Column:
-        many = F.try_variant_get(v, "$", "array<variant>")
-        return _let(F.when(many.isNotNull(), many).when(v.isNotNull(), F.array(v)), lambda items: judge(v, items))
-
-    # inline() keeps the result of the one parse: filters on status cannot be
+    # inline() keeps the result of the one reading: filters on status cannot be
     # moved below it and repeat the work.
-    judged = F.transform(F.array(F.try_parse_json(F.col("value"))), split)
+    judged = F.transform(F.array(F.zip_with(untyped, typed, lambda u, t: _element(u, t, spec))), judge)
     return payloads.select(
         "payload_id", "source", "value", F.lit(signal).alias("signal"), F.inline(judged)
     )
 
 
-def _value(element: Column, name: str, kind: str) -> Column:
-    at = f"$.{name}"
-    if kind == "text":
-        found = F.try_variant_get(element, at, "string")
-    elif kind == "uuid":
-        found = canonical_uuid(F.try_variant_get(element, at, "string"))
-    elif kind in ("time", "time?"):
-        found = parse_rfc3339(F.try_variant_get(element, at, "string"))
-    elif kind in ("u64", "u32"):
-        found = F.try_variant_get(element, at, "bigint")
-    elif kind == "double":
-        found = F.try_variant_get(element, at, "double")
-    elif kind == "doubles":
-        found = F.transform(F.try_variant_get(element, at, "array<double>"), lambda x: F.coalesce(x, F.lit(0.0)))
-    elif kind == "u64s":
-        found = F.transform(F.try_variant_get(element, at, "array<bigint>"), lambda x: F.coalesce(x, F.lit(0)))
-    elif kind == "labels":
-        found = F.transform_values(
-            F.try_variant_get(element, at, "map<string,string>"), lambda _, x: F.coalesce(x, F.lit(""))
-        )
-    else:
-        raise ValueError(f"unknown column kind {kind!r}")
-    return F.coalesce(found, zero_value(kind))
-
-
 def accepted_rows(decoded: DataFrame, signal: str) -> DataFrame:
     """Typed rows of the payloads that were taken, ids filled in."""
     spec = SIGNALS[signal]
     taken = decoded.select("payload_id", F.posexplode(F.when(F.col("status") == "ok", F.col("elements"))).alias("_pos", "_e"))
-    typed = taken.select(
-        "payload_id", "_pos", *[_value(F.col("_e"), n, k).alias(n) for n, k in spec.wire_columns.items()]
-    )
-    return fill_ids(typed, signal).select(*spec.columns)
+    return fill_ids(taken.select("payload_id", "_pos", "_e.row.*"), signal).select(*spec.columns)
 
 
 def fill_ids(rows: DataFrame, signal: str) -> DataFrame:
