@@ -30,7 +30,12 @@ def tune(spark: SparkSession) -> SparkSession:
 
 def build_session(app: str = "spanloom", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the runtime settings; ``conf`` keys may use ``__`` for a dot."""
-    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = (
+        SparkSession.builder.appName(app)
+        .config("spark.ui.enabled", "false")
+        # Call sites in error messages cost several driver round trips per column.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+    )
     if master:
         builder = builder.master(master)
     for key, value in {**RUNTIME_SETTINGS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():

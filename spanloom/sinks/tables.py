@@ -35,7 +35,8 @@ def write_signal(df: DataFrame, signal: str, path: str, batch: str | None = None
         with_day(df.select(*spec.columns))
         .withColumn("batch", F.lit(label))
         .hint("rebalance", "dt")
-        .sortWithinPartitions("dt", *spec.sort_key)
+        # Folder columns first, or the writer would sort by them again and lose the rest.
+        .sortWithinPartitions("dt", "batch", *spec.sort_key)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", COMPRESSION)

@@ -82,16 +82,19 @@ def _present(x: Column, t: Column, raw: Column, kind: str) -> Column:
     if kind == "double":
         return read(_number_status(t, raw), raw)
     if kind in ("doubles", "u64s"):
-        # Typed items stand at the same places as the untyped ones.
+        # One bad item makes the typed list NULL, so items are judged one by one.
         items = F.try_variant_get(x, "$", "array<variant>")
-        check = _number_status if kind == "doubles" else None
-        codes = F.zip_with(
-            items, raw,
-            lambda y, r: _let(
+
+        def item_status(y: Column, k: Column) -> Column:
+            if kind == "doubles":
+                return _number_status(k, F.try_variant_get(y, "$", "double"))
+            return _unsigned_status(y, k, F.try_variant_get(y, "$", "bigint"))
+
+        codes = F.transform(
+            items,
+            lambda y: _let(
                 F.schema_of_variant(y),
-                lambda k: F.when(k.isNull() | (k == "VOID"), OK).otherwise(
-                    check(k, r) if check else _unsigned_status(y, k, r)
-                ),
+                lambda k: F.when(k.isNull() | (k == "VOID"), OK).otherwise(item_status(y, k)),
             ),
         )
         zero = F.lit(0.0) if kind == "doubles" else F.lit(0).cast("bigint")
