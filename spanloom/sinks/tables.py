@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import day_key
@@ -19,6 +19,15 @@ from ..signals import SIGNALS
 COMPRESSION = "zstd"
 
 
+def batch_column(label: str) -> Column:
+    """The batch label, written so that it is not a constant to the optimizer.
+
+    A constant drops out of the sort order. The writer would then miss it there
+    and sort each task's rows by folder alone, which loses the clustering.
+    """
+    return F.when(F.col("dt") > 0, F.lit(label))
+
+
 def with_day(df: DataFrame) -> DataFrame:
     return df.withColumn("dt", day_key("timestamp"))
 
@@ -33,7 +42,7 @@ def write_signal(df: DataFrame, signal: str, path: str, batch: str | None = None
     label = batch or uuid.uuid4().hex
     (
         with_day(df.select(*spec.columns))
-        .withColumn("batch", F.lit(label))
+        .withColumn("batch", batch_column(label))
         .hint("rebalance", "dt")
         # Folder columns first, or the writer would sort by them again and lose the rest.
         .sortWithinPartitions("dt", "batch", *spec.sort_key)
