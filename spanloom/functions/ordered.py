@@ -28,16 +28,19 @@ def running_total(
     """
     by = list(by)
     sliced = df.withColumn("_slice", slot(ts, slice_seconds))
-    totals = sliced.groupBy(*by, "_slice").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    totals = sliced.groupBy(*by, "_slice").agg(*[F.sum(v).alias(v) for v in values])
     earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # What the slices before amount to enters a slice as its first row.
     carried = totals.select(
-        *by, "_slice", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_c_{v}") for v in values]
+        *by, "_slice", F.lit(0).alias("_kind"), *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(v) for v in values]
     )
-    inside = Window.partitionBy(*by, "_slice").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    local = sliced.withColumns({f"_w_{v}": F.sum(v).over(inside) for v in values})
-    keep = [c for c in df.columns if c not in values]
-    return local.join(carried, [*by, "_slice"]).select(
-        *keep, *[(F.col(f"_w_{v}") + F.col(f"_c_{v}")).alias(v) for v in values]
+    inside = Window.partitionBy(*by, "_slice").orderBy("_kind", ts).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        sliced.withColumn("_kind", F.lit(1))
+        .unionByName(carried, allowMissingColumns=True)
+        .withColumns({v: F.sum(v).over(inside) for v in values})
+        .filter("_kind = 1")
+        .select(*df.columns)
     )
 
 
@@ -49,14 +52,17 @@ def previous(
     ``df`` has one row per (by, ts).
     """
     by = list(by)
-    sliced = df.withColumn("_slice", slot(ts, slice_seconds))
-    last = sliced.groupBy(*by, "_slice").agg(F.max_by(F.struct(*values), F.col(ts)).alias("_last"))
+    sliced = df.withColumn("_slice", slot(ts, slice_seconds)).withColumn("_v", F.struct(*values))
+    last = sliced.groupBy(*by, "_slice").agg(F.max_by("_v", F.col(ts)).alias("_v"))
     slices = Window.partitionBy(*by).orderBy("_slice")
-    carried = last.select(*by, "_slice", F.lag("_last").over(slices).alias("_carry"))
-    inside = Window.partitionBy(*by, "_slice").orderBy(ts)
-    local = sliced.withColumn("_prev", F.lag(F.struct(*values)).over(inside))
-    return local.join(carried, [*by, "_slice"]).select(
-        *df.columns, *[F.coalesce(F.col("_prev"), F.col("_carry")).getField(v).alias(f"prev_{v}") for v in values]
+    carried = last.select(*by, "_slice", F.lit(0).alias("_kind"), F.lag("_v").over(slices).alias("_v"))
+    inside = Window.partitionBy(*by, "_slice").orderBy("_kind", ts)
+    return (
+        sliced.withColumn("_kind", F.lit(1))
+        .unionByName(carried, allowMissingColumns=True)
+        .withColumn("_prev", F.lag("_v").over(inside))
+        .filter("_kind = 1")
+        .select(*df.columns, *[F.col("_prev").getField(v).alias(f"prev_{v}") for v in values])
     )
 
 
@@ -77,8 +83,6 @@ def asof_lookup(
     split by ``spread``; the timeline rows of that slice are copied to each part.
     """
     by = list(by)
-    # The instant a timeline row stands for comes along, so a value column may
-    # be the timestamp itself.
     pts = points.withColumn("_slice", slot(point_ts, slice_seconds))
     line = timeline.select(
         *by, slot(timeline_ts, slice_seconds).alias("_slice"), F.col(timeline_ts).alias("_at"), F.struct(*values).alias("_v")
@@ -86,7 +90,8 @@ def asof_lookup(
 
     # Latest value before each slice that has points.
     last = line.groupBy(*by, "_slice").agg(F.max_by("_v", "_at").alias("_v"))
-    wanted = pts.select(*by, "_slice").distinct()
+    per_slice = pts.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = per_slice.select(*by, "_slice")
     marks = last.withColumn("_wanted", F.lit(False)).unionByName(
         wanted.withColumn("_wanted", F.lit(True)), allowMissingColumns=True
     )
@@ -98,7 +103,7 @@ def asof_lookup(
     )
 
     keys = [*by, "_slice"]
-    hot = hot_buckets(pts, keys, rows_per_task=rows_per_task)
+    hot = hot_buckets(per_slice, keys, weight="_n", rows_per_task=rows_per_task)
     known = copy_rows(line.withColumn("_kind", F.lit(1)).unionByName(carried), keys, hot)
     asked = split_rows(pts, keys, spread, hot).withColumns({"_at": F.col(point_ts), "_kind": F.lit(2)})
     order = Window.partitionBy(*keys, "_part").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
