@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .spread import hot_buckets, lookup_join
 
 # Bands per factor e of the value: neighbouring bands differ by about 1.6 %.
@@ -22,14 +23,15 @@ def value_band(value: Column) -> Column:
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
     """One row per group with the smallest value whose rank reaches ``q * n``.
 
-    Two narrow passes. The first counts rows per band, a few thousand bands per
-    group however many rows there are, and finds the band each quantile lies
-    in. The second looks only at rows of those bands.
+    Two narrow passes. The first runs at once: it counts rows per band, a few
+    thousand bands per group however many rows there are. The second looks only
+    at rows of the bands a quantile lies in; with few groups those bands are
+    broadcast, so the rows themselves are never shuffled.
     """
     by = list(by)
     rows = df.select(*by, F.col(value).alias("_value")).withColumn("_band", value_band(F.col("_value")))
 
-    bands = rows.groupBy(*by, "_band").agg(F.count(F.lit(1)).alias("_n"))
+    bands = written(rows.groupBy(*by, "_band").agg(F.count(F.lit(1)).alias("_n")), "quantile-bands")
     upto = Window.partitionBy(*by).orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy(*by)
     wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("q")) for n, q in quantiles.items()])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,13 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def instant(at: datetime | str) -> Column:
+    """A point in time given by the caller; without a zone it means UTC."""
+    if isinstance(at, datetime) and at.tzinfo is None:
+        at = at.replace(tzinfo=timezone.utc)
+    return F.lit(at).cast("timestamp")
+
+
 def is_rfc3339(text: Column) -> Column:
     return text.rlike(RFC3339_PATTERN)
 

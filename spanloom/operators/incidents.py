@@ -14,7 +14,7 @@ from ..functions.numeric import mean_long, round_even
 from ..functions.ordered import asof_lookup, running_total
 from ..functions.quantiles import exact_quantiles
 from ..functions.spread import lookup_join
-from ..functions.times import seconds_between
+from ..functions.times import instant, seconds_between
 from ..signals import NIL_UUID
 from .traces import is_error
 
@@ -148,7 +148,7 @@ def incident_impact(
     ticks = happened.groupBy("service_name", "timestamp").agg(*[F.sum(c).alias(c) for c in counted])
     line = running_total(ticks, ["service_name"], "timestamp", counted)
 
-    end = F.greatest(F.coalesce(F.col("resolved_at"), F.lit(as_of).cast("timestamp")), F.col("timestamp"))
+    end = F.greatest(F.coalesce(F.col("resolved_at"), instant(as_of)), F.col("timestamp"))
     shown = ["incident_id", "service_name", "severity", "timestamp", "ended_at"]
     edges = F.array(
         F.struct(F.lit(-1).alias("sign"), F.expr("timestamp - INTERVAL '0.000001' SECOND").alias("at")),

@@ -22,16 +22,18 @@ def is_root() -> Column:
     return F.col("parent_span_id") == ""
 
 
-def span_index(traces: DataFrame, prefix: str) -> DataFrame:
-    """One row per (trace_id, span_id), columns prefixed.
+SPAN_COLUMNS = ("service_name", "operation_name", "status_code", "duration_ns", "timestamp")
+
+
+def span_index(traces: DataFrame, prefix: str, columns: Sequence[str] = SPAN_COLUMNS) -> DataFrame:
+    """One row per (trace_id, span_id) with ``columns``, prefixed.
 
     Span ids can repeat when a producer sends a request twice; the earliest row
     stands for the span, so joins to this table never multiply rows.
     """
-    shown = ["service_name", "operation_name", "status_code", "duration_ns", "timestamp"]
     order = F.struct("timestamp", "service_name", "operation_name", "duration_ns", "status_code")
-    index = traces.groupBy(*SPAN_KEY).agg(F.min_by(F.struct(*shown), order).alias("_s"))
-    return index.select(*SPAN_KEY, *[F.col(f"_s.{c}").alias(f"{prefix}{c}") for c in shown])
+    index = traces.groupBy(*SPAN_KEY).agg(F.min_by(F.struct(*columns), order).alias("_s"))
+    return index.select(*SPAN_KEY, *[F.col(f"_s.{c}").alias(f"{prefix}{c}") for c in columns])
 
 
 def logs_with_spans(logs: DataFrame, traces: DataFrame) -> DataFrame:

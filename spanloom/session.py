@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every operator relies on. The time zone fixes what a
 # timestamp means, duplicate JSON keys follow "last one wins", and the rest
@@ -55,3 +55,15 @@ def work_folder(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, "spanloom", f"{label}-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared work folder and read back.
+
+    For small results that several later steps use: they are computed once, a
+    lost executor does not bring the work back, and Spark plans what follows
+    with their real size, broadcasting them only when that is small enough.
+    """
+    folder = work_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.times import day_key
+from ..functions.times import day_key, instant
 from ..signals import SIGNALS
 
 
@@ -19,17 +19,13 @@ def read_signal(spark: SparkSession, path: str, signal: str) -> DataFrame:
     return spark.read.schema(T.StructType([*columns, *folders])).parquet(path).drop("batch")
 
 
-def _instant(at: datetime | str) -> Column:
-    return F.lit(at).cast("timestamp")
-
-
 def time_range(df: DataFrame, start: datetime | str, end: datetime | str) -> DataFrame:
     """Rows with ``start <= timestamp < end``, reading only the days concerned.
 
     A filter on ``timestamp`` alone reads every day folder; the filter on ``dt``
     is what prunes.
     """
-    wanted = df.filter((F.col("timestamp") >= _instant(start)) & (F.col("timestamp") < _instant(end)))
+    wanted = df.filter((F.col("timestamp") >= instant(start)) & (F.col("timestamp") < instant(end)))
     if "dt" in df.columns:
-        wanted = wanted.filter(F.col("dt").between(day_key(_instant(start)), day_key(_instant(end))))
+        wanted = wanted.filter(F.col("dt").between(day_key(instant(start)), day_key(instant(end))))
     return wanted

@@ -8,9 +8,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.ids import content_id
 from ..functions.numeric import ratio
-from ..functions.times import slot
+from ..functions.times import day_key, slot
 from ..signals import ALERT_TRIGGERS, NIL_UUID
 from ..sinks.tables import write_signal
+from ..sinks.upkeep import table_days
 from .ingest import trigger
 from .rollups import red_windows
 
@@ -67,25 +68,28 @@ def evaluate_rule(
     """
 
     def judge(batch: DataFrame, batch_id: int) -> None:
+        closed = batch.select("service_name", "window_start", "window_end", "spans", "errors")
         (
-            batch.select("service_name", "window_start", "window_end", "spans", "errors")
-            .write.mode("overwrite").parquet(f"{buckets_path}/batch={batch_id}")
+            closed.withColumns({"dt": day_key("window_start"), "batch": F.lit(batch_id)})
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("dt", "batch").parquet(buckets_path)
         )
-        mine = spark.read.parquet(f"{buckets_path}/batch={batch_id}")
-        since = mine.agg(F.min("window_start").alias("t")).first()["t"]
-        if since is None:
+        start = F.min("window_start") - F.expr(f"INTERVAL {hold * WIDTH_SECONDS} SECONDS")
+        reach = closed.agg(day_key(start).alias("day"), F.unix_micros(start).alias("micros")).first()
+        if reach["day"] is None:
             return
-        reach = F.lit(since) - F.expr(f"INTERVAL {hold * WIDTH_SECONDS} SECONDS")
+        # Only the folders of the days looked at are listed, however old the table is.
+        days = [d for d in table_days(spark, buckets_path) if d >= reach["day"]]
         recent = (
-            spark.read.option("basePath", buckets_path).parquet(buckets_path)
-            .filter((F.col("batch") <= batch_id) & (F.col("window_start") >= reach))
+            spark.read.option("basePath", buckets_path).parquet(*[f"{buckets_path}/dt={d}" for d in days])
+            .filter((F.col("batch") <= batch_id) & (F.unix_micros("window_start") >= reach["micros"]))
         )
         fired = held_breaches(recent, rule, threshold, hold)
         # Runs that were complete before this batch have fired already.
-        new = fired.join(
-            mine.select("service_name", F.col("window_end").alias("timestamp")), ["service_name", "timestamp"], "left_semi"
+        mine = recent.filter(F.col("batch") == batch_id).select("service_name", F.col("window_end").alias("timestamp"))
+        write_signal(
+            fired.join(mine, ["service_name", "timestamp"], "left_semi"), "alert_triggers", triggers_path, f"{rule}-{batch_id}"
         )
-        write_signal(new, "alert_triggers", triggers_path, f"{rule}-{batch_id}")
 
     return (
         red_windows(traces, f"{WIDTH_SECONDS} seconds", delay=delay)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.times import expires_at
+from ..functions.times import expires_at, instant
 from ..signals import SIGNALS
 from ..sinks.tables import write_rejected, write_signal
 from ..sources.payloads import accepted_rows, decode, read_payloads, rejected_payloads
@@ -72,14 +74,14 @@ def dedup_by_id(stream: DataFrame, ids: list[str], within: str) -> DataFrame:
     return stream.withWatermark("timestamp", within).dropDuplicatesWithinWatermark(ids)
 
 
-def lateness(df: DataFrame, signal: str, as_of, watermark) -> DataFrame:
+def lateness(df: DataFrame, signal: str, as_of: datetime | str, watermark: datetime | str) -> DataFrame:
     """Add ``arrival``: 'expired' past retention, 'late' behind the watermark, else 'on_time'."""
-    past = expires_at("timestamp", SIGNALS[signal].retention_days) <= F.lit(as_of).cast("timestamp")
-    late = F.col("timestamp") < F.lit(watermark).cast("timestamp")
+    past = expires_at("timestamp", SIGNALS[signal].retention_days) <= instant(as_of)
+    late = F.col("timestamp") < instant(watermark)
     return df.withColumn("arrival", F.when(past, "expired").when(late, "late").otherwise("on_time"))
 
 
-def lateness_counts(df: DataFrame, signal: str, as_of, watermark) -> DataFrame:
+def lateness_counts(df: DataFrame, signal: str, as_of: datetime | str, watermark: datetime | str) -> DataFrame:
     """Rows and days per arrival class."""
     per_day = (
         lateness(df, signal, as_of, watermark)

@@ -10,11 +10,32 @@ from pyspark.sql.streaming import StreamingQuery
 from .ingest import trigger
 
 
+# Snapshots kept, so that a reader of the one before the newest can finish.
+KEPT = 3
+
+
+def _snapshots(spark: SparkSession, path: str) -> dict[int, bool]:
+    """Snapshots under ``path`` and whether each was written in full."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {
+        int(m.group(1)): fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
+        for s in fs.listStatus(where)
+        if (m := re.fullmatch(r"snapshot=(\d+)", s.getPath().getName()))
+    }
+
+
 def keep_total(total: DataFrame, path: str, checkpoint: str, live: bool = True, interval: str = "5 seconds") -> StreamingQuery:
-    """Write a streaming aggregate's full result after every micro-batch."""
+    """Write a streaming aggregate's full result after every micro-batch; old ones go."""
+    spark = total.sparkSession
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/snapshot={batch_id}")
+        jvm = spark._jvm
+        for old in sorted(_snapshots(spark, path))[:-KEPT]:
+            where = jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot={old}")
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
     return (
         total.writeStream.outputMode("complete")
@@ -27,13 +48,5 @@ def keep_total(total: DataFrame, path: str, checkpoint: str, live: bool = True,
 
 def latest_total(spark: SparkSession, path: str) -> DataFrame:
     """The newest snapshot that was written in full."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = [
-        int(m.group(1))
-        for s in fs.listStatus(where)
-        if (m := re.fullmatch(r"snapshot=(\d+)", s.getPath().getName()))
-        and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    ]
-    return spark.read.parquet(f"{path}/snapshot={max(done)}")
+    newest = max(n for n, done in _snapshots(spark, path).items() if done)
+    return spark.read.parquet(f"{path}/snapshot={newest}")

@@ -100,11 +100,12 @@ def test_late_rows_are_left_out_and_counted(spark, tmp_path):
 
 def test_totals_grow_with_each_run(spark, tmp_path):
     out = str(tmp_path / "out")
-    for n, want in ((0, 8), (1, 16)):
+    for n, want in ((0, 8), (1, 16), (2, 24), (3, 32), (4, 40)):
         _write_spans(spark, tmp_path / "in", [_minutes([(n, 1), (n + 1, 1)])])
         total = _span_stream(spark, tmp_path / "in").agg(F.count(F.lit(1)).alias("spans"))
         totals.keep_total(total, f"{out}/rows", f"{out}/cp", live=False).awaitTermination()
         assert totals.latest_total(spark, f"{out}/rows").first()["spans"] == want
+    assert len(totals._snapshots(spark, f"{out}/rows")) == totals.KEPT
 
 
 def test_stream_equals_batch_over_many_batches(spark, tmp_path):
