@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spread import ROWS_PER_TASK, copy_rows, hot_buckets, split_rows
+from .spread import copy_rows, hot_buckets, split_rows
 from .times import slot
 
 SLICE_SECONDS = 3600
@@ -75,7 +75,7 @@ def asof_lookup(
     values: Sequence[str],
     spread: Sequence[str],
     slice_seconds: int = SLICE_SECONDS,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Add to each point the ``values`` of the latest timeline row at or before it.
 

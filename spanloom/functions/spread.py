@@ -19,7 +19,7 @@ def key_bucket(keys: Sequence[str]) -> Column:
 
 
 def hot_buckets(
-    df: DataFrame, keys: Sequence[str], weight: str | None = None, rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, keys: Sequence[str], weight: str | None = None, rows_per_task: int | None = None
 ) -> DataFrame:
     """Buckets far above the average, with the number of parts to split each in.
 
@@ -31,7 +31,7 @@ def hot_buckets(
     counts = df.groupBy(key_bucket(keys).alias("_bucket")).agg(size.alias("n"))
     # One row holding at most KEY_BUCKETS small structs.
     packed = counts.agg(F.collect_list(F.struct("_bucket", "n")).alias("b"), F.sum("n").alias("total"))
-    target = F.greatest(F.lit(float(rows_per_task)), F.col("total") / F.lit(float(KEY_BUCKETS)))
+    target = F.greatest(F.lit(float(rows_per_task or ROWS_PER_TASK)), F.col("total") / F.lit(float(KEY_BUCKETS)))
     return (
         packed.select(F.explode("b").alias("b"), target.alias("target"))
         .filter(F.col("b.n") > 2 * F.col("target"))
@@ -73,7 +73,7 @@ def lookup_join(
     how: str = "left",
     match_if: Column | None = None,
     hot: DataFrame | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which has at most one row per key.
 

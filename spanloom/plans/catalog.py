@@ -537,9 +537,9 @@ register(
         "log_id", "trace_id", "severity", "span_service_name", "span_operation_name", "span_status_code", "span_duration_ns"
     )
 )
-_SUMMARY = """SELECT trace_id, count(*) AS spans, count_if(parent_span_id = '') AS roots, min(timestamp) AS started_at,
+_SUMMARY = """SELECT trace_id, count(*) AS spans, count(*) FILTER (WHERE parent_span_id = '') AS roots, min(timestamp) AS started_at,
     (max(epoch_us(timestamp) * 1000 + duration_ns) - min(epoch_us(timestamp) * 1000))::bigint AS wall_ns,
-    arg_min(service_name, (timestamp, span_id)) FILTER (parent_span_id = '') AS root_service,
+    arg_min(service_name, (timestamp, span_id)) FILTER (WHERE parent_span_id = '') AS root_service,
     arg_max(span_id, (duration_ns, span_id)) AS slowest_span_id, max(duration_ns) AS slowest_ns,
     bool_or(status_code = 'ERROR') AS has_error,
     array_to_string(list_sort(list(DISTINCT service_name)), ',') AS services FROM traces GROUP BY trace_id"""
@@ -608,9 +608,9 @@ register(
 register(
     "j7_incident_impact",
     """WITH open AS (SELECT *, greatest(coalesce(resolved_at, TIMESTAMP '2024-02-01 00:00:00'), timestamp) AS ended_at FROM incidents),
-       c AS (SELECT incident_id, count(*) AS spans, count_if(t.status_code = 'ERROR') AS error_spans FROM open o JOIN traces t
+       c AS (SELECT incident_id, count(*) AS spans, count(*) FILTER (WHERE t.status_code = 'ERROR') AS error_spans FROM open o JOIN traces t
              ON o.service_name = t.service_name AND t.timestamp BETWEEN o.timestamp AND o.ended_at GROUP BY 1),
-       l AS (SELECT incident_id, count(*) AS logs, count_if(g.severity = 'ERROR') AS error_logs FROM open o JOIN logs g
+       l AS (SELECT incident_id, count(*) AS logs, count(*) FILTER (WHERE g.severity = 'ERROR') AS error_logs FROM open o JOIN logs g
              ON o.service_name = g.service_name AND g.timestamp BETWEEN o.timestamp AND o.ended_at GROUP BY 1)
        SELECT o.incident_id, o.service_name, o.severity, o.timestamp, o.ended_at, coalesce(c.spans, 0) AS spans,
               coalesce(c.error_spans, 0) AS error_spans, coalesce(l.logs, 0) AS logs, coalesce(l.error_logs, 0) AS error_logs
@@ -621,7 +621,7 @@ register(
     f"""SELECT s.service_name, s.bucket, s.spans, s.errors, coalesce(m.total, 0) AS metric_total,
         {round_even('s.errors::double / s.spans', 6)} AS error_ratio
         FROM (SELECT service_name, date_trunc('HOUR', timestamp) AS bucket, count(*) AS spans,
-                     count_if(status_code = 'ERROR') AS errors FROM traces GROUP BY 1, 2) s
+                     count(*) FILTER (WHERE status_code = 'ERROR') AS errors FROM traces GROUP BY 1, 2) s
         LEFT JOIN (SELECT service_name, timestamp AS bucket, {round_even(fixed_sum('value'), 6)} AS total FROM metrics
                    WHERE metric_name = 'events_total' GROUP BY 1, 2) m
         ON s.service_name = m.service_name AND s.bucket = m.bucket""",
@@ -656,7 +656,7 @@ register(
         (SELECT service_name, agent_name, llm_model, count(*) AS calls, sum(prompt_tokens)::bigint AS prompt_tokens,
          sum(completion_tokens)::bigint AS completion_tokens, sum(total_tokens)::bigint AS total_tokens,
          {round_even(fixed_sum('cost_usd'), 6)} AS cost_usd,
-         {round_even("count_if(status_code = 'ERROR')::double / count(*)", 6)} AS error_ratio,
+         {round_even("count(*) FILTER (WHERE status_code = 'ERROR')::double / count(*)", 6)} AS error_ratio,
          {round_even('sum(duration_ns)::double / count(*) / 1000000', 3)} AS mean_ms
          FROM ai_spans GROUP BY 1, 2, 3) u
         JOIN ({nearest_rank('service_name, agent_name, llm_model', 'duration_ns', 'ai_spans', {'p95_ns': 0.95})}) q
@@ -667,7 +667,7 @@ register(
 def _subtotals_sql(kind: str) -> str:
     return f"""SELECT service_name, agent_name, llm_model, grouping_id(service_name, agent_name, llm_model)::bigint AS level,
         count(*) AS calls, sum(total_tokens)::bigint AS total_tokens, {round_even(fixed_sum('cost_usd'), 6)} AS cost_usd,
-        count_if(status_code = 'ERROR') AS errors FROM ai_spans GROUP BY {kind}(service_name, agent_name, llm_model)"""
+        count(*) FILTER (WHERE status_code = 'ERROR') AS errors FROM ai_spans GROUP BY {kind}(service_name, agent_name, llm_model)"""
 
 
 register("a3_usage_rollup", _subtotals_sql("ROLLUP"))(lambda i: usage.usage_subtotals(i.ai_spans))
@@ -684,15 +684,15 @@ register(
 )(lambda i: logvolume.log_volume_cube(i.logs))
 register(
     "a4_severity_table",
-    """SELECT service_name, count_if(severity = 'DEBUG') AS "DEBUG", count_if(severity = 'INFO') AS "INFO",
-       count_if(severity = 'WARN') AS "WARN", count_if(severity = 'ERROR') AS "ERROR",
-       count_if(severity NOT IN ('DEBUG', 'INFO', 'WARN', 'ERROR')) AS other FROM logs GROUP BY 1""",
+    """SELECT service_name, count(*) FILTER (WHERE severity = 'DEBUG') AS "DEBUG", count(*) FILTER (WHERE severity = 'INFO') AS "INFO",
+       count(*) FILTER (WHERE severity = 'WARN') AS "WARN", count(*) FILTER (WHERE severity = 'ERROR') AS "ERROR",
+       count(*) FILTER (WHERE severity NOT IN ('DEBUG', 'INFO', 'WARN', 'ERROR')) AS other FROM logs GROUP BY 1""",
 )(lambda i: logvolume.severity_table(i.logs))
 _RED_QUANTILES = {"p50_ns": 0.5, "p95_ns": 0.95, "p99_ns": 0.99}
 register(
     "a5_red",
     f"""SELECT c.*, p50_ns, p95_ns, p99_ns, {round_even('errors::double / spans', 6)} AS error_ratio FROM
-        (SELECT service_name, operation_name, count(*) AS spans, count_if(status_code = 'ERROR') AS errors,
+        (SELECT service_name, operation_name, count(*) AS spans, count(*) FILTER (WHERE status_code = 'ERROR') AS errors,
          {round_even('count(*)::double / greatest(floor(epoch(max(timestamp))) - floor(epoch(min(timestamp))), 1)', 6)}
              AS spans_per_second FROM traces GROUP BY 1, 2) c
         JOIN ({nearest_rank('service_name, operation_name', 'duration_ns', 'traces', _RED_QUANTILES)}) q
@@ -705,7 +705,7 @@ register("a6_trace_summary", _SUMMARY)(
 register(
     "a7_service_edges",
     f"""SELECT p.service_name AS parent_service, c.service_name AS child_service, count(*) AS calls,
-        count_if(c.status_code = 'ERROR') AS errors FROM traces c JOIN {_SPAN_INDEX} p
+        count(*) FILTER (WHERE c.status_code = 'ERROR') AS errors FROM traces c JOIN {_SPAN_INDEX} p
         ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id GROUP BY 1, 2""",
 )(lambda i: traces.service_edges(i.traces))
 _SERIES_SQL = f"service_name, metric_name, metric_type, {label_text('labels')} AS series"
@@ -800,7 +800,7 @@ register(
                                  {'p50_ttr_s': 0.5, 'p95_ttr_s': 0.95})}) q USING (service_name, severity)""",
 )(lambda i: incidents.incident_stats(i.incidents))
 _PER_INCIDENT = """SELECT i.incident_id, i.service_name, i.alert_rule_id, count(t.trigger_id) AS triggers,
-    count(*) FILTER (t.status = 'firing') AS firing, coalesce(sum(t.trigger_count), 0)::bigint AS trigger_count,
+    count(*) FILTER (WHERE t.status = 'firing') AS firing, coalesce(sum(t.trigger_count), 0)::bigint AS trigger_count,
     min(t.timestamp) AS first_at, max(t.timestamp) AS last_at
     FROM incidents i LEFT JOIN alert_triggers t ON i.incident_id = t.incident_id GROUP BY 1, 2, 3"""
 register("a14_incident_alerts", _PER_INCIDENT)(
@@ -866,7 +866,7 @@ register(
     f"""SELECT service_name, bucket, s::bigint AS spans, e::bigint AS errors, {round_even('e::double / s', 6)} AS error_ratio FROM
         (SELECT service_name, bucket, sum(spans) OVER w AS s, sum(errors) OVER w AS e FROM
          (SELECT service_name, time_bucket(INTERVAL 5 MINUTE, timestamp) AS bucket, count(*) AS spans,
-                 count_if(status_code = 'ERROR') AS errors FROM traces GROUP BY 1, 2)
+                 count(*) FILTER (WHERE status_code = 'ERROR') AS errors FROM traces GROUP BY 1, 2)
          WINDOW w AS (PARTITION BY service_name ORDER BY bucket RANGE BETWEEN INTERVAL 55 MINUTE PRECEDING AND CURRENT ROW))""",
 )(lambda i: health.moving_error_ratio(i.traces))
 register(
@@ -1001,8 +1001,8 @@ def _closed(view: str, delay: str = "10 MINUTE") -> str:
 
 _MINUTE = "time_bucket(INTERVAL 1 MINUTE, timestamp)"
 _RED_WINDOWS = f"""SELECT {_MINUTE} AS window_start, {_MINUTE} + INTERVAL 1 MINUTE AS window_end, service_name,
-    count(*) AS spans, count_if(status_code = 'ERROR') AS errors,
-    {round_even("count_if(status_code = 'ERROR')::double / count(*)", 6)} AS error_ratio FROM traces GROUP BY 1, 2, 3"""
+    count(*) AS spans, count(*) FILTER (WHERE status_code = 'ERROR') AS errors,
+    {round_even("count(*) FILTER (WHERE status_code = 'ERROR')::double / count(*)", 6)} AS error_ratio FROM traces GROUP BY 1, 2, 3"""
 register("x4_red_windows", f"SELECT * FROM ({_RED_WINDOWS}) WHERE {_closed('traces')}")(
     lambda i: _appended(i, rollups.red_windows(i.streams.traces))
 )
@@ -1020,8 +1020,8 @@ register(
 register(
     "x5_sliding_error_ratio",
     f"""SELECT * FROM (SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end, service_name, count(*) AS spans,
-        count_if(status_code = 'ERROR') AS errors,
-        {round_even("count_if(status_code = 'ERROR')::double / count(*)", 6)} AS error_ratio
+        count(*) FILTER (WHERE status_code = 'ERROR') AS errors,
+        {round_even("count(*) FILTER (WHERE status_code = 'ERROR')::double / count(*)", 6)} AS error_ratio
         FROM (SELECT *, {_MINUTE} - to_minutes(CAST(unnest(range(5)) AS int)) AS window_start FROM traces)
         GROUP BY 1, 2, 3) WHERE {_closed('traces')}""",
 )(lambda i: _appended(i, rollups.red_windows(i.streams.traces, "5 minutes", "1 minute")))

@@ -86,8 +86,8 @@ FROM {_EVENTS} GROUP BY h, service_name
 UNION ALL
 SELECT h, 'event_value', service_name, 'histogram', 0.0::double,
        CAST([1, 5, 10, 25, 50, 500] AS double[]),
-       [CAST(count_if(v <= 1) AS bigint), CAST(count_if(v <= 5) AS bigint), CAST(count_if(v <= 10) AS bigint),
-        CAST(count_if(v <= 25) AS bigint), CAST(count_if(v <= 50) AS bigint), CAST(count_if(v <= 500) AS bigint)],
+       [CAST(count(*) FILTER (WHERE v <= 1) AS bigint), CAST(count(*) FILTER (WHERE v <= 5) AS bigint), CAST(count(*) FILTER (WHERE v <= 10) AS bigint),
+        CAST(count(*) FILTER (WHERE v <= 25) AS bigint), CAST(count(*) FILTER (WHERE v <= 50) AS bigint), CAST(count(*) FILTER (WHERE v <= 500) AS bigint)],
        {_NO_D}, {_NO_D}, round_even(sum(v) * 100, 0) / 100, count(*), {_NO_LABELS}
 FROM {_EVENTS} GROUP BY h, service_name
 UNION ALL
