@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every operator relies on. The time zone fixes what a
-# timestamp means, duplicate JSON keys follow "last one wins", and the rest
-# lets Spark re-plan skewed joins and shrink session state before a shuffle.
+# timestamp means, duplicate JSON keys follow "last one wins", and the rest lets
+# Spark re-plan skewed joins and keep streaming state small.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
@@ -18,6 +18,10 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # Window, session and dedup state on disk rather than in the executors' heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 
