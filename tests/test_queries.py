@@ -52,4 +52,5 @@ def test_entry_points():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.oracle_sql()) >= len(entry.queries()) - 2
+    assert set(catalog.QUERIES) <= set(entry.queries())
+    assert len(catalog.ORACLES) >= len(catalog.QUERIES) - 2
