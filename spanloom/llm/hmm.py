@@ -103,11 +103,27 @@ class Words:
     class_masses: np.ndarray  # of shared classes: sum of (c + 1) of its words, and 1
 
 
+def most_frequent(vocab: DataFrame, most: int) -> DataFrame:
+    """The words above a count that at most ``most`` words reach.
+
+    The count comes from a histogram with a fixed number of bands (16 for each doubling), so
+    tasks send only words that are wanted; a sorted limit would bring ``most`` from each task.
+    """
+    band = F.floor(F.log2(F.col("c")) * 16)
+    sizes = vocab.groupBy(band.alias("band")).agg(F.count("*").alias("words")).collect()
+    least, total = 1 << 62, 0
+    for r in sorted(sizes, key=lambda r: -r["band"]):
+        total += r["words"]
+        if total > most:
+            break
+        least = r["band"]
+    return vocab.where(band >= least)
+
+
 def summarize(vocab: DataFrame, s: Settings) -> Words:
     """The bounded summary; brings at most ``held_words`` words and one row per class to the driver."""
     total, different = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = vocab.orderBy(F.desc("c"), "word").limit(s.held_words).collect()
-    ranked = [(bytes(r.word), r.c) for r in frequent]
+    ranked = sorted(((bytes(r.word), r.c) for r in most_frequent(vocab, s.held_words).collect()), key=lambda r: (-r[1], r[0]))
     own = {END: 0}
     for word, _ in ranked:
         if len(own) == s.own_classes:
