@@ -49,10 +49,12 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, epoch
         share = F.lit(0.0)
         for name, weight in weights.items():
             share = F.when(F.col("src") == name, F.lit(float(weight))).otherwise(share)
-    shares = sizes.withColumn("share", F.when(F.col("size") > 0, share).otherwise(F.lit(0.0)))
-    total = shares.agg(F.sum("size").alias("all_size"), F.sum("share").alias("all_share"))
-    rate = F.col("all_size") * F.lit(float(epochs)) * F.col("share") / F.col("all_share") / F.col("size")
-    return shares.crossJoin(F.broadcast(total)).select("src", "size", F.when(F.col("size") > 0, rate).otherwise(F.lit(1.0)).alias("rate"))
+    shares = stored(sizes.withColumn("share", F.when(F.col("size") > 0, share).otherwise(F.lit(0.0))), "shares")
+    all_size, all_share = shares.agg(F.sum("size"), F.sum("share")).first()  # one row
+    if not all_share:  # no source has text and weight: nothing to scale to
+        return shares.select("src", "size", F.when(F.col("size") > 0, 0.0).otherwise(1.0).alias("rate"))
+    rate = F.lit(float(all_size)) * F.lit(float(epochs)) * F.col("share") / F.lit(float(all_share)) / F.col("size")
+    return shares.select("src", "size", F.when(F.col("size") > 0, rate).otherwise(F.lit(1.0)).alias("rate"))
 
 
 def thresholds(rate: Column) -> Column:
