@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out_crc, out_rows, raw, tuned
+from .common import held_out_crc, out_rows, raw, stored, tuned
 
 ORDER = 4
 SAMPLE_BYTES = 1_500_000
@@ -94,7 +94,8 @@ class Tree:
 
 def sample(labelled: DataFrame, sample_bytes: int) -> DataFrame:
     """Rows by hash of their id, each language at about ``sample_bytes`` bytes in expectation."""
-    sizes = labelled.groupBy(F.col("lang").alias("its_lang")).agg(F.sum(F.octet_length("text")).alias("all_bytes"))
+    # Written first, so that Spark sees how small it is and leaves the texts where they are.
+    sizes = stored(labelled.groupBy(F.col("lang").alias("its_lang")).agg(F.sum(F.octet_length("text")).alias("all_bytes")), "language-sizes")
     share = F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest(F.col("all_bytes"), F.lit(1)))
     place = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return labelled.join(sizes, F.col("lang") == F.col("its_lang")).where(place < share).select("lang", "text")
