@@ -70,8 +70,9 @@ class Trie:
 
     NODE_BYTES = 300
 
-    def __init__(self, budget: int = TRIE_BYTES, depth: int = 0):
-        self.budget, self.depth = budget, depth
+    def __init__(self, budget: int = TRIE_BYTES, prefix: bytes = b""):
+        """``prefix`` is what all strings begin with."""
+        self.budget, self.prefix, self.depth = budget, prefix, len(prefix)
         self.clear()
 
     def clear(self) -> None:
@@ -118,15 +119,15 @@ class Trie:
             if first < 0:
                 continue  # the empty rest: a few bytes at the root, they stay
             file = self.spilled[first] = tempfile.TemporaryFile()
-            for item in walk(self.root.below.pop(first), b""):
+            for item in walk(self.root.below.pop(first), self.prefix):
                 pickle.dump(item, file)
 
-    def drain(self, prefix: bytes = b"") -> Iterator[tuple[bytes, tuple]]:
-        """All strings below, then those of each spilled subtree; empties the trie."""
+    def drain(self) -> Iterator[tuple[bytes, tuple]]:
+        """All strings held, then those of each spilled subtree; empties the trie."""
         if self.root.own is not None:
-            yield prefix, self.root.own
+            yield self.prefix, self.root.own
         for child in list(self.root.below.values()):
-            yield from walk(child, prefix)
+            yield from walk(child, self.prefix)
         spilled, self.root = self.spilled, Node(b"")
         for file in spilled.values():
             file.flush()
@@ -141,14 +142,13 @@ class Trie:
             for text, _ in unpickled(file):
                 shared = text if shared is None else shared[: common_prefix(shared, text)]
             file.seek(0)
-        trie = Trie(self.budget, len(shared) if shared is not None else self.depth)
+        trie = Trie(self.budget, self.prefix if shared is None else shared)
         for text, own in unpickled(file):
             trie.insert(text, own)
             if trie.size > trie.budget and len(trie.held) > 1:
                 trie.spill()
         file.close()
-        for text, own in trie.drain(shared if shared is not None else b""):
-            yield text, own
+        yield from trie.drain()
 
 
 def unpickled(file) -> Iterator[tuple[bytes, tuple]]:
