@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def attribute(labels: Column | str, key: str) -> Column:
@@ -18,6 +19,15 @@ def label_key(labels: Column | str) -> Column:
     return F.to_json(F.array_sort(F.map_entries(m)))
 
 
+def maps_from_keys(df: DataFrame) -> list[Column]:
+    """Columns like those of ``df``, where each map stands as its ``label_key`` text."""
+    entries = lambda t: f"array<struct<key:{t.keyType.simpleString()},value:{t.valueType.simpleString()}>>"
+    return [
+        F.map_from_entries(F.from_json(f.name, entries(f.dataType))).alias(f.name) if isinstance(f.dataType, T.MapType) else F.col(f.name)
+        for f in df.schema.fields
+    ]
+
+
 def zip_pairs(names: Column | str, values: Column | str) -> Column:
     """Two parallel arrays as one array of pairs."""
     return F.arrays_zip(F.col(names) if isinstance(names, str) else names,

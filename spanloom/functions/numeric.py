@@ -27,16 +27,20 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def sum_fixed(amount: Column | str) -> Column:
-    """Sum of a double column, added up as decimals to nine places.
+    """Sum of a double column that hardly depends on the order of the rows.
 
-    Adding doubles gives a result that changes with the order of the rows, so
-    two runs over the same table can round differently. Amounts a decimal
-    cannot hold are added as doubles on top.
+    Nine decimal places are added up exactly, as decimals; what lies beyond them, and
+    amounts a decimal cannot hold, are added as doubles on top, so nothing is lost.
     """
-    fixed = _col(amount).try_cast("decimal(28,9)")
-    return F.coalesce(F.sum(fixed).cast("double"), F.lit(0.0)) + F.coalesce(
-        F.sum(F.when(fixed.isNull(), _col(amount))), F.lit(0.0)
-    )
+    fixed, rest = split_fixed(amount)
+    return F.coalesce(F.sum(fixed).cast("double"), F.lit(0.0)) + F.coalesce(F.sum(rest), F.lit(0.0))
+
+
+def split_fixed(amount: Column | str) -> tuple[Column, Column]:
+    """A double as nine decimal places (NULL where they do not fit) and the rest."""
+    value = _col(amount)
+    fixed = value.try_cast("decimal(28,9)")
+    return fixed, F.when(fixed.isNull(), value).otherwise(value - fixed.cast("double"))
 
 
 def sum_long(value: Column | str) -> Column:

@@ -21,7 +21,7 @@ def value_band(value: Column) -> Column:
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
-    """One row per group with the smallest value whose rank reaches ``q * n``.
+    """One row per group with the smallest value whose rank reaches ``q * n``; NULL values do not count.
 
     Two narrow passes. The first runs at once: it counts rows per band, a few
     thousand bands per group however many rows there are. The second looks only
@@ -29,7 +29,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Map
     broadcast, so the rows themselves are never shuffled.
     """
     by = list(by)
-    rows = df.select(*by, F.col(value).alias("_value")).withColumn("_band", value_band(F.col("_value")))
+    rows = df.select(*by, F.col(value).alias("_value")).filter("_value IS NOT NULL").withColumn("_band", value_band(F.col("_value")))
 
     bands = written(rows.groupBy(*by, "_band").agg(F.count(F.lit(1)).alias("_n")), "quantile-bands")
     upto = Window.partitionBy(*by).orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Keys hash into this many buckets when looking for hot ones. It bounds the
-# only table this module broadcasts.
-KEY_BUCKETS = 4096
+# only table this module broadcasts, and buckets stay small enough to stand out
+# up to ROWS_PER_TASK times as many rows (1.3e11).
+KEY_BUCKETS = 65_536
 # Rows one task should take at least before splitting a bucket is worth it.
 ROWS_PER_TASK = 2_000_000
 
@@ -83,6 +84,8 @@ def lookup_join(
     back with NULLs.
     """
     keys = list(keys)
+    # A rule that is NULL (a NULL key) says no, so every left row is in exactly one branch.
+    match_if = None if match_if is None else F.coalesce(match_if, F.lit(False))
     candidates = left if match_if is None else left.filter(match_if)
     if hot is None:
         hot = hot_buckets(candidates, keys, rows_per_task=rows_per_task)
@@ -98,3 +101,11 @@ def lookup_join(
     if match_if is None or how in ("inner", "left_semi", "semi"):
         return joined
     return joined.unionByName(left.filter(~match_if), allowMissingColumns=True)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; ``by`` appears once."""
+    names = {k: f"_right_{k}" for k in by}
+    right = right.withColumnsRenamed(names)
+    match = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(right, match, how).drop(*names.values())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.maps import label_key
+from ..functions.maps import label_key, maps_from_keys
 
 
 def earliest_per_id(df: DataFrame, ids: Sequence[str]) -> DataFrame:
@@ -21,6 +21,6 @@ def earliest_per_id(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     keys = [
         label_key(c).alias(c) if isinstance(df.schema[c].dataType, T.MapType) else F.col(c) for c in order
     ]
-    rest = [c for c in df.columns if c not in ids]
-    picked = df.groupBy(*ids).agg(F.min_by(F.struct(*rest), F.struct(*keys)).alias("_row"))
-    return picked.select(*ids, "_row.*").select(*df.columns)
+    # The order holds the whole row, maps as text, so the row travels once.
+    picked = df.groupBy(*ids).agg(F.min(F.struct(*keys)).alias("_row")).select(*ids, "_row.*")
+    return picked.select(*maps_from_keys(df))

@@ -31,7 +31,7 @@ def errors_beside_metric(
     totals = (
         metrics.filter(F.col("metric_name") == metric_name)
         .groupBy("service_name", slot_start("timestamp", bucket_seconds).alias("bucket"))
-        .agg(round_even(sum_fixed("value"), 6).alias("metric_total"))
+        .agg(sum_fixed("value").alias("metric_total"))
     )
     return (
         error_buckets(traces, bucket_seconds)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.maps import label_key
+from ..functions.maps import label_key, maps_from_keys
 from ..functions.numeric import mean_long, round_even
 from ..functions.ordered import asof_lookup, running_total
 from ..functions.quantiles import exact_quantiles
@@ -23,7 +23,7 @@ LIFECYCLE = ("open", "acknowledged", "resolved")
 
 
 def correlated() -> Column:
-    return F.col("incident_id") != NIL_UUID
+    return F.coalesce(F.col("incident_id") != NIL_UUID, F.lit(False))
 
 
 def latest_state(incidents: DataFrame, lifecycle: Sequence[str] = LIFECYCLE) -> DataFrame:
@@ -35,10 +35,10 @@ def latest_state(incidents: DataFrame, lifecycle: Sequence[str] = LIFECYCLE) ->
     stage = F.array_position(F.array(*[F.lit(s) for s in lifecycle]), F.col("status"))
     rest = [f for f in incidents.schema.fields if f.name not in ("incident_id", "timestamp", "resolved_at", "status")]
     ties = [label_key(f.name).alias(f.name) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in rest]
-    order = F.struct("timestamp", stage.alias("stage"), "resolved_at", "status", *ties)
-    whole = F.struct(*[c for c in incidents.columns if c != "incident_id"])
-    picked = incidents.groupBy("incident_id").agg(F.max_by(whole, order).alias("_row"))
-    return picked.select("incident_id", "_row.*").select(*incidents.columns)
+    # The order holds the whole row, maps as text, so the row travels once.
+    order = F.struct("timestamp", stage.alias("_stage"), "resolved_at", "status", *ties)
+    picked = incidents.groupBy("incident_id").agg(F.max(order).alias("_row")).select("incident_id", "_row.*")
+    return picked.select(*maps_from_keys(incidents))
 
 
 def active_incidents(incidents: DataFrame) -> DataFrame:

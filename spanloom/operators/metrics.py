@@ -44,7 +44,7 @@ def counter_samples(metrics: DataFrame, temporality: str = "delta") -> DataFrame
 def counter_totals(metrics: DataFrame, temporality: str = "delta") -> DataFrame:
     """Samples and total increase per series."""
     return counter_samples(metrics, temporality).groupBy(*SERIES).agg(
-        F.count(F.lit(1)).alias("samples"), round_even(sum_fixed("increase"), 6).alias("increase")
+        F.count(F.lit(1)).alias("samples"), sum_fixed("increase").alias("increase")
     )
 
 
@@ -53,7 +53,7 @@ def counter_rates(metrics: DataFrame, bucket_seconds: int = 3600, temporality: s
     return (
         counter_samples(metrics, temporality)
         .groupBy(*SERIES, slot_start("timestamp", bucket_seconds).alias("bucket"))
-        .agg(round_even(sum_fixed("increase") / F.lit(float(bucket_seconds)), 6).alias("per_second"))
+        .agg((sum_fixed("increase") / F.lit(float(bucket_seconds))).alias("per_second"))
     )
 
 
@@ -66,7 +66,7 @@ def gauge_buckets(metrics: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
             F.count(F.lit(1)).alias("samples"),
             F.min("value").alias("min_value"),
             F.max("value").alias("max_value"),
-            round_even(sum_fixed("value") / F.count(F.lit(1)), 6).alias("mean_value"),
+            (sum_fixed("value") / F.count("value")).alias("mean_value"),
             F.max_by("value", F.struct("timestamp", "value")).alias("last_value"),
         )
     )
@@ -89,7 +89,7 @@ def merge_histograms(metrics: DataFrame, by: Sequence[str] = SERIES, bucket_seco
     merged = per_entry.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_n")))).alias("_entries"),
         F.sum("_rows").alias("histograms"),
-        round_even(F.sum("_sum"), 2).alias("sum"),
+        F.sum("_sum").alias("sum"),
         F.sum("_count").alias("count"),
     )
     return merged.select(

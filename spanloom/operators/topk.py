@@ -7,10 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Spark keeps only the best rows per group in each task before the shuffle up
-# to this rank (spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
-PARTS = 256
+# Up to this rank Spark keeps only the best rows per group in each task before the shuffle.
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def top_per_group(
@@ -23,8 +21,9 @@ def top_per_group(
     one task.
     """
     by = list(by)
-    if k > GROUP_LIMIT:
-        part = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(PARTS))
+    conf = df.sparkSession.conf
+    if k > int(conf.get(GROUP_LIMIT, "1000")):
+        part = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(int(conf.get("spark.sql.shuffle.partitions"))))
         inner = Window.partitionBy(*by, "_part").orderBy(*order)
         df = (
             df.withColumn("_part", part).withColumn("_rank", F.row_number().over(inner))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio, round_even
 from ..functions.quantiles import exact_quantiles
-from ..functions.spread import lookup_join
+from ..functions.spread import lookup_join, null_safe_join
 
 SPAN_KEY = ("trace_id", "span_id")
 
@@ -19,7 +19,7 @@ def is_error() -> Column:
 
 
 def is_root() -> Column:
-    return F.col("parent_span_id") == ""
+    return F.coalesce(F.col("parent_span_id"), F.lit("")) == ""
 
 
 SPAN_COLUMNS = ("service_name", "operation_name", "status_code", "duration_ns", "timestamp")
@@ -82,15 +82,19 @@ def orphan_spans(traces: DataFrame) -> DataFrame:
 
 
 def trace_summary(traces: DataFrame) -> DataFrame:
-    """One row per trace: size, time span, root, slowest span, error flag, services."""
-    start_ns = F.unix_micros("timestamp") * 1000
+    """One row per trace: size, time span, root, slowest span, error flag, services.
+
+    Spans without a trace id belong to no trace. Times are decimals: a long duration
+    added to a time in nanoseconds leaves the range of a bigint.
+    """
+    start_ns = F.unix_micros("timestamp").cast("decimal(38,0)") * 1000
     return (
-        traces.groupBy("trace_id")
+        traces.filter("trace_id <> ''").groupBy("trace_id")
         .agg(
             F.count(F.lit(1)).alias("spans"),
             F.count_if(is_root()).alias("roots"),
             F.min("timestamp").alias("started_at"),
-            (F.max(start_ns + F.col("duration_ns")) - F.min(start_ns)).alias("wall_ns"),
+            (F.max(start_ns + F.col("duration_ns")) - F.min(start_ns)).cast("decimal(38,0)").alias("wall_ns"),
             F.min_by(F.when(is_root(), F.col("service_name")), F.when(is_root(), F.struct("timestamp", "span_id"))).alias(
                 "root_service"
             ),
@@ -122,7 +126,7 @@ def traces_with_errors(traces: DataFrame, logs: DataFrame, ai_spans: DataFrame)
     failed = (
         logs.filter("severity = 'ERROR'").select("trace_id")
         .unionByName(ai_spans.filter(is_error()).select("trace_id"))
-        .distinct()
+        .filter("trace_id <> ''").distinct()
     )
     return traces.select("trace_id").distinct().join(failed, "trace_id", "left_semi")
 
@@ -147,7 +151,7 @@ def red(traces: DataFrame, by: Sequence[str] = ("service_name", "operation_name"
         round_even(F.count(F.lit(1)) / observed, 6).alias("spans_per_second"),
     )
     quantiles = exact_quantiles(traces, by, "duration_ns", {"p50_ns": 0.5, "p95_ns": 0.95, "p99_ns": 0.99})
-    return counts.join(quantiles, by).withColumn("error_ratio", round_even(ratio(F.col("errors"), F.col("spans")), 6))
+    return null_safe_join(counts, quantiles, by).withColumn("error_ratio", round_even(ratio(F.col("errors"), F.col("spans")), 6))
 
 
 def red_approximate(

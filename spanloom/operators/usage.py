@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import mean_long, ns_to_ms, ratio, round_even, sum_fixed
+from ..functions.numeric import mean_long, ns_to_ms, ratio, round_even, split_fixed, sum_fixed
 from ..functions.ordered import running_total
 from ..functions.quantiles import exact_quantiles
+from ..functions.spread import null_safe_join
 from ..functions.times import day_key
 from .topk import top_per_group
 from .traces import is_error
@@ -30,7 +31,7 @@ def usage(ai_spans: DataFrame, by: Sequence[str] = DIMENSIONS) -> DataFrame:
         round_even(mean_long("duration_ns") / F.lit(1000000), 3).alias("mean_ms"),
     )
     slow = exact_quantiles(ai_spans, by, "duration_ns", {"p95_ns": 0.95})
-    return sums.join(slow, by).withColumn("p95_ms", ns_to_ms("p95_ns", 3)).drop("p95_ns")
+    return null_safe_join(sums, slow, by).withColumn("p95_ms", ns_to_ms("p95_ns", 3)).drop("p95_ns")
 
 
 def usage_subtotals(ai_spans: DataFrame, by: Sequence[str] = DIMENSIONS, cube: bool = False) -> DataFrame:
@@ -64,12 +65,13 @@ def costliest_models(ai_spans: DataFrame, k: int = 3) -> DataFrame:
 
 def running_cost(ai_spans: DataFrame) -> DataFrame:
     """Cost of a service so far in the day, at each instant it had a span."""
+    fixed, rest = split_fixed("cost_usd")
     per_instant = (
         ai_spans.withColumn("dt", day_key("timestamp"))
         .groupBy("service_name", "dt", "timestamp")
-        .agg(F.count(F.lit(1)).alias("calls"), F.sum(F.col("cost_usd").cast("decimal(28,9)")).alias("cost"))
+        .agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum(fixed), F.lit(0)).alias("cost"), F.coalesce(F.sum(rest), F.lit(0.0)).alias("rest"))
     )
-    line = running_total(per_instant, ["service_name", "dt"], "timestamp", ["calls", "cost"])
+    line = running_total(per_instant, ["service_name", "dt"], "timestamp", ["calls", "cost", "rest"])
     return line.select(
-        "service_name", "dt", "timestamp", "calls", round_even(F.col("cost").cast("double"), 6).alias("cost_usd")
+        "service_name", "dt", "timestamp", "calls", round_even(F.col("cost").cast("double") + F.col("rest"), 6).alias("cost_usd")
     )

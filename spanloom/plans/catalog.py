@@ -426,6 +426,11 @@ def _k7(i: Inputs) -> DataFrame:
     return _flat(read_signal(i.spark, f"{out}/table", "incidents").drop("dt"), "labels", ("priority",))
 
 
+def _rounded(df: DataFrame, column: str, digits: int) -> DataFrame:
+    """For comparison only: operators return doubles as they are."""
+    return df.withColumn(column, numeric.round_even(column, digits))
+
+
 _PER_DAY = """SELECT CAST(strftime(timestamp, '%Y%m%d') AS int) AS dt, count(*) AS spans,
     sum(duration_ns)::bigint AS duration_ns FROM traces GROUP BY 1"""
 
@@ -434,16 +439,18 @@ def _per_day(df: DataFrame) -> DataFrame:
     return df.groupBy("dt").agg(F.count(F.lit(1)).alias("spans"), F.sum("duration_ns").alias("duration_ns"))
 
 
-@register("k8_compact_day", _PER_DAY)
+@register("k8_compact_day", f"SELECT *, 1::bigint AS files FROM ({_PER_DAY})")
 def _k8(i: Inputs) -> DataFrame:
-    """Three appends, then the fullest part of the table rewritten day by day."""
+    """Three appends, then every day rewritten as one file; shows the files each day is left with."""
     path = i.new_folder("traces")
     third = F.pmod(F.crc32("span_id"), F.lit(3))
     for n in range(3):
         write_signal(i.traces.filter(third == n), "traces", path, f"part-{n}")
-    for dt in upkeep.table_days(i.spark, path)[:2]:
-        upkeep.compact_day(i.spark, path, "traces", dt)
-    return _per_day(read_signal(i.spark, path, "traces"))
+    for dt in upkeep.table_days(i.spark, path):
+        upkeep.compact_day(i.spark, path, "traces", dt, files=1)
+    table = read_signal(i.spark, path, "traces")
+    files = table.groupBy("dt", F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    return _per_day(table).join(files.groupBy("dt").agg(F.count(F.lit(1)).alias("files")), "dt")
 
 
 @register(
@@ -550,7 +557,8 @@ register(
         FROM ai_spans a LEFT JOIN ({_SUMMARY}) s ON a.trace_id = s.trace_id""",
 )(
     lambda i: traces.ai_spans_with_trace(i.ai_spans, i.traces).select(
-        "span_id", "trace_id", "total_tokens", "trace_spans", "trace_wall_ns", "trace_root_service", "trace_has_error"
+        "span_id", "trace_id", "total_tokens", "trace_spans", F.col("trace_wall_ns").cast("bigint").alias("trace_wall_ns"),
+        "trace_root_service", "trace_has_error",
     )
 )
 register(
@@ -625,7 +633,7 @@ register(
         LEFT JOIN (SELECT service_name, timestamp AS bucket, {round_even(fixed_sum('value'), 6)} AS total FROM metrics
                    WHERE metric_name = 'events_total' GROUP BY 1, 2) m
         ON s.service_name = m.service_name AND s.bucket = m.bucket""",
-)(lambda i: health.errors_beside_metric(i.traces, i.metrics, "events_total"))
+)(lambda i: _rounded(health.errors_beside_metric(i.traces, i.metrics, "events_total"), "metric_total", 6))
 
 
 def _asof_sql(table: str, ids: str) -> str:
@@ -700,7 +708,9 @@ register(
 )(lambda i: traces.red(i.traces))
 register("a5_red_approximate")(lambda i: traces.red_approximate(i.traces))
 register("a6_trace_summary", _SUMMARY)(
-    lambda i: traces.trace_summary(i.traces).withColumn("services", F.array_join("services", ","))
+    lambda i: traces.trace_summary(i.traces).withColumns(
+        {"services": F.array_join("services", ","), "wall_ns": F.col("wall_ns").cast("bigint")}
+    )
 )
 register(
     "a7_service_edges",
@@ -713,13 +723,13 @@ register(
     "a8_counter_totals",
     f"""SELECT {_SERIES_SQL}, count(*) AS samples, {round_even(fixed_sum('value'), 6)} AS increase FROM metrics
         WHERE metric_type = 'counter' GROUP BY ALL""",
-)(lambda i: metrics.counter_totals(i.metrics))
+)(lambda i: _rounded(metrics.counter_totals(i.metrics), "increase", 6))
 register(
     "a8_counter_rates",
     f"""SELECT {_SERIES_SQL}, date_trunc('DAY', timestamp) AS bucket,
         {round_even(fixed_sum('value') + ' / 86400.0::double', 6)} AS per_second FROM metrics
         WHERE metric_type = 'counter' GROUP BY ALL""",
-)(lambda i: metrics.counter_rates(i.metrics, 86400))
+)(lambda i: _rounded(metrics.counter_rates(i.metrics, 86400), "per_second", 6))
 
 # A cumulative counter that starts again every day.
 _CUMULATIVE = f"""(SELECT {_SERIES_SQL}, timestamp, sum(value) OVER (PARTITION BY service_name, metric_name,
@@ -742,13 +752,13 @@ register(
     "a8_cumulative_totals",
     f"""SELECT service_name, metric_name, metric_type, series, count(*) AS samples,
         {round_even(fixed_sum('increase'), 6)} AS increase FROM ({_INCREASES}) GROUP BY ALL""",
-)(lambda i: metrics.counter_totals(_cumulative_counters(i), "cumulative"))
+)(lambda i: _rounded(metrics.counter_totals(_cumulative_counters(i), "cumulative"), "increase", 6))
 register(
     "a9_gauge_buckets",
     f"""SELECT {_SERIES_SQL}, date_trunc('DAY', timestamp) AS bucket, count(*) AS samples, min(value) AS min_value,
         max(value) AS max_value, {round_even(fixed_sum('value') + ' / count(*)', 6)} AS mean_value,
         arg_max(value, (timestamp, value)) AS last_value FROM metrics WHERE metric_type = 'gauge' GROUP BY ALL""",
-)(lambda i: metrics.gauge_buckets(i.metrics))
+)(lambda i: _rounded(metrics.gauge_buckets(i.metrics), "mean_value", 6))
 _MERGED = f"""(SELECT {_SERIES_SQL}, date_trunc('DAY', timestamp) AS bucket, bucket_bounds, count(*) AS histograms,
     {round_even(fixed_sum('sum'), 2)} AS sum, sum(count)::bigint AS count,
     [{', '.join(f'sum(bucket_counts[{n}])::bigint' for n in range(1, 7))}] AS bucket_counts
@@ -759,7 +769,7 @@ register(
         array_to_string([x::varchar FOR x IN bucket_counts], ',') AS bucket_counts,
         array_to_string([x::bigint::varchar FOR x IN bucket_bounds], ',') AS bucket_bounds FROM {_MERGED}""",
 )(
-    lambda i: metrics.merge_histograms(i.metrics).withColumns(
+    lambda i: _rounded(metrics.merge_histograms(i.metrics), "sum", 2).withColumns(
         {c: F.array_join(F.transform(c, lambda x: x.cast("bigint").cast("string")), ",") for c in ("bucket_counts", "bucket_bounds")}
     )
 )
@@ -873,7 +883,7 @@ register(
     "w6_running_cost",
     f"""SELECT service_name, dt, timestamp, sum(calls) OVER w::bigint AS calls, {round_even('(sum(c) OVER w)::double', 6)} AS cost_usd FROM
         (SELECT service_name, CAST(strftime(timestamp, '%Y%m%d') AS int) AS dt, timestamp, count(*) AS calls,
-                sum(cost_usd::decimal(28,9)) AS c FROM ai_spans GROUP BY 1, 2, 3)
+                fsum(cost_usd) AS c FROM ai_spans GROUP BY 1, 2, 3)
         WINDOW w AS (PARTITION BY service_name, dt ORDER BY timestamp)""".replace("sum(calls) OVER w::bigint", "(sum(calls) OVER w)::bigint"),
 )(lambda i: usage.running_cost(i.ai_spans))
 register("t1_newest", _RECENT_SPANS)(lambda i: panels.recent_spans(i.traces))
@@ -1101,7 +1111,7 @@ register(
 )
 def _d2(i: Inputs) -> DataFrame:
     prices = i.ai_spans.select("llm_model").distinct().filter("llm_model <> 'model-3'").select(
-        "llm_model", F.lit(0.000005).alias("prompt_price"), F.lit(0.000015).alias("completion_price")
+        "llm_model", F.lit(0.000003).alias("prompt_price"), F.lit(0.000012).alias("completion_price")
     )
     wrong = i.ai_spans.withColumn("cost_usd", F.col("cost_usd") + F.startswith("span_id", F.lit("b")).cast("double"))
     return quality.check_cost(wrong, prices)

@@ -60,7 +60,7 @@ FROM events""",
     "ai_spans": f"""
 SELECT trace_id, span_id, timestamp, service_name, agent_name, 'LLM' AS span_kind, llm_model,
        prompt_tokens, completion_tokens, prompt_tokens + completion_tokens AS total_tokens,
-       prompt_tokens * 0.000005::double + completion_tokens * 0.000015::double AS cost_usd,
+       prompt_tokens * 0.000003::double + completion_tokens * 0.000012::double AS cost_usd,
        (prompt_tokens + completion_tokens) * 1000003 AS duration_ns,
        CASE WHEN (prompt_tokens + completion_tokens) % 7 = 0 THEN 'ERROR' ELSE 'OK' END AS status_code,
        map(['role'], [role]) AS attributes
@@ -136,7 +136,7 @@ def round_even(value: str, digits: int) -> str:
 
 
 def fixed_sum(value: str) -> str:
-    return f"coalesce(sum(({value})::decimal(28,9)), 0)::double"
+    return f"coalesce(fsum(({value})::double), 0)"
 
 
 def label_text(labels: str) -> str:

@@ -51,11 +51,14 @@ def work_folder(spark: SparkSession, label: str) -> str:
     """A new, unused folder for tables written between two steps of a job.
 
     It lies in the shared folder the cluster names in ``spark.checkpoint.dir``,
-    which every executor can reach. Only when that is unset (tests, a laptop)
-    a local temporary folder takes its place and is remembered in the session.
+    which every executor can reach. Only when that is unset on a local master
+    (tests, a laptop) a temporary folder takes its place and is remembered in the
+    session; on a cluster an unset folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, "spanloom", f"{label}-{uuid.uuid4().hex}")

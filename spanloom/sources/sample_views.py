@@ -87,7 +87,7 @@ def _ai_spans(load: Load) -> DataFrame:
     return turns.selectExpr(
         "trace_id", "span_id", "timestamp", "service_name", "agent_name", "'LLM' AS span_kind", "llm_model",
         "prompt_tokens", "completion_tokens", "prompt_tokens + completion_tokens AS total_tokens",
-        "prompt_tokens * 0.000005D + completion_tokens * 0.000015D AS cost_usd",
+        "prompt_tokens * 0.000003D + completion_tokens * 0.000012D AS cost_usd",
         "(prompt_tokens + completion_tokens) * 1000003 AS duration_ns",
         "CASE WHEN (prompt_tokens + completion_tokens) % 7 = 0 THEN 'ERROR' ELSE 'OK' END AS status_code",
         "map('role', role) AS attributes",

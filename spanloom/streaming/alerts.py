@@ -68,6 +68,13 @@ def evaluate_rule(
     """
 
     def judge(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # written and summarised: the stateful plan runs once
+        try:
+            judge_held(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def judge_held(batch: DataFrame, batch_id: int) -> None:
         closed = batch.select("service_name", "window_start", "window_end", "spans", "errors")
         (
             closed.withColumns({"dt": day_key("window_start"), "batch": F.lit(batch_id)})

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .ingest import trigger
 
 
-# Snapshots kept, so that a reader of the one before the newest can finish.
+# Snapshots kept unless said otherwise, so that a reader of an older one can finish.
 KEPT = 3
 
 
@@ -26,14 +26,14 @@ def _snapshots(spark: SparkSession, path: str) -> dict[int, bool]:
     }
 
 
-def keep_total(total: DataFrame, path: str, checkpoint: str, live: bool = True, interval: str = "5 seconds") -> StreamingQuery:
-    """Write a streaming aggregate's full result after every micro-batch; old ones go."""
+def keep_total(total: DataFrame, path: str, checkpoint: str, live: bool = True, interval: str = "5 seconds", kept: int = KEPT) -> StreamingQuery:
+    """Write a streaming aggregate's full result after every micro-batch; all but the newest ``kept`` go."""
     spark = total.sparkSession
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/snapshot={batch_id}")
         jvm = spark._jvm
-        for old in sorted(_snapshots(spark, path))[:-KEPT]:
+        for old in sorted(_snapshots(spark, path))[:-kept]:
             where = jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot={old}")
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
