@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from .common import out_rows, tuned
 
 END = 0
-CACHED = 200_000  # word encodings held by a worker
 
 
 @dataclass(frozen=True)
@@ -38,16 +37,14 @@ class Limits:
     loss: int = 1024
 
 
-class Encoder(dict):
+class Encoder:
     """Byte-level BPE of public vocabulary files; ids as little-endian unsigned 32-bit bytes.
 
-    Works word by word with a cache: a space after a character that is no white space always
-    begins a token. Texts where that does not hold go through whole; texts that spell a
+    The rank file gives the ids of the full one several times faster. Texts that may spell a
     special token go through the library that knows it.
     """
 
     def __init__(self, ranks: str, full: str):
-        import regex
         import tiktoken
         from public_tokenizers import PATTERN
 
@@ -55,23 +52,11 @@ class Encoder(dict):
             table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
         self.full_path, self.full = full, None
-        self.plain_split = regex.compile(r"^ |\s ")
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED:
-            self.clear()
-        got = np.array(self.encoding.encode_ordinary(word), "<u4").tobytes()
-        if len(word) < 64:
-            self[word] = got
-        return got
 
     def ids(self, text: str) -> bytes:
         if "<|" in text:
             return self.with_specials(text)
-        if self.plain_split.search(text):
-            return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
-        first, *rest = text.split(" ")
-        return b"".join([self[first] if first else b"", *[self[" " + word] for word in rest]])
+        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
     def with_specials(self, text: str) -> bytes:
         if self.full is None:
@@ -119,6 +104,7 @@ class Packer:
     def __init__(self, limits: Limits, cut: bool, base: int, pool: int = 256):
         self.limits, self.may_cut, self.next_id, self.pool_size = limits, cut, base, pool
         self.pool: list[Piece] = []
+        self.vectors: list[tuple] = []  # of the pool's pieces
         self.scale = 1.0 / np.array([limits.tokens, limits.segments, limits.loss], float)
 
     def add(self, doc_id, ids: np.ndarray, loss_from: int = 0) -> Iterator[tuple]:
@@ -131,6 +117,7 @@ class Packer:
             raise ValueError(f"example {doc_id} has {len(piece)} tokens, {piece.loss} of them loss-bearing: above the limits")
         if len(piece):
             self.pool.append(piece)
+            self.vectors.append((len(piece), 1, piece.loss))
         while len(self.pool) > self.pool_size:
             yield from self.fill()
 
@@ -141,7 +128,7 @@ class Packer:
     def fill(self) -> Iterator[tuple]:
         """One sequence from the pool."""
         left = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], float)
-        vectors = np.array([(len(p), 1, p.loss) for p in self.pool], float)
+        vectors = np.array(self.vectors, float)
         taken, free = [], np.ones(len(self.pool), bool)
         while left[0] and left[1]:
             fits = free & (vectors <= left).all(axis=1)
@@ -153,15 +140,18 @@ class Packer:
             free[best] = False
             left -= vectors[best]
         rest = [p for p, f in zip(self.pool, free) if f]
+        rest_vectors = [v for v, f in zip(self.vectors, free) if f]
         if self.may_cut and left[0] and left[1] and rest:
             lengths = [p.longest(int(left[0]), int(left[2])) for p in rest]
             best = int(np.argmax(lengths))
             if lengths[best]:
                 head, tail = rest.pop(best).cut(lengths[best])
+                rest_vectors.pop(best)
                 taken.append(head)
                 if len(tail):
                     rest.append(tail)
-        self.pool = rest
+                    rest_vectors.append((len(tail), 1, tail.loss))
+        self.pool, self.vectors = rest, rest_vectors
         yield from self.close(taken)
 
     def close(self, pieces: list[Piece]) -> Iterator[tuple]:
