@@ -33,6 +33,7 @@ def read_payloads(
     streaming: bool = False,
     whole_files: bool = False,
     max_files_per_trigger: int | None = None,
+    max_bytes_per_trigger: str | None = None,
 ) -> DataFrame:
     """Payload texts as (payload_id, source, value), one per line or one per file.
 
@@ -42,6 +43,8 @@ def read_payloads(
     reader = (spark.readStream if streaming else spark.read).format("text").option("wholetext", whole_files)
     if streaming and max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if streaming and max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     text = reader.load(path).select("value", F.col("_metadata.file_path").alias("source"))
     return text.select(content_id(F.col("source"), F.col("value")).alias("payload_id"), "source", "value")
 

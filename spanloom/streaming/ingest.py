@@ -34,15 +34,16 @@ def ingest(
     live: bool = True,
     interval: str = LIVE_INTERVAL,
     max_files_per_trigger: int | None = None,
+    max_bytes_per_trigger: str | None = None,
 ) -> StreamingQuery:
     """Decode payload files as they arrive; good rows to ``table``, the rest to ``rejected``.
 
     Every micro-batch writes under its own label, so one that is replayed after
     a failure replaces what its first try left. ``name`` keeps several streams
-    into one table apart. ``max_files_per_trigger`` bounds a batch; files beyond
-    it wait. Progress reports carry the counts under ``intake``.
+    into one table apart. ``max_files_per_trigger`` or ``max_bytes_per_trigger``
+    (one of them) bounds a batch; files beyond it wait. Progress reports carry the counts under ``intake``.
     """
-    payloads = read_payloads(spark, source, streaming=True, max_files_per_trigger=max_files_per_trigger)
+    payloads = read_payloads(spark, source, streaming=True, max_files_per_trigger=max_files_per_trigger, max_bytes_per_trigger=max_bytes_per_trigger)
     ok = F.col("status") == "ok"
     decoded = decode(payloads, signal).observe(
         "intake",

@@ -42,6 +42,18 @@ def test_ingest_restarts_where_it_stopped(spark, tmp_path):
     assert [(r["signal"], r["status"], r["value"]) for r in rejected] == [("traces", "invalid_json", "{bad")]
 
 
+def test_bytes_bound_a_micro_batch(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    for n in range(3):
+        _lines(source, f"{n}.json", [_span(n)])
+    query = ingest.ingest(
+        spark, str(source), "traces", f"{out}/table", f"{out}/rejected", f"{out}/cp", live=False, max_bytes_per_trigger="1"
+    )
+    query.awaitTermination()
+    assert read_signal(spark, f"{out}/table", "traces").count() == 3
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == 3
+
+
 def _span_stream(spark, path, files_per_batch=1):
     schema = SIGNALS["traces"].schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(str(path))
