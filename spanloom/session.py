@@ -53,7 +53,9 @@ def work_folder(spark: SparkSession, label: str) -> str:
     It lies in the shared folder the cluster names in ``spark.checkpoint.dir``,
     which every executor can reach. Only when that is unset on a local master
     (tests, a laptop) a temporary folder takes its place and is remembered in the
-    session; on a cluster an unset folder is an error.
+    session; on a cluster an unset folder is an error. All work folders of an
+    application lie in one folder, which is deleted when its driver ends: the
+    tables may be read as long as the session that made them lives.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -61,7 +63,12 @@ def work_folder(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, "spanloom", f"{label}-{uuid.uuid4().hex}")
+    mine = os.path.join(base, "spanloom", spark.sparkContext.applicationId)
+    where = spark._jvm.org.apache.hadoop.fs.Path(mine)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return os.path.join(mine, f"{label}-{uuid.uuid4().hex}")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
