@@ -24,35 +24,40 @@ def total_spans(traces: DataFrame) -> DataFrame:
     return traces.agg(F.count(F.lit(1)).alias("total_traces"))
 
 
-def newest(df: DataFrame, n: int, *tie_breakers: str) -> DataFrame:
-    """Newest ``n`` rows. Each task keeps its own best ``n``; only those move."""
+def newest(df: DataFrame, n: int, *tie_breakers: str, days: list[int] | None = None) -> DataFrame:
+    """Newest ``n`` rows. Each task keeps its own best ``n``; only those move.
+
+    Given the ``days`` a stored table holds, only the newest days needed are read.
+    """
+    if days is not None:
+        return newest_days(df, n, days, *tie_breakers)
     return df.orderBy(F.col("timestamp").desc(), *[F.col(c) for c in tie_breakers]).limit(n)
 
 
-def recent_ai_spans(ai_spans: DataFrame, n: int = 50) -> DataFrame:
-    return newest(ai_spans, n, "trace_id", "span_id").select(
+def recent_ai_spans(ai_spans: DataFrame, n: int = 50, days: list[int] | None = None) -> DataFrame:
+    return newest(ai_spans, n, "trace_id", "span_id", days=days).select(
         "timestamp", "service_name", "agent_name", "llm_model", "prompt_tokens", "completion_tokens", "total_tokens",
         round_even("cost_usd", 5).alias("cost_usd"), ns_to_ms("duration_ns", 1).alias("latency_ms"), "status_code",
     )
 
 
-def recent_logs(logs: DataFrame, n: int = 50) -> DataFrame:
-    return newest(logs, n, "log_id").select("timestamp", "service_name", "severity", "body", "env")
+def recent_logs(logs: DataFrame, n: int = 50, days: list[int] | None = None) -> DataFrame:
+    return newest(logs, n, "log_id", days=days).select("timestamp", "service_name", "severity", "body", "env")
 
 
-def recent_spans(traces: DataFrame, n: int = 50) -> DataFrame:
-    return newest(traces, n, "trace_id", "span_id").select(
+def recent_spans(traces: DataFrame, n: int = 50, days: list[int] | None = None) -> DataFrame:
+    return newest(traces, n, "trace_id", "span_id", days=days).select(
         "timestamp", "service_name", "operation_name", "span_kind",
         ns_to_ms("duration_ns", 2).alias("duration_ms"), "status_code", "trace_id",
     )
 
 
-def recent_incidents(incidents: DataFrame, n: int = 20) -> DataFrame:
-    return newest(incidents, n, "incident_id").select("timestamp", "service_name", "title", "severity", "status")
+def recent_incidents(incidents: DataFrame, n: int = 20, days: list[int] | None = None) -> DataFrame:
+    return newest(incidents, n, "incident_id", days=days).select("timestamp", "service_name", "title", "severity", "status")
 
 
-def recent_triggers(alert_triggers: DataFrame, n: int = 20) -> DataFrame:
-    return newest(alert_triggers, n, "trigger_id").select(
+def recent_triggers(alert_triggers: DataFrame, n: int = 20, days: list[int] | None = None) -> DataFrame:
+    return newest(alert_triggers, n, "trigger_id", days=days).select(
         "timestamp", "service_name", "status", "message", "trigger_count"
     )
 

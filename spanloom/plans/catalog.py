@@ -11,7 +11,7 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -706,7 +706,30 @@ register(
         JOIN ({nearest_rank('service_name, operation_name', 'duration_ns', 'traces', _RED_QUANTILES)}) q
         USING (service_name, operation_name)""",
 )(lambda i: traces.red(i.traces))
-register("a5_red_approximate")(lambda i: traces.red_approximate(i.traces))
+
+
+@register(
+    "a5_red_approximate",
+    """SELECT service_name, operation_name, count(*) AS spans, count(*) FILTER (WHERE status_code = 'ERROR') AS errors,
+       true AS p50_ns, true AS p95_ns, true AS p99_ns FROM traces GROUP BY 1, 2""",
+)
+def _a5_approximate(i: Inputs) -> DataFrame:
+    """Exact counts, and whether the rank of each approximate quantile is off by at most 1 / accuracy."""
+    accuracy, keys = 10_000, ["service_name", "operation_name"]
+    found = traces.red_approximate(i.traces, accuracy=accuracy)
+    marks = {"p50_ns": 0.5, "p95_ns": 0.95, "p99_ns": 0.99}
+    ranked = i.traces.select(*keys, "duration_ns").join(found, keys).groupBy(*keys, "spans", "errors").agg(
+        *[F.count_if(F.col("duration_ns") < F.col(m)).alias(f"{m}_below") for m in marks],
+        *[F.count_if(F.col("duration_ns") <= F.col(m)).alias(f"{m}_upto") for m in marks],
+    )
+    slack = F.col("spans") / accuracy + 1
+    within = [
+        ((F.col(f"{m}_below") <= F.col("spans") * q + slack) & (F.col(f"{m}_upto") >= F.col("spans") * q - slack)).alias(m)
+        for m, q in marks.items()
+    ]
+    return ranked.select(*keys, "spans", "errors", *within)
+
+
 register("a6_trace_summary", _SUMMARY)(
     lambda i: traces.trace_summary(i.traces).withColumns(
         {"services": F.array_join("services", ","), "wall_ns": F.col("wall_ns").cast("bigint")}
@@ -829,7 +852,22 @@ register(
     f"""SELECT metric_name, metric_type, count(DISTINCT service_name || {label_text('labels')}) AS series_count,
         count(*) AS samples FROM metrics GROUP BY 1, 2""",
 )(lambda i: metrics.series_cardinality(i.metrics))
-register("a15_series_cardinality_approximate")(lambda i: metrics.series_cardinality(i.metrics, approximate=True))
+
+
+@register(
+    "a15_series_cardinality_approximate",
+    "SELECT metric_name, metric_type, count(*) AS samples, true AS close FROM metrics GROUP BY 1, 2",
+)
+def _a15_approximate(i: Inputs) -> DataFrame:
+    """Whether each approximate count is within four of its standard deviations (5 %) of the exact one."""
+    keys = ["metric_name", "metric_type"]
+    exact = metrics.series_cardinality(i.metrics).select(*keys, F.col("series_count").alias("exact"))
+    off = F.abs(F.col("series_count") - F.col("exact"))
+    return metrics.series_cardinality(i.metrics, approximate=True).join(exact, keys).select(
+        *keys, "samples", (off <= F.greatest(F.lit(1.0), F.col("exact") * 0.2)).alias("close")
+    )
+
+
 register(
     "a15_attribute_usage",
     "SELECT key, count(*) AS rows FROM (SELECT unnest(map_keys(attributes)) AS key FROM traces) GROUP BY 1",
@@ -886,14 +924,21 @@ register(
                 fsum(cost_usd) AS c FROM ai_spans GROUP BY 1, 2, 3)
         WINDOW w AS (PARTITION BY service_name, dt ORDER BY timestamp)""".replace("sum(calls) OVER w::bigint", "(sum(calls) OVER w)::bigint"),
 )(lambda i: usage.running_cost(i.ai_spans))
-register("t1_newest", _RECENT_SPANS)(lambda i: panels.recent_spans(i.traces))
+
+
+@register("t1_newest", _RECENT_SPANS)
+def _t1(i: Inputs) -> DataFrame:
+    """The panel over a stored table: only its newest days are read."""
+    path = i.table("traces")
+    days = upkeep.table_days(i.spark, path)
+    return panels.recent_spans(read_signal(i.spark, path, "traces"), days=days)
 
 
 @register("t2_newest_days", "SELECT timestamp, trace_id, span_id FROM traces ORDER BY timestamp DESC, trace_id, span_id LIMIT 50")
 def _t2(i: Inputs) -> DataFrame:
     path = i.table("traces")
     table = read_signal(i.spark, path, "traces")
-    return panels.newest_days(table, 50, upkeep.table_days(i.spark, path), "trace_id", "span_id").select(
+    return panels.newest(table, 50, "trace_id", "span_id", days=upkeep.table_days(i.spark, path)).select(
         "timestamp", "trace_id", "span_id"
     )
 
@@ -977,15 +1022,24 @@ def _appended(i: Inputs, rows: DataFrame) -> DataFrame:
     return i.spark.read.schema(rows.schema).parquet(f"{path}/out")
 
 
-@register("x1_ingest_stream", _LOGS_FLAT.replace(content_id("'logs'", 'log_id', "'0'"), "body"))
+_LOGS_BY_BODY = _LOGS_FLAT.replace(content_id("'logs'", 'log_id', "'0'"), "body")
+
+
+@register(
+    "x1_ingest_stream",
+    f"SELECT *, 1::bigint AS rows_of_id FROM ({_LOGS_BY_BODY}) UNION ALL SELECT *, 1::bigint AS rows_of_id FROM ({_LOGS_BY_BODY})",
+)
 def _x1(i: Inputs) -> DataFrame:
-    source = _payload_files(i, _as_payloads(i, "logs", "log_id"))
+    """Every line stands twice in its file; all rows must get ids of their own."""
+    lines = _as_payloads(i, "logs", "log_id")
+    source = _payload_files(i, lines.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))))
     out = i.new_folder("stream")
     for _ in range(2):  # the second run finds nothing new
         finish(ingest.ingest(i.spark, source, "logs", f"{out}/table", f"{out}/rejected", f"{out}/checkpoint", live=False))
     rows = _flat(read_signal(i.spark, f"{out}/table", "logs").drop("dt"), "attributes", ("k",))
-    # Ids here come from file names, so the text stands in for them.
-    return rows.withColumn("log_id", F.col("body"))
+    # Ids here come from file names: the text stands in for them once they are known to be different.
+    rows_of_id = F.count(F.lit(1)).over(Window.partitionBy("log_id"))
+    return rows.withColumn("rows_of_id", rows_of_id).withColumn("log_id", F.col("body"))
 
 
 @register("x2_bounded_intake", "SELECT count(*) AS n_rows, sum(trigger_count)::bigint AS trigger_count FROM alert_triggers")

@@ -3,20 +3,24 @@
 Layout: ``<table>/dt=yyyyMMdd/batch=<label>/part-*.parquet``, rows of a file
 sorted by the signal's sort key. A batch owns its label: writing it again
 replaces its own folders and nothing else, so a job that failed half way, or a
-micro-batch that is replayed, is simply run again.
+micro-batch that is replayed, is simply run again. Days in which a label has been
+folded into a compacted copy keep the rows of its first run.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.folders import names_in
 from ..functions.times import day_key
 from ..signals import SIGNALS
 
 COMPRESSION = "zstd"
+# Table of (dt, label): which labels the compacted copy of a day holds. Readers never list it as data.
+FOLDED = "_folded"
 
 
 def batch_column(label: str) -> Column:
@@ -32,6 +36,14 @@ def with_day(df: DataFrame) -> DataFrame:
     return df.withColumn("dt", day_key("timestamp"))
 
 
+def folded_days(spark: SparkSession, path: str, label: str) -> list[int]:
+    """Days whose compacted copy holds the rows of ``label``; few, as a batch spans few days."""
+    if not names_in(spark, f"{path}/{FOLDED}"):
+        return []
+    found = spark.read.schema("dt int, label string").parquet(f"{path}/{FOLDED}")
+    return sorted(r["dt"] for r in found.filter(F.col("label") == label).select("dt").distinct().collect())
+
+
 def write_signal(df: DataFrame, signal: str, path: str, batch: str | None = None) -> str:
     """Append rows to the table at ``path`` and return the batch label.
 
@@ -40,9 +52,11 @@ def write_signal(df: DataFrame, signal: str, path: str, batch: str | None = None
     """
     spec = SIGNALS[signal]
     label = batch or uuid.uuid4().hex
+    rows = with_day(df.select(*spec.columns))
+    if batch and (held := folded_days(df.sparkSession, path, batch)):
+        rows = rows.filter(~F.col("dt").isin(held))
     (
-        with_day(df.select(*spec.columns))
-        .withColumn("batch", batch_column(label))
+        rows.withColumn("batch", batch_column(label))
         .hint("rebalance", "dt")
         # Folder columns first, or the writer would sort by them again and lose the rest.
         .sortWithinPartitions("dt", "batch", *spec.sort_key)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_uuid, content_id, is_uuid
 from ..functions.times import is_rfc3339, parse_rfc3339
+from ..session import written
 from ..signals import NIL_UUID, SIGNALS, SPARK_TYPES, U32_MAX, Signal, zero_value
 
 # Worst element decides the status of its payload, so order matters.
@@ -37,8 +38,9 @@ def read_payloads(
 ) -> DataFrame:
     """Payload texts as (payload_id, source, value), one per line or one per file.
 
-    The id is a hash of file path and text, so reading again gives it again. Two
-    equal lines of one file share an id.
+    The id is a hash of file path and text, so reading again gives it again. Equal
+    lines of one file share it until ``number_copies`` has told them apart: done here
+    for a batch, and per micro-batch by ``ingest`` (a file is never split over two).
     """
     reader = (spark.readStream if streaming else spark.read).format("text").option("wholetext", whole_files)
     if streaming and max_files_per_trigger:
@@ -46,7 +48,28 @@ def read_payloads(
     if streaming and max_bytes_per_trigger:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     text = reader.load(path).select("value", F.col("_metadata.file_path").alias("source"))
-    return text.select(content_id(F.col("source"), F.col("value")).alias("payload_id"), "source", "value")
+    read = text.select(content_id(F.col("source"), F.col("value")).alias("payload_id"), "source", "value")
+    return read if streaming or whole_files else number_copies(read)
+
+
+def number_copies(payloads: DataFrame) -> DataFrame:
+    """Give equal lines of one file ids of their own, the same set of ids on every reading.
+
+    The first keeps its id, the n-th gets a hash of it and n. Ids are counted
+    first, so payloads move only where they repeat, and copies of one line meet
+    in a partial aggregate: a file of equal lines makes no large task. The count
+    runs at once. Takes any table with ``payload_id`` in which equal ids mean
+    equal rows.
+    """
+    counts = payloads.groupBy("payload_id").agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
+    counts = written(counts, "payload-copies")
+    if counts.isEmpty():
+        return payloads
+    alone = payloads.join(counts, "payload_id", "left_anti")
+    repeated = payloads.join(counts, "payload_id", "left_semi").dropDuplicates(["payload_id"]).join(counts, "payload_id")
+    numbered = repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
+    own = F.when(F.col("_copy") == 1, F.col("payload_id")).otherwise(content_id(F.col("payload_id"), F.col("_copy")))
+    return alone.unionByName(numbered.withColumn("payload_id", own).select(*payloads.columns))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -2,21 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.folders import names_in
 from ..functions.times import day_key, instant
 from ..signals import SIGNALS
 
+# A compaction that is under way leaves a file "<dt>.<label>.<state>" here; readers never list it as data.
+SWAPS = "_swaps"
+STAGED, SWITCHED = "staged", "switched"
 
-def read_signal(spark: SparkSession, path: str, signal: str) -> DataFrame:
-    """A signal table with its partition column ``dt``; an empty folder reads as no rows."""
+
+def swaps(spark: SparkSession, path: str) -> dict[tuple[int, str], str]:
+    """State of each compaction under way, by day and label of its new copy; usually empty."""
+    found: dict[tuple[int, str], str] = {}
+    for name in names_in(spark, f"{path}/{SWAPS}"):
+        dt, label, state = name.split(".")
+        if found.get((int(dt), label)) != SWITCHED:
+            found[int(dt), label] = state
+    return found
+
+
+def read_signal(spark: SparkSession, path: str, signal: str, days: Sequence[int] | None = None) -> DataFrame:
+    """A signal table with its partition column ``dt``; an empty folder reads as no rows.
+
+    With ``days`` only the folders of those days are listed, however old the table
+    is. Of a day that is being compacted either the old folders or the new copy
+    are read, never both and never neither.
+    """
     columns = SIGNALS[signal].schema.fields
     folders = [T.StructField("dt", T.IntegerType()), T.StructField("batch", T.StringType())]
-    return spark.read.schema(T.StructType([*columns, *folders])).parquet(path).drop("batch")
+    schema = T.StructType([*columns, *folders])
+    folder_names = None if days is None else [f"dt={d}" for d in sorted(set(days))]
+    while True:
+        pending = swaps(spark, path)
+        if folder_names is None:
+            table = spark.read.schema(schema).parquet(path)
+        else:
+            held = set(names_in(spark, path))
+            wanted = [f"{path}/{n}" for n in folder_names if n in held]
+            table = spark.read.option("basePath", path).schema(schema).parquet(*wanted) if wanted else spark.createDataFrame([], schema)
+        if swaps(spark, path) == pending:  # the files listed belong to this state
+            break
+    for (dt, label), state in pending.items():
+        new = F.col("batch") == label
+        table = table.filter((F.col("dt") != dt) | (new if state == SWITCHED else ~new))
+    return table.drop("batch")
 
 
 def time_range(df: DataFrame, start: datetime | str, end: datetime | str) -> DataFrame:

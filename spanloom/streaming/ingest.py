@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from datetime import datetime
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions.times import expires_at, instant
 from ..signals import SIGNALS
 from ..sinks.tables import write_rejected, write_signal
-from ..sources.payloads import accepted_rows, decode, read_payloads, rejected_payloads
+from ..sources.payloads import accepted_rows, decode, number_copies, read_payloads, rejected_payloads
 
 # Pace of a live stream: how long rows wait before they can be queried.
 LIVE_INTERVAL = "2 seconds"
@@ -56,8 +57,9 @@ def ingest(
         label = f"{name}-{batch_id}"
         kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            write_signal(accepted_rows(kept, signal), signal, table, label)
-            write_rejected(rejected_payloads(kept), rejected, label)
+            each = number_copies(kept)
+            write_signal(accepted_rows(each, signal), signal, table, label)
+            write_rejected(rejected_payloads(each), rejected, label)
         finally:
             kept.unpersist()
 
@@ -92,8 +94,32 @@ def lateness_counts(df: DataFrame, signal: str, as_of: datetime | str, watermark
     return per_day.groupBy("arrival").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_days"))
 
 
-def dropped_behind_watermark(query: StreamingQuery) -> int:
-    """Rows stateful operators of a query left out as too late, over its recent progress."""
-    return sum(
-        op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"]
-    )
+class Counters(StreamingQueryListener):
+    """Running counters of every query of a session, over all its micro-batches.
+
+    A query itself holds only its last progress reports; this adds up each one as
+    it comes. Register it with ``spark.streams.addListener`` before the queries start.
+    """
+
+    def __init__(self) -> None:
+        self.totals: dict[str, Counter] = defaultdict(Counter)  # by run id of the query
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress, total = event.progress, self.totals[str(event.progress.runId)]
+        total["rows"] += progress.numInputRows
+        total["late"] += sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+        if "intake" in progress.observedMetrics:
+            total.update({k: v or 0 for k, v in progress.observedMetrics["intake"].asDict().items()})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def of(self, query: StreamingQuery) -> Counter:
+        """rows read, late (left out behind the watermark) and, for ingest, payloads, accepted, rejected."""
+        return self.totals[str(query.runId)]

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from spanloom.signals import SIGNALS
+from spanloom.sources import payloads
 from spanloom.sources.tables import read_signal
 from spanloom.streaming import alerts, ingest, rollups, totals
 
@@ -16,6 +17,16 @@ def _lines(path, name, lines):
     (path / name).write_text("\n".join(lines) + "\n")
 
 
+def _until(met, seconds=30):
+    """Listeners hear of progress a little later."""
+    import time
+
+    end = time.monotonic() + seconds
+    while not met() and time.monotonic() < end:
+        time.sleep(0.1)
+    assert met()
+
+
 def _span(n, status="OK", minute=0, service="s"):
     at = (START + timedelta(minutes=minute, seconds=n % 60)).strftime("%Y-%m-%dT%H:%M:%SZ")
     return f'{{"timestamp":"{at}","trace_id":"t{n}","span_id":"s{n}","service_name":"{service}","status_code":"{status}"}}'
@@ -99,15 +110,41 @@ def test_late_rows_are_left_out_and_counted(spark, tmp_path):
         # Rows count as late once a whole batch has run under the watermark they are behind.
         [_minutes([(0, 1), (1, 1)]), _minutes([(30, 0)]), _minutes([(31, 0)]), _minutes([(1, 4)]), _minutes([(60, 0)])],
     )
-    out = str(tmp_path / "out")
-    query = rollups.append_to(
-        rollups.red_windows(_span_stream(spark, tmp_path / "in"), delay="5 minutes"), f"{out}/rows", f"{out}/cp", live=False
-    )
-    query.awaitTermination()
+    out, counters = str(tmp_path / "out"), ingest.Counters()
+    spark.streams.addListener(counters)
+    try:
+        query = rollups.append_to(
+            rollups.red_windows(_span_stream(spark, tmp_path / "in"), delay="5 minutes"), f"{out}/rows", f"{out}/cp", live=False
+        )
+        query.awaitTermination()
+        _until(lambda: counters.of(query)["rows"] == 24)
+    finally:
+        spark.streams.removeListener(counters)
     rows = {r["window_start"]: r["spans"] for r in spark.read.parquet(f"{out}/rows").collect()}
     assert rows == {START + timedelta(minutes=m): 4 for m in (0, 1, 30, 31)}
     # One partial row per window and service reaches the state operator.
-    assert ingest.dropped_behind_watermark(query) >= 1
+    assert counters.of(query)["late"] >= 1
+
+
+def test_equal_lines_get_ids_of_their_own_and_keep_them(spark, tmp_path):
+    source, out, counters = tmp_path / "in", str(tmp_path / "out"), ingest.Counters()
+    line = f'{{"timestamp":"{START:%Y-%m-%dT%H:%M:%SZ}","service_name":"s","body":"again"}}'
+    _lines(source, "a.json", [line] * 5 + [line.replace("again", "once"), "{bad", "{bad"])
+    spark.streams.addListener(counters)
+    ids = []
+    try:
+        for n in range(2):  # a new stream over the same files stands for a replay
+            query = ingest.ingest(spark, str(source), "logs", f"{out}/t{n}", f"{out}/r{n}", f"{out}/cp{n}", live=False)
+            query.awaitTermination()
+            ids.append(sorted(r["log_id"] for r in read_signal(spark, f"{out}/t{n}", "logs").collect()))
+            assert len({r["payload_id"] for r in spark.read.parquet(f"{out}/r{n}").collect()}) == 2
+        _until(lambda: counters.of(query)["payloads"] == 8)
+        assert counters.of(query)["accepted"] == 6
+    finally:
+        spark.streams.removeListener(counters)
+    assert len(set(ids[0])) == 6 and ids[0] == ids[1]
+    read = payloads.accepted_rows(payloads.decode(payloads.read_payloads(spark, str(source)), "logs"), "logs")
+    assert sorted(r["log_id"] for r in read.collect()) == ids[0]
 
 
 def test_totals_grow_with_each_run(spark, tmp_path):

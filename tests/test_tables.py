@@ -65,6 +65,72 @@ def test_compaction_keeps_rows_and_lessens_files(spark, inputs, tmp_path):
     assert read_signal(spark, path, "traces").count() == inputs.traces.count()
 
 
+def _ids(spark, path, dt=20240110):
+    spark.catalog.refreshByPath(path)
+    return sorted(r["span_id"] for r in read_signal(spark, path, "traces").filter(F.col("dt") == dt).collect())
+
+
+def test_a_label_replayed_after_compaction_adds_no_rows(spark, inputs, tmp_path):
+    path = str(tmp_path / "traces")
+    write_signal(inputs.traces, "traces", path, "b:1")
+    upkeep.compact_day(spark, path, "traces", 20240110, files=1)
+    write_signal(inputs.traces, "traces", path, "b:1")
+    spark.catalog.refreshByPath(path)
+    assert read_signal(spark, path, "traces").count() == inputs.traces.count()
+    write_signal(inputs.traces, "traces", path, "b2")  # another label is another batch
+    spark.catalog.refreshByPath(path)
+    assert read_signal(spark, path, "traces").count() == 2 * inputs.traces.count()
+    upkeep.compact_day(spark, path, "traces", 20240110, files=1)
+    write_signal(inputs.traces, "traces", path, "b:1")
+    spark.catalog.refreshByPath(path)
+    assert read_signal(spark, path, "traces").count() == 2 * inputs.traces.count()
+
+
+@pytest.mark.parametrize("stop", ["staged", "switched", "deleting"])
+def test_a_compaction_that_stops_loses_nothing(spark, inputs, tmp_path, monkeypatch, stop):
+    path = str(tmp_path / "traces")
+    for n in range(3):
+        write_signal(inputs.traces.filter(F.pmod(F.crc32("span_id"), F.lit(3)) == n), "traces", path, f"b{n}")
+    before = _ids(spark, path)
+    mark, delete, calls = upkeep.mark, upkeep.delete, []
+
+    def dies(at, real):
+        def step(session, what):
+            calls.append(what)
+            if len([c for c in calls if at(c)]):
+                raise KeyboardInterrupt
+            real(session, what)
+
+        return step
+
+    if stop == "staged":  # the copy is written, readers not switched
+        monkeypatch.setattr(upkeep, "mark", dies(lambda c: c.endswith(".switched"), mark))
+    elif stop == "switched":  # no old folder deleted yet
+        monkeypatch.setattr(upkeep, "delete", dies(lambda c: True, delete))
+    else:  # one of them deleted
+        monkeypatch.setattr(upkeep, "delete", dies(lambda c: c.endswith("batch=b1"), delete))
+    with pytest.raises(KeyboardInterrupt):
+        upkeep.compact_day(spark, path, "traces", 20240110, files=1)
+    monkeypatch.setattr(upkeep, "mark", mark)
+    monkeypatch.setattr(upkeep, "delete", delete)
+    assert _ids(spark, path) == before  # readers see the day whole, once
+    upkeep.recover(spark, path)
+    assert _ids(spark, path) == before
+    upkeep.compact_day(spark, path, "traces", 20240110, files=1)
+    assert _ids(spark, path) == before
+    assert len(glob.glob(f"{path}/dt=20240110/batch=*/*.parquet")) == 1
+
+
+def test_days_wanted_are_the_only_folders_listed(spark, inputs, tmp_path):
+    path = str(tmp_path / "traces")
+    for n in range(5):
+        write_signal(inputs.traces, "traces", path, f"b{n}")
+    two = read_signal(spark, path, "traces", [20240110, 20240111, 19990101])
+    assert {f.split("dt=")[1][:8] for f in two.inputFiles()} == {"20240110", "20240111"}
+    assert two.count() == read_signal(spark, path, "traces").filter("dt in (20240110, 20240111)").count()
+    assert read_signal(spark, path, "traces", []).count() == 0
+
+
 def test_retention(spark, inputs, tmp_path):
     path = str(tmp_path / "logs")
     write_signal(inputs.logs, "logs", path, "b")
