@@ -184,11 +184,48 @@ def _element(kinds: Column, typed: Column, signal: Signal) -> Column:
     )
 
 
+def _maybe_other_case(value: Column) -> Column:
+    """Whether a text may hold a key with a capital letter or an escape: cheap, and never wrong when it says no."""
+    capital = value.rlike(r'"[a-z0-9_]*+[A-Z][A-Za-z0-9_]*+"[ \t\r\n]*:')
+    return capital | (value.contains("\\u") & value.rlike(r'\\u[^"]*"[ \t\r\n]*:'))
+
+
+def _any_case(signal: Signal) -> Column:
+    """Elements of a payload with a known key in another case, else NULL.
+
+    A key counts whatever its case; of several the last one.
+    """
+    wire = signal.wire_columns
+    listed = F.from_json("value", "array<map<string,variant>>", _STRICT)
+    alone = F.from_json("value", "map<string,variant>", _STRICT)
+    elements = F.coalesce(listed, _let(alone, lambda m: F.when(m.isNotNull(), F.array(m))))
+
+    def other_case(key: Column) -> Column:
+        return F.lower(key).isin(*wire) & ~key.isin(*wire)
+
+    def of(entries: Column, name: str) -> Column:
+        found = F.filter(entries, lambda e: F.lower(e["key"]) == name)
+        return _let(found, lambda f: F.get(f, F.size(f) - 1)["value"])
+
+    def element(m: Column) -> Column:
+        def judged(kinds: Column) -> Column:
+            typed = F.struct(*[F.try_variant_get(kinds[n], "$", _READ_AS[k]).alias(n) for n, k in wire.items()])
+            return _let(typed, lambda t: _element(kinds, t, signal))
+
+        read = _let(F.map_entries(m), lambda entries: F.struct(*[of(entries, n).alias(n) for n in wire]))
+        return _let(F.when(m.isNotNull(), read), judged)
+
+    return _let(
+        elements,
+        lambda es: F.when(F.exists(es, lambda m: F.exists(F.map_keys(m), other_case)), F.transform(es, element)),
+    )
+
+
 def decode(payloads: DataFrame, signal: str) -> DataFrame:
     """One row per payload: payload_id, source, value, signal, status, n_rows, elements.
 
     ``elements`` holds a (status, row) struct per element, rows typed. A lone
-    object reads as a list of one.
+    object reads as a list of one; keys match in any case.
     """
     spec = SIGNALS[signal]
     wire = spec.wire_columns
@@ -207,7 +244,9 @@ def decode(payloads: DataFrame, signal: str) -> DataFrame:
 
     # inline() keeps the result of the one reading: filters on status cannot be
     # moved below it and repeat the work.
-    judged = F.transform(F.array(F.zip_with(untyped, typed, lambda u, t: _element(u, t, spec))), judge)
+    exact = F.zip_with(untyped, typed, lambda u, t: _element(u, t, spec))
+    elements = F.coalesce(F.when(_maybe_other_case(F.col("value")), _any_case(spec)), exact)
+    judged = F.transform(F.array(elements), judge)
     return payloads.select(
         "payload_id", "source", "value", F.lit(signal).alias("signal"), F.inline(judged)
     )

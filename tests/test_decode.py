@@ -86,6 +86,14 @@ CORPUS = [
     ("incidents", f'{{{T},"incident_id":"not-a-uuid"}}', "invalid_json", 0),
     ("incidents", f'{{{T},"incident_id":""}}', "invalid_json", 0),
     ("incidents", f'{{{T},"incident_id":"6BA7B8109DAD11D180B400C04FD430C8"}}', "ok", 1),
+    ("traces", f'{{{T},"Service_Name":"x","SPAN_ID":"s"}}', "ok", 1),
+    ("traces", f'{{{T},"Duration_Ns":"12"}}', "invalid_json", 0),
+    ("traces", '{"Timestamp":"2023-03-05T17:45:00Z"}', "ok", 1),
+    ("traces", f'[{{{T}}},{{{T},"Span_Id":7}}]', "invalid_json", 0),
+    ("traces", f'{{{T},"attributes":{{"Service_Name":"x"}}}}', "ok", 1),
+    ("traces", f'{{{T},"unknown":[1,{{"Service_Name":2}}],"other":null}}', "ok", 1),
+    ("metrics", f'{{{T},"bucket_bounds":[1,1e400]}}', "invalid_json", 0),
+    ("metrics", f'{{{T},"bucket_counts":[1,-1]}}', "invalid_json", 0),
 ]
 
 
@@ -133,6 +141,12 @@ def test_values(spark):
     assert bare["incident_id"] == "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 
 
+def test_keys_match_in_any_case(spark):
+    span = _rows(spark, "traces", f'{{{T},"span_id":"a","Service_Name":"x","SPAN_ID":"s","attributes":{{"Span_Id":"kept"}}}}')[0]
+    assert (span["span_id"], span["service_name"], span["attributes"]) == ("s", "x", {"Span_Id": "kept"})
+    assert span["timestamp"] == AT and span["duration_ns"] == 0
+
+
 def test_generated_ids_are_stable_and_distinct(spark):
     text = f"[{{{T}}},{{{T}}}]"
     first = [r["log_id"] for r in _rows(spark, "logs", text)]
