@@ -149,6 +149,11 @@ def _q10(i: Inputs) -> DataFrame:
     return _live(i, live)
 
 
+register("q10_live_log_total", "SELECT count(*) AS total_logs FROM logs")(
+    lambda i: _live(i, panels.total_logs(i.streams.logs))
+)
+
+
 # --- payload decoding -----------------------------------------------------------------
 
 _ATTRIBUTES = {"traces": ("priority", "returnflag"), "logs": ("k",), "ai_spans": ("role",), "incidents": ("priority",)}
