@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import out_rows, tuned
 
 END = 0
+#: Half the length of a white-space run that the rank file's library is not given: it panics above a million.
+LONG_SPACE = 50_000
 
 
 @dataclass(frozen=True)
@@ -37,11 +39,17 @@ class Limits:
     loss: int = 1024
 
 
+def has_long_space(text: str) -> bool:
+    """True if white space runs over 2 x ``LONG_SPACE`` characters: such a run holds one of these blocks whole."""
+    return any(text[at : at + LONG_SPACE].isspace() for at in range(0, len(text) - LONG_SPACE + 1, LONG_SPACE))
+
+
 class Encoder:
     """Byte-level BPE of public vocabulary files; ids as little-endian unsigned 32-bit bytes.
 
     The rank file gives the ids of the full one several times faster. Texts that may spell a
-    special token go through the library that knows it.
+    special token go through the library that knows it, and so do those with a white-space run of
+    100,000 characters or more, on which the fast one's pattern may run out of stack.
     """
 
     def __init__(self, ranks: str, full: str):
@@ -54,7 +62,7 @@ class Encoder:
         self.full_path, self.full = full, None
 
     def ids(self, text: str) -> bytes:
-        if "<|" in text:
+        if "<|" in text or has_long_space(text):
             return self.with_specials(text)
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 

@@ -259,6 +259,18 @@ def test_packing(spark, docs):
         check_pieces(packing.pack(table).collect(), [(r.doc_id, r.text) for r in table.collect()])
 
 
+#: The rank file's library panics on white-space runs of over a million characters.
+LONG_SPACES = [(i, f"{LONG}{space * 1_000_001}{tail}") for i, (space, tail) in enumerate([(" ", ""), ("\n", "end"), ("\u3000", " end")])]
+
+
+def test_packing_takes_long_white_space(spark):
+    table = spark.createDataFrame([*LONG_SPACES, (7, PROSE)], "doc_id long, text string")
+    check_pieces(packing.pack(table).collect(), [(r.doc_id, r.text) for r in table.collect()])
+    run = 2 * packing.LONG_SPACE
+    assert all(packing.has_long_space("x" * before + " " * run + "y") for before in (0, 1, run // 2 - 1, run // 2, run - 1))
+    assert not any(packing.has_long_space(t) for t in ("", " ", "x" * 3 * run, ("x" + " " * (run // 2 - 1)) * 9))
+
+
 def test_packing_whole_examples_within_three_limits():
     rng = np.random.default_rng(3)
     limits = packing.Limits(tokens=100, segments=5, loss=60)
@@ -533,6 +545,14 @@ def test_pipeline_equals_brute_force(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "mix_sources", "pack_sequences"]
 
 
+def test_pipeline_takes_long_white_space(spark, tmp_path):
+    rows = [(i, t, "en", "a", len(t)) for i, t in [LONG_SPACES[1], (7, PROSE)]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    mixed = mixing.mix(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    check_pieces(pieces, [(r.doc_id, r.text) for r in mixed])
+
+
 def test_stages_take_odd_rows(spark, docs, empty):
     for table in (docs, empty):
         for name, stage in corpus_pipeline.STAGES:
