@@ -1,5 +1,6 @@
 """Corpus operators against brute force on planted rows and on the smallest test tables."""
 
+import dataclasses
 import hashlib
 import math
 import re
@@ -492,6 +493,46 @@ def test_windows_that_share_a_hash_are_compared(monkeypatch):
     assert quality.repeated_words(ids, 3).tolist() == [True, True, True, False, True, True, True, False]
 
 
+def repeating(n, times, share, phrases, gap):
+    """Text whose ``phrases`` of n words, each ``times`` times, hold this share of the characters; ``gap`` other words after each."""
+    total, others = phrases * times * n * 40, phrases * times * gap
+    long = round(total * (1 / share - 1) / others)
+    out, used = [], 0
+    for _ in range(times):
+        for p in range(phrases):
+            out += [f"p{p}w{j}".ljust(40, "x") for j in range(n)]
+            out += [f"u{used + i}".ljust(long, "y") for i in range(gap)]
+            used += gap
+    return " ".join(out)
+
+
+ALONE = [
+    ("coverage", 2, (2, 2, 0.90, 30, 1)), ("coverage", 3, (3, 2, 0.80, 30, 1)), ("coverage", 4, (4, 2, 0.70, 30, 1)),
+    ("coverage", 6, (6, 2, 0.30, 1, 40)), ("coverage", 8, (8, 2, 0.2475, 1, 60)), ("coverage", 10, (10, 2, 0.2425, 1, 60)),
+    ("often", 2, (2, 3, 0.25, 1, 50)), ("often", 3, (3, 3, 0.19, 1, 50)), ("often", 4, (4, 3, 0.17, 1, 50)),
+    ("often", 6, (6, 3, 0.15, 1, 60)), ("often", 8, (8, 3, 0.13, 1, 80)), ("often", 10, (10, 3, 0.11, 1, 90)),
+]
+
+
+@pytest.mark.parametrize("kind, n, text", ALONE)
+def test_each_window_length_alone_rejects_a_text(kind, n, text):
+    text, limits = repeating(*text).encode(), quality.Limits()
+    found = quality.measure(text, limits)
+    assert not found["base_failed"] and not found["kept"]
+    for which in ("coverage", "often"):
+        limit = getattr(limits, which)
+        assert list(limit.values()) == sorted(set(limit.values()), reverse=True)
+        for m in limit:
+            others = dataclasses.replace(limits, **{which: {**limit, m: 1.0}})
+            assert quality.measure(text, others)["kept"] == ((which, m) == (kind, n))
+
+
+def test_labelled_clean_documents_stay(spark):
+    clean = spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 1").select("doc_id")
+    judged = quality.judge(small_docs(spark)).join(clean, "doc_id").where("not base_failed").collect()
+    assert judged and all(r.kept for r in judged)
+
+
 # --- language
 
 
