@@ -6,8 +6,9 @@ longer context that was seen but not with this byte costs an escape (method C: d
 followers / (count + distinct followers)); bytes never seen at all are coded evenly over 256.
 The code length of a text under each language's frozen counts is exact, and the shortest wins.
 
-Counts come from a bounded sample of labelled rows, at most about ``sample_bytes`` bytes a
-language, chosen by a hash of the id: their trees have a bounded size and are broadcast. All
+Counts come from a bounded sample of labelled text, at most about ``sample_bytes`` bytes a
+language: blocks of 4 KB of all its rows, chosen by a hash of id, text and place, so that few long
+texts are sampled like many short ones. The trees have a bounded size and are broadcast. All
 rows are predicted, over whole texts. Texts are lower-cased (A-Z); each different context and
 byte of a batch is looked up once.
 
@@ -28,17 +29,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out_crc, out_rows, raw, stored, tuned
+from .common import held_out_crc, out_rows, row_key, stored, tuned
 
 ORDER = 4
 SAMPLE_BYTES = 1_500_000
+BLOCK = 4096  # bytes of a text that are sampled together
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
 
 def grams(data: bytes, order: int) -> np.ndarray:
     """For each byte, itself and the ``order`` bytes before it, as one number; spaces lead in."""
-    padded = np.frombuffer(b" " * order + data.lower(), np.uint8).astype(np.uint64)
+    return windows(b" " * order + data, order)
+
+
+def windows(data: bytes, order: int) -> np.ndarray:
+    """The same for the bytes from ``order`` on."""
+    padded = np.frombuffer(data.lower(), np.uint8).astype(np.uint64)
     n = len(padded) - order
     out = np.zeros(n, np.uint64)
     for i in range(order + 1):
@@ -92,13 +99,31 @@ class Tree:
         return cost
 
 
-def sample(labelled: DataFrame, sample_bytes: int) -> DataFrame:
-    """Rows by hash of their id, each language at about ``sample_bytes`` bytes in expectation."""
+def sample(labelled: DataFrame, sample_bytes: int, order: int = ORDER) -> DataFrame:
+    """lang, block: blocks of all rows by their hash, each language at about ``sample_bytes`` bytes in expectation.
+
+    A block begins with the ``order`` bytes before it. A language without a chosen block gets the one of smallest
+    hash; blocks of equal rows have equal hashes and count once.
+    """
     # Written first, so that Spark sees how small it is and leaves the texts where they are.
     sizes = stored(labelled.groupBy(F.col("lang").alias("its_lang")).agg(F.sum(F.octet_length("text")).alias("all_bytes")), "language-sizes")
     share = F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest(F.col("all_bytes"), F.lit(1)))
-    place = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return labelled.join(sizes, F.col("lang") == F.col("its_lang")).where(place < share).select("lang", "text")
+    data = F.concat(F.lit(b" " * order), F.col("text").cast("binary"))
+    last = F.floor(F.greatest(F.octet_length("text") - 1, F.lit(0)) / BLOCK).cast("int")
+    place = lambda number: F.pmod(F.xxhash64("key", number), F.lit(1 << 62))
+    places = F.transform(F.sequence(F.lit(0), last), lambda n: F.struct(place(n).alias("place"), n.alias("number")))
+    block = F.substring(F.col("data"), F.col("at.number") * BLOCK + 1, F.lit(BLOCK + order)).alias("block")
+    rows = labelled.where(F.length("text") > 0).select("lang", row_key().alias("key"), data.alias("data"), places.alias("places"))
+
+    sized = rows.join(sizes, F.col("lang") == F.col("its_lang")).withColumn("bound", share * float(1 << 62))
+    chosen = sized.select("lang", "data", F.explode(F.filter("places", lambda p: p["place"] < F.col("bound"))).alias("at"))
+    # A place stands for a row's id and text and a block's number, so either of two equal ones will do.
+    blocks = stored(chosen.select("lang", "at.place", block).groupBy("lang", "place").agg(F.first("block").alias("block")).select("lang", "block"), "language-sample")
+    left_out = sizes.join(blocks, F.col("its_lang") == F.col("lang"), "left_anti").select("its_lang")
+    if left_out.isEmpty():
+        return blocks
+    least = rows.join(left_out, F.col("lang") == F.col("its_lang"), "left_semi").select("lang", "data", F.array_min("places").alias("at"))
+    return blocks.unionByName(least.select("lang", block, "at.place").groupBy("lang").agg(F.min_by("block", "place").alias("block")))
 
 
 def learn(labelled: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES) -> dict[str, Tree]:
@@ -107,13 +132,13 @@ def learn(labelled: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BY
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
-                held.setdefault(lang, []).append(grams(text, order))
+            for lang, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(lang, []).append(windows(block, order))
         for lang, found in held.items():
             keys, counts = np.unique(np.concatenate(found), return_counts=True)
             yield from out_rows({"lang": pa.string(), "gram": pa.int64(), "n": pa.int64()}, ((lang, k, n) for k, n in zip(keys.tolist(), counts.tolist())))
 
-    parts = sample(labelled, sample_bytes).mapInArrow(mapper, "lang string, gram bigint, n bigint")
+    parts = sample(labelled, sample_bytes, order).mapInArrow(mapper, "lang string, gram bigint, n bigint")
     counts = parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     frame = counts.to_pandas()
     return {lang: Tree.from_grams(order, g["gram"].to_numpy().astype(np.uint64), g["n"].to_numpy().astype(float)) for lang, g in sorted(frame.groupby("lang"))}

@@ -545,6 +545,21 @@ def test_language_accuracy(spark, docs):
     assert odd[1].lang_pred == odd[2].lang_pred == odd[12].lang_pred == "und"
 
 
+def test_language_of_few_long_documents_is_learnt(spark):
+    long = [(i, " ".join(f"qx{k * 7919 % 1009}zu" for k in range(i, 300_000 + i)), "xx") for i in (1, 2)]
+    table = spark.createDataFrame([*long, (3, PROSE, "en"), *[(4, "one text many times", "yy")] * 50], "doc_id long, text string, lang string")
+    size = 100_000
+    for bound in (size, 1):  # with a bound of one byte each language has its block of smallest hash
+        blocks = language.sample(table, bound).collect()
+        by = {lang: [bytes(r.block) for r in blocks if r.lang == lang] for lang in ("xx", "en", "yy")}
+        assert all(by.values()) and set(language.learn(table, sample_bytes=bound)) == set(by)
+        held = sum(len(b) - language.ORDER for b in by["xx"])
+        assert 0.5 * bound < held < 1.5 * bound if bound == size else len(by["xx"]) == 1
+    assert by["yy"] == [b"    one text many times"]
+    whole = [bytes(r.block)[language.ORDER :] for r in language.sample(table.where("doc_id = 1"), 1 << 30).collect()]
+    assert Counter(whole) == Counter(long[0][1].encode()[at : at + language.BLOCK] for at in range(0, len(long[0][1]), language.BLOCK))
+
+
 def test_code_lengths_are_those_of_matching_byte_by_byte():
     training, order = b"the cat sat on the mat", 3
     g, n = np.unique(language.grams(training, order), return_counts=True)
