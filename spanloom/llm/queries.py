@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, hmm, language, lines, mixing, packing, pii, quality, simhash, warc
+from . import exact, hmm, language, lines, mixing, packing, pii, quality, simhash, substring, warc
 from .common import tuned
 
 
@@ -115,10 +115,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.train_and_predict(docs, held_out=lambda crc: F.pmod(crc, F.lit(4)) == 2)
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP12 = f"""
+WITH texts AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '') AS ws FROM documents),
+at AS (SELECT doc_id, ws, unnest(range(len(ws))) AS pos FROM texts),
+wins AS (SELECT doc_id, pos, ws[pos + 1] AS word, CASE WHEN pos + {substring.WINDOW} <= len(ws) THEN array_to_string(ws[pos + 1 : pos + {substring.WINDOW}], ' ') END AS win FROM at),
+owned AS (SELECT doc_id, pos, word, win IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY win) AS dup FROM wins),
+gone AS (SELECT doc_id, pos, word, bool_or(dup) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {substring.WINDOW - 1} PRECEDING AND CURRENT ROW) AS out FROM owned),
+kept AS (SELECT doc_id, count(*) FILTER (out) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT out) AS kept FROM gone GROUP BY doc_id)
+SELECT t.doc_id, len(t.ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_line_dedup, op3_exact_dedup, op4_mixing, op5_packing, op6_lm_scoring, op7_pii, op8_simhash, op9_quality, op10_language_id)
+    for f in (op1_warc, op2_line_dedup, op3_exact_dedup, op4_mixing, op5_packing, op6_lm_scoring, op7_pii, op8_simhash, op9_quality, op10_language_id, op12_substring_dedup)
 }
 
 #: Tokenizer files, trained models, XXH64 and rolling-hash coverage have no SQL twin: tests hold those queries to brute force.
-ORACLES: dict[str, str] = {"op1_warc": OP1, "op2_line_dedup": OP2, "op3_exact_dedup": OP3, "op4_mixing": OP4}
+ORACLES: dict[str, str] = {"op1_warc": OP1, "op2_line_dedup": OP2, "op3_exact_dedup": OP3, "op4_mixing": OP4, "op12_substring_dedup": OP12}
