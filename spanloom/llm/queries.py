@@ -122,11 +122,11 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP12 = f"""
 WITH texts AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '') AS ws FROM documents),
-at AS (SELECT doc_id, ws, unnest(range(len(ws))) AS pos FROM texts),
-wins AS (SELECT doc_id, pos, ws[pos + 1] AS word, CASE WHEN pos + {substring.WINDOW} <= len(ws) THEN array_to_string(ws[pos + 1 : pos + {substring.WINDOW}], ' ') END AS win FROM at),
+spots AS (SELECT doc_id, ws, unnest(range(len(ws))) AS pos FROM texts),
+wins AS (SELECT doc_id, pos, ws[pos + 1] AS word, CASE WHEN pos + {substring.WINDOW} <= len(ws) THEN array_to_string(ws[pos + 1 : pos + {substring.WINDOW}], ' ') END AS win FROM spots),
 owned AS (SELECT doc_id, pos, word, win IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY win) AS dup FROM wins),
-gone AS (SELECT doc_id, pos, word, bool_or(dup) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {substring.WINDOW - 1} PRECEDING AND CURRENT ROW) AS out FROM owned),
-kept AS (SELECT doc_id, count(*) FILTER (out) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT out) AS kept FROM gone GROUP BY doc_id)
+gone AS (SELECT doc_id, pos, word, bool_or(dup) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {substring.WINDOW - 1} PRECEDING AND CURRENT ROW) AS goes FROM owned),
+kept AS (SELECT doc_id, count(*) FILTER (goes) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT goes) AS kept FROM gone GROUP BY doc_id)
 SELECT t.doc_id, len(t.ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM texts t LEFT JOIN kept k USING (doc_id)
 """
