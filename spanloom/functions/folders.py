@@ -23,6 +23,27 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """Create or replace a small text file; readers see the old one or the new one, whole."""
+    where, files = folder(spark, path)
+    beside, _ = folder(spark, f"{path}.part")
+    out = files.create(beside, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    files.delete(where, False)
+    files.rename(beside, where)
+
+
+def get(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    where, files = folder(spark, path)
+    stream = files.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def mark(spark: SparkSession, path: str) -> None:
     """Create an empty file."""
     where, files = folder(spark, path)

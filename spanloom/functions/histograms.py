@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 
 def cumulative_counts(counts: Column) -> Column:
-    """Running sum of per-bucket counts."""
+    """Running sum of per-bucket counts, wide enough for any number of unsigned 64-bit ones."""
+    wide = "decimal(38,0)"
     return F.aggregate(
         counts,
-        F.array().cast("array<bigint>"),
-        lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)),
+        F.array().cast(f"array<{wide}>"),
+        lambda acc, x: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast(wide)) + x).cast(wide))),
     )
 
 
@@ -28,7 +29,7 @@ def histogram_quantile(
     c = F.col(counts) if isinstance(counts, str) else counts
     n = F.col(count) if isinstance(count, str) else count
     cum = c if cumulative else cumulative_counts(c)
-    rank = F.lit(float(q)) * n
+    rank = F.lit(float(q)) * n.cast("double")
     reached = F.filter(
         F.transform(cum, lambda x, i: F.when(x >= rank, i).otherwise(F.lit(-1))), lambda i: i >= 0
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,13 +21,10 @@ def label_key(labels: Column | str) -> Column:
     return F.to_json(F.array_sort(F.map_entries(m)))
 
 
-def maps_from_keys(df: DataFrame) -> list[Column]:
-    """Columns like those of ``df``, where each map stands as its ``label_key`` text."""
-    entries = lambda t: f"array<struct<key:{t.keyType.simpleString()},value:{t.valueType.simpleString()}>>"
-    return [
-        F.map_from_entries(F.from_json(f.name, entries(f.dataType))).alias(f.name) if isinstance(f.dataType, T.MapType) else F.col(f.name)
-        for f in df.schema.fields
-    ]
+def row_hash(df: DataFrame, columns: Sequence[str]) -> Column:
+    """A hash of these columns' values that settles ties; maps count by their sorted entries."""
+    parts = [F.sort_array(F.map_entries(c)) if isinstance(df.schema[c].dataType, T.MapType) else F.col(c) for c in columns]
+    return F.xxhash64(*parts) if parts else F.lit(0).cast("bigint")
 
 
 def zip_pairs(names: Column | str, values: Column | str) -> Column:

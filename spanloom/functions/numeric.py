@@ -18,7 +18,7 @@ def round_even(value: Column | str, digits: int) -> Column:
 
 def ns_to_ms(duration_ns: Column | str, digits: int) -> Column:
     """Nanoseconds as rounded milliseconds."""
-    return round_even(_col(duration_ns) / F.lit(1000000), digits)
+    return round_even(_col(duration_ns).cast("double") / F.lit(1000000.0), digits)
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -44,10 +44,10 @@ def split_fixed(amount: Column | str) -> tuple[Column, Column]:
 
 
 def sum_long(value: Column | str) -> Column:
-    """Sum of 64-bit integers that cannot overflow, as a double."""
-    return F.coalesce(F.sum(_col(value).cast("decimal(19,0)")).cast("double"), F.lit(0.0))
+    """Sum of 64-bit integers, signed or not, that cannot overflow, as a double."""
+    return F.coalesce(F.sum(_col(value).cast("decimal(20,0)")).cast("double"), F.lit(0.0))
 
 
 def mean_long(value: Column | str) -> Column:
-    """Mean of 64-bit integers from their exact sum."""
-    return F.sum(_col(value).cast("decimal(19,0)")).cast("double") / F.count(_col(value)).cast("double")
+    """Mean of 64-bit integers, signed or not, from their exact sum."""
+    return F.sum(_col(value).cast("decimal(20,0)")).cast("double") / F.count(_col(value)).cast("double")

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Keys hash into this many buckets when looking for hot ones. It bounds the
-# only table this module broadcasts, and buckets stay small enough to stand out
-# up to ROWS_PER_TASK times as many rows (1.3e11).
+# only table this module broadcasts. Beyond 1.3e11 rows a part holds a 65,536th of
+# the rows, which is a small share of any one executor's work at that size.
 KEY_BUCKETS = 65_536
 # Rows one task should take at least before splitting a bucket is worth it.
 ROWS_PER_TASK = 2_000_000
@@ -70,30 +70,30 @@ def lookup_join(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
-    spread: Sequence[str],
+    spread: Sequence[str] = (),
     how: str = "left",
     match_if: Column | None = None,
-    hot: DataFrame | None = None,
     rows_per_task: int | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which has at most one row per key.
 
-    Rows of a hot key on the left are split by ``spread``, and only the lookup
-    rows of those keys are copied to the parts. With ``match_if``, left rows
-    that cannot match by rule (an empty or nil key) skip the join and come
-    back with NULLs.
+    A hot key on the left is split while the join runs: adaptive execution cuts a
+    shuffle partition far above the others along its map tasks and gives each cut
+    the lookup rows of that partition (the session settings let it do so even if a
+    later step then needs a shuffle). Nothing is counted beforehand. With
+    ``rows_per_task`` the rows of hot buckets are dealt out by ``spread`` instead,
+    after a counting pass. With ``match_if``, left rows that cannot match by rule
+    (an empty or nil key) skip the join and come back with NULLs.
     """
     keys = list(keys)
     # A rule that is NULL (a NULL key) says no, so every left row is in exactly one branch.
     match_if = None if match_if is None else F.coalesce(match_if, F.lit(False))
     candidates = left if match_if is None else left.filter(match_if)
-    if hot is None:
+    if rows_per_task is None:
+        joined = candidates.join(right, keys, how)
+    else:
         hot = hot_buckets(candidates, keys, rows_per_task=rows_per_task)
-    joined = (
-        split_rows(candidates, keys, spread, hot)
-        .join(copy_rows(right, keys, hot), [*keys, "_part"], how)
-        .drop("_part")
-    )
+        joined = split_rows(candidates, keys, spread, hot).join(copy_rows(right, keys, hot), [*keys, "_part"], how).drop("_part")
     if how in ("left_semi", "left_anti", "semi", "anti"):
         joined = joined.select(*left.columns)
     else:

@@ -6,21 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.maps import label_key, maps_from_keys
+from ..functions.maps import row_hash
 
 
 def earliest_per_id(df: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """One row per id: the earliest, ties broken by the rest of the row.
+    """One row per id: the earliest, ties settled by a hash of the row.
 
     An aggregate, so repeats of one id shrink inside each task before the
-    shuffle.
+    shuffle; the row travels once, its maps as they are.
     """
-    order = ["timestamp"] + [f.name for f in df.schema.fields if f.name not in (*ids, "timestamp")]
-    keys = [
-        label_key(c).alias(c) if isinstance(df.schema[c].dataType, T.MapType) else F.col(c) for c in order
-    ]
-    # The order holds the whole row, maps as text, so the row travels once.
-    picked = df.groupBy(*ids).agg(F.min(F.struct(*keys)).alias("_row")).select(*ids, "_row.*")
-    return picked.select(*maps_from_keys(df))
+    rest = [c for c in df.columns if c not in ids]
+    order = F.struct("timestamp", row_hash(df, rest).alias("_tie"))
+    picked = df.groupBy(*ids).agg(F.min_by(F.struct(*rest), order).alias("_row"))
+    return picked.select(*ids, "_row.*").select(*df.columns)

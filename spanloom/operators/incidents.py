@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.maps import label_key, maps_from_keys
+from ..functions.maps import row_hash
 from ..functions.numeric import mean_long, round_even
-from ..functions.ordered import asof_lookup, running_total
+from ..functions.ordered import SLICE_SECONDS
 from ..functions.quantiles import exact_quantiles
 from ..functions.spread import lookup_join
-from ..functions.times import instant, seconds_between
+from ..functions.times import instant, seconds_between, slot
+from ..session import written
 from ..signals import NIL_UUID
 from .traces import is_error
 
@@ -33,12 +33,12 @@ def latest_state(incidents: DataFrame, lifecycle: Sequence[str] = LIFECYCLE) ->
     incident shrink inside each task before the shuffle.
     """
     stage = F.array_position(F.array(*[F.lit(s) for s in lifecycle]), F.col("status"))
-    rest = [f for f in incidents.schema.fields if f.name not in ("incident_id", "timestamp", "resolved_at", "status")]
-    ties = [label_key(f.name).alias(f.name) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in rest]
-    # The order holds the whole row, maps as text, so the row travels once.
-    order = F.struct("timestamp", stage.alias("_stage"), "resolved_at", "status", *ties)
-    picked = incidents.groupBy("incident_id").agg(F.max(order).alias("_row")).select("incident_id", "_row.*")
-    return picked.select(*maps_from_keys(incidents))
+    whole = [c for c in incidents.columns if c != "incident_id"]
+    rest = [c for c in whole if c not in ("timestamp", "resolved_at", "status")]
+    # The row travels once; what decides between equal states is a hash of it.
+    order = F.struct("timestamp", stage.alias("_stage"), "resolved_at", "status", row_hash(incidents, rest).alias("_tie"))
+    picked = incidents.groupBy("incident_id").agg(F.max_by(F.struct(*whole), order).alias("_row"))
+    return picked.select("incident_id", "_row.*").select(*incidents.columns)
 
 
 def active_incidents(incidents: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def triggers_with_incident(triggers: DataFrame, incidents: DataFrame) -> DataFra
         "incident_id", F.col("title").alias("incident_title"), F.col("severity").alias("incident_severity"),
         F.col("status").alias("incident_status"), F.col("alert_rule_id"),
     )
-    return lookup_join(triggers, state, ["incident_id"], ["trigger_id", "timestamp"], match_if=correlated())
+    return lookup_join(triggers, state, ["incident_id"], match_if=correlated())
 
 
 def uncorrelated_triggers(triggers: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def uncorrelated_triggers(triggers: DataFrame) -> DataFrame:
 def dangling_triggers(triggers: DataFrame, incidents: DataFrame) -> DataFrame:
     """Triggers that name an incident the table does not hold."""
     known = incidents.select("incident_id").distinct()
-    return lookup_join(triggers.filter(correlated()), known, ["incident_id"], ["trigger_id", "timestamp"], "left_anti")
+    return lookup_join(triggers.filter(correlated()), known, ["incident_id"], how="left_anti")
 
 
 def triggers_per_incident(triggers: DataFrame) -> DataFrame:
@@ -131,33 +131,37 @@ def incident_impact(
 
     An unresolved incident counts up to ``as_of``. Rows in an interval are the
     running count at its end minus the running count just before its start, so
-    no (incident, span) pair is ever formed however long incidents overlap.
+    no (incident, span) pair is ever formed however long incidents overlap. The
+    running count has two levels: totals of every hour of a service, and counts by
+    instant only in those hours in which an incident begins or ends. Equal instants
+    are looked up once. The incidents' edges are worked out at once.
     """
-    zero = F.lit(0).cast("bigint")
-    one = F.lit(1).cast("bigint")
-    happened = traces.select(
-        "service_name", "timestamp", one.alias("spans"), is_error().cast("bigint").alias("error_spans"),
-        zero.alias("logs"), zero.alias("error_logs"),
-    ).unionByName(
-        logs.select(
-            "service_name", "timestamp", zero.alias("spans"), zero.alias("error_spans"),
-            one.alias("logs"), (F.col("severity") == "ERROR").cast("bigint").alias("error_logs"),
-        )
-    )
     counted = ["spans", "error_spans", "logs", "error_logs"]
-    ticks = happened.groupBy("service_name", "timestamp").agg(*[F.sum(c).alias(c) for c in counted])
-    line = running_total(ticks, ["service_name"], "timestamp", counted)
-
+    counts = lambda *values: [v.cast("bigint").alias(c) for v, c in zip(values, counted)]
+    zero, one, never = F.lit(0), F.lit(1), F.lit(False).alias("asked")
     end = F.greatest(F.coalesce(F.col("resolved_at"), instant(as_of)), F.col("timestamp"))
     shown = ["incident_id", "service_name", "severity", "timestamp", "ended_at"]
     edges = F.array(
         F.struct(F.lit(-1).alias("sign"), F.expr("timestamp - INTERVAL '0.000001' SECOND").alias("at")),
         F.struct(F.lit(1).alias("sign"), F.col("ended_at").alias("at")),
     )
-    points = latest_state(incidents).withColumn("ended_at", end).select(*shown, F.inline(edges).alias("sign", "at"))
-    seen = asof_lookup(
-        points, "at", line, "timestamp", ["service_name"], counted, ["incident_id", "sign"]
-    )
-    return seen.groupBy(*shown).agg(
-        *[F.sum(F.col("sign") * F.coalesce(F.col(c), F.lit(0))).alias(c) for c in counted]
+    points = written(latest_state(incidents).withColumn("ended_at", end).select(*shown, F.inline(edges).alias("sign", "at")), "incident-edges")
+
+    happened = (
+        traces.select("service_name", F.col("timestamp").alias("at"), *counts(one, is_error(), zero, zero), never)
+        .unionByName(logs.select("service_name", F.col("timestamp").alias("at"), *counts(zero, zero, one, F.col("severity") == "ERROR"), never))
+        .unionByName(points.select("service_name", "at", *counts(zero, zero, zero, zero), F.lit(True).alias("asked")))
+        .withColumn("_hour", slot("at", SLICE_SECONDS))
     )
+    total = lambda extra=(): [F.sum(F.coalesce(c, zero)).alias(c) for c in counted] + [F.max("asked").alias("asked"), *extra]
+    hours = happened.groupBy("service_name", "_hour").agg(*total())
+    earlier = Window.partitionBy("service_name").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    before = hours.select("service_name", "_hour", "asked", *[F.coalesce(F.sum(c).over(earlier), zero).alias(f"{c}_before") for c in counted])
+
+    # One hour of one service has no more rows here than it has different instants.
+    inside = happened.join(before.filter("asked").drop("asked"), ["service_name", "_hour"])
+    instants = inside.groupBy("service_name", "_hour", "at").agg(*total([F.max(f"{c}_before").alias(f"{c}_before") for c in counted]))
+    upto = Window.partitionBy("service_name", "_hour").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    running = instants.select("service_name", "at", "asked", *[(F.sum(c).over(upto) + F.col(f"{c}_before")).alias(c) for c in counted])
+    seen = lookup_join(points, running.filter("asked").drop("asked"), ["service_name", "at"])
+    return seen.groupBy(*shown).agg(*[F.sum(F.col("sign") * F.coalesce(F.col(c), zero)).cast("bigint").alias(c) for c in counted])

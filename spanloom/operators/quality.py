@@ -39,7 +39,7 @@ def check_cost(ai_spans: DataFrame, prices: DataFrame, tolerance: float = 0.0000
 
     ``prices`` has one row per ``llm_model``: ``prompt_price``, ``completion_price``.
     """
-    priced = lookup_join(ai_spans, prices, ["llm_model"], ["span_id", "timestamp"])
+    priced = lookup_join(ai_spans, prices, ["llm_model"])
     expected = F.col("prompt_tokens") * F.col("prompt_price") + F.col("completion_tokens") * F.col("completion_price")
     return _violations(
         priced, "ai_spans", F.col("span_id"),

@@ -39,17 +39,13 @@ def span_index(traces: DataFrame, prefix: str, columns: Sequence[str] = SPAN_COL
 def logs_with_spans(logs: DataFrame, traces: DataFrame) -> DataFrame:
     """Each log line once, with the span it was written in (NULLs when unknown)."""
     linked = (F.col("trace_id") != "") & (F.col("span_id") != "")
-    return lookup_join(
-        logs, span_index(traces, "span_"), SPAN_KEY, ["log_id", "timestamp", "body"], match_if=linked
-    )
+    return lookup_join(logs, span_index(traces, "span_"), SPAN_KEY, match_if=linked)
 
 
 def with_parent(traces: DataFrame) -> DataFrame:
     """Each span once, with its parent's columns (NULLs for roots and orphans)."""
     parents = span_index(traces, "parent_").withColumnRenamed("span_id", "parent_span_id")
-    return lookup_join(
-        traces, parents, ["trace_id", "parent_span_id"], ["span_id", "timestamp", "duration_ns"], match_if=~is_root()
-    )
+    return lookup_join(traces, parents, ["trace_id", "parent_span_id"], match_if=~is_root())
 
 
 def self_times(traces: DataFrame) -> DataFrame:
@@ -59,15 +55,15 @@ def self_times(traces: DataFrame) -> DataFrame:
         .groupBy("trace_id", F.col("parent_span_id").alias("span_id"))
         .agg(
             F.count(F.lit(1)).alias("children"),
-            F.sum(F.col("duration_ns").cast("decimal(19,0)")).alias("_child_ns"),
+            F.sum(F.col("duration_ns").cast("decimal(20,0)")).alias("_child_ns"),
         )
     )
-    joined = lookup_join(traces, children, SPAN_KEY, ["parent_span_id", "timestamp", "duration_ns", "operation_name"])
+    joined = lookup_join(traces, children, SPAN_KEY)
     own = F.col("duration_ns") - F.coalesce(F.col("_child_ns"), F.lit(0))
     return joined.withColumns(
         {
             "children": F.coalesce(F.col("children"), F.lit(0)).cast("bigint"),
-            "self_ns": F.greatest(own, F.lit(0)).cast("bigint"),
+            "self_ns": F.greatest(own, F.lit(0)).cast(traces.schema["duration_ns"].dataType),
         }
     ).drop("_child_ns")
 
@@ -75,10 +71,7 @@ def self_times(traces: DataFrame) -> DataFrame:
 def orphan_spans(traces: DataFrame) -> DataFrame:
     """Spans that name a parent their trace does not hold."""
     known = traces.select("trace_id", F.col("span_id").alias("parent_span_id")).distinct()
-    return lookup_join(
-        traces.filter(~is_root()), known, ["trace_id", "parent_span_id"],
-        ["span_id", "timestamp", "duration_ns"], "left_anti",
-    )
+    return lookup_join(traces.filter(~is_root()), known, ["trace_id", "parent_span_id"], how="left_anti")
 
 
 def trace_summary(traces: DataFrame) -> DataFrame:
@@ -116,9 +109,7 @@ def ai_spans_with_trace(ai_spans: DataFrame, traces: DataFrame) -> DataFrame:
         "trace_id", F.col("spans").alias("trace_spans"), F.col("wall_ns").alias("trace_wall_ns"),
         F.col("root_service").alias("trace_root_service"), F.col("has_error").alias("trace_has_error"),
     )
-    return lookup_join(
-        ai_spans, summary, ["trace_id"], ["span_id", "timestamp"], match_if=F.col("trace_id") != ""
-    )
+    return lookup_join(ai_spans, summary, ["trace_id"], match_if=F.col("trace_id") != "")
 
 
 def traces_with_errors(traces: DataFrame, logs: DataFrame, ai_spans: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import ids, maps, numeric, times
 from ..functions.maps import attribute, label_key
+from ..functions.quantiles import exact_quantiles
 from ..operators import (
     dedup, filters, health, incidents, logvolume, metrics, panels, quality, sessions, timeline, topk, traces, usage,
 )
@@ -27,7 +28,7 @@ from ..sinks import upkeep
 from ..sinks.tables import write_rejected, write_signal
 from ..sources import payloads
 from ..sources.sample_views import batch_load, sample_view, stream_load
-from ..sources.tables import read_signal, time_range
+from ..sources.tables import read_range, read_signal
 from ..streaming import alerts, ingest, rollups, totals
 from .oracle_views import content_id, fixed_sum, label_text, nearest_rank, round_even, uuid_text, with_views
 
@@ -78,11 +79,16 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Timestamps without zone, as the test tables have them."""
-    return df.select(
-        *[F.col(f.name).cast("timestamp_ntz").alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f.name)
-          for f in df.schema.fields]
-    )
+    """Timestamps without zone and whole numbers as bigint, as the test tables have them."""
+
+    def shown(f: T.StructField) -> Column:
+        if isinstance(f.dataType, T.TimestampType):
+            return F.col(f.name).cast("timestamp_ntz").alias(f.name)
+        if isinstance(f.dataType, T.DecimalType) and f.dataType.scale == 0:
+            return F.col(f.name).cast("bigint").alias(f.name)
+        return F.col(f.name)
+
+    return df.select(*[shown(f) for f in df.schema.fields])
 
 
 def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
@@ -272,7 +278,7 @@ def _s7(i: Inputs) -> DataFrame:
 # Faults planted by the first hex digit of the span id.
 _FAULT_STATUS = """CASE left(span_id, 1)
     WHEN '0' THEN 'invalid_json' WHEN '1' THEN 'invalid_json' WHEN '2' THEN 'bad_timestamp' WHEN '3' THEN 'empty'
-    WHEN '4' THEN 'out_of_range' WHEN '5' THEN 'invalid_json' ELSE 'ok' END"""
+    WHEN '5' THEN 'invalid_json' WHEN '6' THEN 'invalid_json' ELSE 'ok' END"""
 
 
 def _faulty(i: Inputs) -> DataFrame:
@@ -284,6 +290,7 @@ def _faulty(i: Inputs) -> DataFrame:
         .when(digit == "2", F.regexp_replace("json", '"timestamp"', '"time"'))
         .when(digit == "3", F.lit("[]"))
         .when(digit == "4", F.regexp_replace("json", duration, f'"duration_ns":{2**64 - 1}'))
+        .when(digit == "6", F.regexp_replace("json", duration, f'"duration_ns":{2**64}'))
         # One bad element spoils the list it is in.
         .when(digit == "5", F.concat(F.lit("["), "json", F.lit(',{"span_id":7}]')))
         .otherwise(F.col("json"))
@@ -303,6 +310,43 @@ register(
 )(lambda i: _faulty(i).filter("status = 'empty'").select("payload_id", F.col("n_rows").cast("bigint").alias("n_rows")))
 
 
+_WIDE = f"""SELECT service_name, span_id, duration_ns::hugeint AS ns FROM traces
+    UNION ALL SELECT service_name, span_id, {2**64 - 1}::hugeint FROM traces WHERE span_id < '8'"""
+
+
+def _widened(i: Inputs) -> DataFrame:
+    """Payloads of one or three elements, of which one holds the largest unsigned integer."""
+    wide = F.regexp_replace("json", r'"duration_ns":\d+', f'"duration_ns":{2**64 - 1}')
+    texts = F.when(F.col("span_id") < "8", F.concat(F.lit("["), "json", F.lit(","), wide, F.lit("]"))).otherwise(F.col("json"))
+    sent = payloads.encode(i.traces, "traces").select(
+        F.col("span_id").alias("payload_id"), F.lit("view").alias("source"), texts.alias("value")
+    )
+    return payloads.accepted_rows(payloads.decode(sent, "traces"), "traces")
+
+
+register("s8_unsigned_64", f"SELECT span_id, ns::varchar AS duration_ns FROM ({_WIDE})")(
+    lambda i: _widened(i).select("span_id", F.col("duration_ns").cast("string").alias("duration_ns"))
+)
+
+
+@register(
+    "s8_unsigned_64_stored",
+    f"""WITH wide AS ({_WIDE}), ranks AS ({nearest_rank('service_name', 'ns', 'wide', {'p25': 0.25, 'p90': 0.9})})
+    SELECT service_name, count(*) AS spans, sum(ns)::varchar AS total_ns, max(ns)::varchar AS longest_ns,
+    any_value(p25)::varchar AS p25_ns, any_value(p90)::varchar AS p90_ns FROM wide JOIN ranks USING (service_name) GROUP BY 1""",
+)
+def _s8_stored(i: Inputs) -> DataFrame:
+    """The same rows written to a table and read back: their sums and quantiles."""
+    path = i.new_folder("traces")
+    write_signal(_widened(i), "traces", path, "wide")
+    table = read_signal(i.spark, path, "traces")
+    sums = table.groupBy("service_name").agg(
+        F.count(F.lit(1)).alias("spans"), F.sum("duration_ns").cast("string").alias("total_ns"), F.max("duration_ns").cast("string").alias("longest_ns")
+    )
+    marks = exact_quantiles(table, ["service_name"], "duration_ns", {"p25_ns": 0.25, "p90_ns": 0.9})
+    return sums.join(marks.select("service_name", *[F.col(c).cast("string").alias(c) for c in ("p25_ns", "p90_ns")]), "service_name")
+
+
 @register(
     "s10_zero_defaults",
     """SELECT timestamp, span_id, '' AS trace_id, '' AS parent_span_id, '' AS service_name, '' AS operation_name,
@@ -444,18 +488,26 @@ def _per_day(df: DataFrame) -> DataFrame:
     return df.groupBy("dt").agg(F.count(F.lit(1)).alias("spans"), F.sum("duration_ns").alias("duration_ns"))
 
 
-@register("k8_compact_day", f"SELECT *, 1::bigint AS files FROM ({_PER_DAY})")
+# Small enough that the test tables' days take several files.
+_FILE_BYTES = 16_384
+
+
+@register("k8_compact_day", f"SELECT *, true AS files_as_planned, true AS ranges_disjoint FROM ({_PER_DAY})")
 def _k8(i: Inputs) -> DataFrame:
-    """Three appends, then every day rewritten as one file; shows the files each day is left with."""
+    """Three appends, then every day rewritten in sort-key ranges; shows whether a day has as many files
+    as its bytes ask for, and whether their key ranges are apart."""
     path = i.new_folder("traces")
     third = F.pmod(F.crc32("span_id"), F.lit(3))
     for n in range(3):
         write_signal(i.traces.filter(third == n), "traces", path, f"part-{n}")
-    for dt in upkeep.table_days(i.spark, path):
-        upkeep.compact_day(i.spark, path, "traces", dt, files=1)
-    table = read_signal(i.spark, path, "traces")
-    files = table.groupBy("dt", F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"))
-    return _per_day(table).join(files.groupBy("dt").agg(F.count(F.lit(1)).alias("files")), "dt")
+    days = upkeep.table_days(i.spark, path)
+    planned = [(dt, upkeep.planned_files(i.spark, path, dt, _FILE_BYTES)) for dt in days]
+    for dt, files in planned:
+        upkeep.compact_day(i.spark, path, "traces", dt, files=files)
+    layout = upkeep.day_layout(i.spark, path, "traces").join(i.spark.createDataFrame(planned, "dt int, planned int"), "dt")
+    # A range of keys may be empty, so a day may have fewer files than planned, down to half.
+    shown = layout.select("dt", F.col("files").between(F.ceil(F.col("planned") / 2), F.col("planned")).alias("files_as_planned"), "ranges_disjoint")
+    return _per_day(read_signal(i.spark, path, "traces")).join(shown, "dt")
 
 
 @register(
@@ -483,19 +535,20 @@ _AS_OF = datetime(2024, 2, 10, 12, 0, 0)
 
 @register(
     "k12_retention",
-    """SELECT 'traces' AS signal, count(*) AS kept, min(timestamp) AS oldest FROM traces
-       WHERE date_trunc('SECOND', timestamp) + INTERVAL 30 DAY > TIMESTAMP '2024-02-10 12:00:00'
-       UNION ALL SELECT 'incidents', count(*), min(timestamp) FROM incidents
-       WHERE date_trunc('SECOND', timestamp) + INTERVAL 90 DAY > TIMESTAMP '2024-02-10 12:00:00'""",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS signal, count(*) AS kept, min(timestamp) AS oldest FROM {name}
+       WHERE date_trunc('SECOND', timestamp) + INTERVAL {days} DAY > TIMESTAMP '2024-02-10 12:00:00'"""
+        for name, days in (("traces", 30), ("logs", 30), ("metrics", 30), ("ai_spans", 30), ("incidents", 90), ("alert_triggers", 30))
+    ),
 )
 def _k12(i: Inputs) -> DataFrame:
     parts = []
-    for signal in ("traces", "incidents"):
+    for signal in SIGNALS:
         path = i.table(signal)
         upkeep.drop_expired(i.spark, path, signal, _AS_OF)
         kept = upkeep.apply_retention(read_signal(i.spark, path, signal), signal, _AS_OF)
         parts.append(kept.agg(F.lit(signal).alias("signal"), F.count(F.lit(1)).alias("kept"), F.min("timestamp").alias("oldest")))
-    return parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- filters --------------------------------------------------------------------------
@@ -511,8 +564,8 @@ register(
     """SELECT log_id, timestamp, service_name FROM logs
        WHERE timestamp >= TIMESTAMP '2024-01-10 06:00:00' AND timestamp < TIMESTAMP '2024-01-12 18:30:00'""",
 )(
-    lambda i: time_range(
-        read_signal(i.spark, i.table("logs"), "logs"), datetime(2024, 1, 10, 6), datetime(2024, 1, 12, 18, 30)
+    lambda i: read_range(
+        i.spark, i.table("logs"), "logs", datetime(2024, 1, 10, 6), datetime(2024, 1, 12, 18, 30)
     ).select("log_id", "timestamp", "service_name")
 )
 register(
@@ -576,8 +629,11 @@ register(
 )(lambda i: traces.self_times(i.traces).select("trace_id", "span_id", "duration_ns", "children", "self_ns"))
 register(
     "j3_span_with_parent",
-    f"""SELECT t.trace_id, t.span_id, t.service_name, p.service_name AS parent_service_name, p.duration_ns AS parent_duration_ns
-        FROM traces t LEFT JOIN {_SPAN_INDEX} p ON t.trace_id = p.trace_id AND t.parent_span_id = p.span_id""",
+    """WITH spans AS MATERIALIZED (SELECT * FROM traces),
+       parents AS MATERIALIZED (SELECT trace_id, span_id, arg_min(service_name, (timestamp, service_name, operation_name, duration_ns, status_code)) AS service_name,
+         arg_min(duration_ns, (timestamp, service_name, operation_name, duration_ns, status_code)) AS duration_ns FROM spans GROUP BY 1, 2)
+       SELECT t.trace_id, t.span_id, t.service_name, p.service_name AS parent_service_name, p.duration_ns AS parent_duration_ns
+       FROM spans t LEFT JOIN parents p ON t.trace_id = p.trace_id AND t.parent_span_id = p.span_id""",
 )(
     lambda i: traces.with_parent(i.traces).select(
         "trace_id", "span_id", "service_name", "parent_service_name", "parent_duration_ns"
@@ -610,8 +666,9 @@ def _without_some_roots(i: Inputs) -> DataFrame:
 _SOME_ROOTS = "(SELECT * FROM traces WHERE NOT (parent_span_id = '' AND span_id LIKE 'a%'))"
 register(
     "j5_orphan_spans",
-    f"""SELECT trace_id, span_id, parent_span_id FROM {_SOME_ROOTS} c WHERE parent_span_id <> '' AND NOT EXISTS
-        (SELECT 1 FROM {_SOME_ROOTS} p WHERE p.trace_id = c.trace_id AND p.span_id = c.parent_span_id)""",
+    f"""WITH spans AS MATERIALIZED {_SOME_ROOTS}, known AS MATERIALIZED (SELECT DISTINCT trace_id, span_id FROM spans)
+        SELECT c.trace_id, c.span_id, c.parent_span_id FROM spans c LEFT JOIN known p ON p.trace_id = c.trace_id AND p.span_id = c.parent_span_id
+        WHERE c.parent_span_id <> '' AND p.span_id IS NULL""",
 )(lambda i: traces.orphan_spans(_without_some_roots(i)).select("trace_id", "span_id", "parent_span_id"))
 register(
     "j6_traces_with_errors",

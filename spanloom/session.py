@@ -5,9 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.folders import delete
+
 # Runtime settings every operator relies on. The time zone fixes what a
 # timestamp means, duplicate JSON keys follow "last one wins", and the rest lets
 # Spark re-plan skewed joins and keep streaming state small.
@@ -17,6 +22,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot key of a join even where a later step must then shuffle once more.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # Window, session and dedup state on disk rather than in the executors' heap.
     "spark.sql.streaming.stateStore.providerClass": (
@@ -71,6 +78,27 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return os.path.join(mine, f"{label}-{uuid.uuid4().hex}")
 
 
+# Folders made since the innermost open ``temporary`` began.
+_open_scope: ContextVar[list[str] | None] = ContextVar("open_scope", default=None)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end the small tables that operators write inside it.
+
+    For work that repeats while the driver lives, such as a micro-batch or a panel
+    that refreshes: results must be taken (collected, written) before it ends.
+    """
+    made: list[str] = []
+    token = _open_scope.set(made)
+    try:
+        yield
+    finally:
+        _open_scope.reset(token)
+        for folder in made:
+            delete(spark, folder)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared work folder and read back.
 
@@ -79,5 +107,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     with their real size, broadcasting them only when that is small enough.
     """
     folder = work_folder(df.sparkSession, label)
+    if (made := _open_scope.get()) is not None:
+        made.append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

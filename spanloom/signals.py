@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NIL_UUID = "00000000-0000-0000-0000-000000000000"
-U32_MAX = 2**32 - 1
+U32_MAX, U64_MAX = 2**32 - 1, 2**64 - 1
 
 # Column kinds. Telemetry has no NULLs: an absent value reads as the zero value
 # of its kind. The one exception is ``time?``.
@@ -18,11 +18,12 @@ SPARK_TYPES: dict[str, T.DataType] = {
     "uuid": T.StringType(),
     "time": T.TimestampType(),
     "time?": T.TimestampType(),
-    "u64": T.LongType(),
+    # Unsigned 64-bit integers, every one of them: a bigint ends at half the range.
+    "u64": T.DecimalType(20, 0),
     "u32": T.LongType(),
     "double": T.DoubleType(),
     "doubles": T.ArrayType(T.DoubleType()),
-    "u64s": T.ArrayType(T.LongType()),
+    "u64s": T.ArrayType(T.DecimalType(20, 0)),
     "labels": T.MapType(T.StringType(), T.StringType()),
 }
 
@@ -181,7 +182,7 @@ def zero_value(kind: str) -> Column:
     if kind == "text":
         return F.lit("")
     if kind in ("u64", "u32"):
-        return F.lit(0).cast("bigint")
+        return F.lit(0).cast(SPARK_TYPES[kind])
     if kind == "double":
         return F.lit(0.0)
     if kind == "labels":

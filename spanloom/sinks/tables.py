@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.folders import names_in
 from ..functions.times import day_key
-from ..signals import SIGNALS
+from ..signals import SIGNALS, SPARK_TYPES
 
 COMPRESSION = "zstd"
 # Table of (dt, label): which labels the compacted copy of a day holds. Readers never list it as data.
@@ -52,7 +52,7 @@ def write_signal(df: DataFrame, signal: str, path: str, batch: str | None = None
     """
     spec = SIGNALS[signal]
     label = batch or uuid.uuid4().hex
-    rows = with_day(df.select(*spec.columns))
+    rows = with_day(df.select(*[F.col(n).cast(SPARK_TYPES[k]).alias(n) for n, k in spec.columns.items()]))
     if batch and (held := folded_days(df.sparkSession, path, batch)):
         rows = rows.filter(~F.col("dt").isin(held))
     (

@@ -7,7 +7,6 @@ reason in ``status``:
 ``ok``             every element fits the signal's columns
 ``empty``          ``[]`` or ``null``
 ``invalid_json``   not JSON, or a field of the wrong type or range
-``out_of_range``   an unsigned integer above 2^63-1, which a bigint cannot hold
 ``bad_timestamp``  an element without ``timestamp``
 """
 
@@ -21,11 +20,11 @@ from pyspark.sql import functions as F
 from ..functions.ids import canonical_uuid, content_id, is_uuid
 from ..functions.times import is_rfc3339, parse_rfc3339
 from ..session import written
-from ..signals import NIL_UUID, SIGNALS, SPARK_TYPES, U32_MAX, Signal, zero_value
+from ..signals import NIL_UUID, SIGNALS, SPARK_TYPES, U32_MAX, U64_MAX, Signal, zero_value
 
 # Worst element decides the status of its payload, so order matters.
-STATUSES = ("ok", "bad_timestamp", "out_of_range", "invalid_json")
-OK, BAD_TIMESTAMP, OUT_OF_RANGE, INVALID = range(4)
+STATUSES = ("ok", "bad_timestamp", "invalid_json")
+OK, BAD_TIMESTAMP, INVALID = range(3)
 
 
 def read_payloads(
@@ -82,8 +81,8 @@ _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 # How a field is read as a typed value. Its JSON type is judged apart, because a
 # typed reader turns a number into text and ``"1"`` into 1 without a word.
 _READ_AS = {
-    "text": "string", "uuid": "string", "time": "string", "time?": "string", "u32": "bigint", "u64": "bigint",
-    "double": "double", "doubles": "array<double>", "u64s": "array<bigint>", "labels": "map<string,string>",
+    "text": "string", "uuid": "string", "time": "string", "time?": "string", "u32": "bigint", "u64": "decimal(20,0)",
+    "double": "double", "doubles": "array<double>", "u64s": "array<decimal(20,0)>", "labels": "map<string,string>",
 }
 
 
@@ -104,7 +103,7 @@ def _present(x: Column, t: Column, raw: Column, kind: str) -> Column:
             lambda at: read(F.when(at.isNotNull(), OK).otherwise(INVALID), at),
         )
     if kind in ("u32", "u64"):
-        return read(_unsigned_status(x, t, raw, U32_MAX if kind == "u32" else None), raw)
+        return read(_unsigned_status(t, raw, U32_MAX if kind == "u32" else U64_MAX), raw)
     if kind == "double":
         return read(_number_status(t, raw), raw)
     if kind in ("doubles", "u64s"):
@@ -114,7 +113,7 @@ def _present(x: Column, t: Column, raw: Column, kind: str) -> Column:
         def item_status(y: Column, k: Column) -> Column:
             if kind == "doubles":
                 return _number_status(k, F.try_variant_get(y, "$", "double"))
-            return _unsigned_status(y, k, F.try_variant_get(y, "$", "bigint"))
+            return _unsigned_status(k, F.try_variant_get(y, "$", "decimal(20,0)"), U64_MAX)
 
         codes = F.transform(
             items,
@@ -123,7 +122,7 @@ def _present(x: Column, t: Column, raw: Column, kind: str) -> Column:
                 lambda k: F.when(k.isNull() | (k == "VOID"), OK).otherwise(item_status(y, k)),
             ),
         )
-        zero = F.lit(0.0) if kind == "doubles" else F.lit(0).cast("bigint")
+        zero = F.lit(0.0) if kind == "doubles" else zero_value("u64")
         worst = F.when(items.isNull(), INVALID).otherwise(F.coalesce(F.array_max(codes), F.lit(OK)))
         return read(worst, F.transform(raw, lambda r: F.coalesce(r, zero)))
     if kind == "labels":
@@ -136,15 +135,13 @@ def _number_status(t: Column, raw: Column) -> Column:
     return F.when((t == "BIGINT") | t.startswith("DECIMAL") | ((t == "DOUBLE") & finite), OK).otherwise(INVALID)
 
 
-def _unsigned_status(x: Column, t: Column, raw: Column, limit: int | None = None) -> Column:
-    fits = (t == "BIGINT") & (raw >= 0)
-    if limit is not None:
-        return F.when(fits & (raw <= limit), OK).otherwise(INVALID)
-    wide = F.try_variant_get(x, "$", "decimal(38,0)")
-    above = t.rlike(r"^DECIMAL\(\d+,0\)$") & wide.between(
-        F.lit(str(2**63)).cast("decimal(38,0)"), F.lit(str(2**64 - 1)).cast("decimal(38,0)")
-    )
-    return F.when(fits, OK).when(above, OUT_OF_RANGE).otherwise(INVALID)
+def _unsigned_status(t: Column, raw: Column, limit: int) -> Column:
+    bound = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+    if limit <= U32_MAX:
+        return F.when((t == "BIGINT") & raw.between(0, limit), OK).otherwise(INVALID)
+    # Whole numbers too large for a bigint read as decimals; so do 1.0 and the like, which are no integers.
+    wide = t.rlike(r"^DECIMAL\(\d+,0\)$") & raw.between(bound(2**63), bound(limit))
+    return F.when(((t == "BIGINT") & (raw >= 0)) | wide, OK).otherwise(INVALID)
 
 
 def _labels_status(labels: Column) -> Column:

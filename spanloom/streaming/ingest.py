@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions.times import expires_at, instant
+from ..session import temporary
 from ..signals import SIGNALS
+from ..sinks.counters import CounterTable
 from ..sinks.tables import write_rejected, write_signal
 from ..sources.payloads import accepted_rows, decode, number_copies, read_payloads, rejected_payloads
 
@@ -36,13 +38,15 @@ def ingest(
     interval: str = LIVE_INTERVAL,
     max_files_per_trigger: int | None = None,
     max_bytes_per_trigger: str | None = None,
+    counters: str | None = None,
 ) -> StreamingQuery:
     """Decode payload files as they arrive; good rows to ``table``, the rest to ``rejected``.
 
     Every micro-batch writes under its own label, so one that is replayed after
     a failure replaces what its first try left. ``name`` keeps several streams
     into one table apart. ``max_files_per_trigger`` or ``max_bytes_per_trigger``
-    (one of them) bounds a batch; files beyond it wait. Progress reports carry the counts under ``intake``.
+    (one of them) bounds a batch; files beyond it wait. Progress reports carry the counts under ``intake``;
+    with ``counters`` a counter table there keeps them by batch, over restarts and replays.
     """
     payloads = read_payloads(spark, source, streaming=True, max_files_per_trigger=max_files_per_trigger, max_bytes_per_trigger=max_bytes_per_trigger)
     ok = F.col("status") == "ok"
@@ -57,9 +61,12 @@ def ingest(
         label = f"{name}-{batch_id}"
         kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            each = number_copies(kept)
-            write_signal(accepted_rows(each, signal), signal, table, label)
-            write_rejected(rejected_payloads(each), rejected, label)
+            with temporary(spark):
+                each = number_copies(kept)
+                write_signal(accepted_rows(each, signal), signal, table, label)
+                write_rejected(rejected_payloads(each), rejected, label)
+            if counters:
+                CounterTable(spark, counters).put(f"{name}-{signal}", batch_id, **intake_counts(kept))
         finally:
             kept.unpersist()
 
@@ -72,6 +79,17 @@ def ingest(
     )
 
 
+def intake_counts(decoded: DataFrame) -> dict[str, int]:
+    """Payloads by status, and rows accepted and rejected, of decoded payloads: a handful of numbers."""
+    counts: Counter = Counter(payloads=0, accepted=0, rejected=0)
+    by_status = decoded.groupBy("status").agg(F.count(F.lit(1)).alias("payloads"), F.sum("n_rows").cast("bigint").alias("rows"))
+    for r in by_status.collect():  # one row per status
+        counts["payloads"] += r["payloads"]
+        counts[f"payloads_{r['status']}"] = r["payloads"]
+        counts["accepted" if r["status"] == "ok" else "rejected"] += r["rows"]
+    return dict(counts)
+
+
 def dedup_by_id(stream: DataFrame, ids: list[str], within: str) -> DataFrame:
     """First row of each id; ids are remembered for ``within`` of event time."""
     return stream.withWatermark("timestamp", within).dropDuplicatesWithinWatermark(ids)
@@ -99,10 +117,13 @@ class Counters(StreamingQueryListener):
 
     A query itself holds only its last progress reports; this adds up each one as
     it comes. Register it with ``spark.streams.addListener`` before the queries start.
+    With a ``table`` each report is also kept there, by the query's id and the batch:
+    a restarted query goes on with its sums, and a batch that is replayed counts once.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, table: CounterTable | None = None) -> None:
         self.totals: dict[str, Counter] = defaultdict(Counter)  # by run id of the query
+        self.table = table
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -110,7 +131,10 @@ class Counters(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         progress, total = event.progress, self.totals[str(event.progress.runId)]
         total["rows"] += progress.numInputRows
-        total["late"] += sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+        late = sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+        total["late"] += late
+        if self.table and (progress.numInputRows or late):
+            self.table.put(str(progress.id), progress.batchId, rows=progress.numInputRows, late=late)
         if "intake" in progress.observedMetrics:
             total.update({k: v or 0 for k, v in progress.observedMetrics["intake"].asDict().items()})
 

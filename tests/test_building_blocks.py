@@ -75,6 +75,28 @@ def test_exact_quantiles(spark):
     assert got.first()["p50"] == sorted(v for _, v in doubles)[249]
 
 
+@pytest.mark.parametrize("kind", ["bigint", "double", "decimal(20,0)"])
+def test_a_wide_band_is_counted_again_until_it_fits(spark, kind, monkeypatch):
+    """Different values in one band, and one value that most rows share: no window holds more than 500 rows."""
+    rng = random.Random(9)
+    base = 2**63 - 10**6 if kind == "bigint" else 2**64 - 10**6 if kind != "double" else 1e15
+    many = sorted(rng.sample(range(200_000), 20_000))
+    values = many + [many[5000]] * 30_000
+    df = spark.createDataFrame([(v,) for v in values], "n bigint").selectExpr("'g' AS g", f"CAST(n + CAST({base} AS {kind}) AS {kind}) AS v")
+    df = df.unionByName(spark.range(300).selectExpr("'small' AS g", f"CAST(id AS {kind}) AS v"))
+    ranked = []
+    holding = quantiles._holding
+    monkeypatch.setattr(quantiles, "_holding", lambda bands, keys, order="_band": ranked.append((bands, tuple(keys))) or holding(bands, keys, order))
+    qs = {"q0": 0.0, "p05": 0.05, "p50": 0.5, "p90": 0.9, "p999": 0.999, "q1": 1.0}
+    got = {r["g"]: [r[n] for n in qs] for r in quantiles.exact_quantiles(df, ["g"], "v", qs, rows_per_window=500).collect()}
+    ordered_values = sorted(values)
+    assert [int(x - type(x)(base)) for x in got["g"]] == [ordered_values[max(math.ceil(q * len(values)), 1) - 1] for q in qs.values()]
+    assert [int(x) for x in got["small"]] == [max(math.ceil(q * 300), 1) - 1 for q in qs.values()]
+    assert len(ranked) > 2  # bands were counted again
+    last, keys = ranked[-1]
+    assert last.groupBy(*keys).agg(F.sum("_n").alias("n")).agg(F.max("n")).first()[0] <= 500
+
+
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 def test_lookup_join_splits_a_hot_key(spark, how):
     rows = [(n, "hot" if n % 3 == 0 else f"k{n % 500}") for n in range(6000)] + [(9000 + n, "") for n in range(50)]
@@ -112,6 +134,20 @@ def test_top_per_group_beyond_the_group_limit(spark):
     assert got.filter("g = 1 AND rank = 1500").first()["id"] == 4999 - 2 * 1499
 
 
+@pytest.mark.parametrize("k", [1, 7, 5000])
+def test_top_per_group_for_any_k(spark, k):
+    """One group holds most rows, one is small, one has a NULL key; equal values are told apart by id."""
+    rng = random.Random(k)
+    rows = [(rng.choice(["big"] * 8 + ["small", None]), rng.randint(0, 3000), n) for n in range(20_000)]
+    df = spark.createDataFrame(rows, "g string, v bigint, id bigint").repartition(7)
+    got = topk.top_per_group(df, ["g"], [F.col("v").desc(), F.col("id")], k, ["id"])
+    want = set()
+    for g in ("big", "small", None):
+        best = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))[:k]
+        want |= {(*r, n) for n, r in enumerate(best, 1)}
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_rounding_and_sums(spark):
     df = spark.createDataFrame([(0.125, 2), (0.375, 2), (2.5, 0), (-2.5, 0)], "x double, n int")
     got = df.select(*[round_even("x", d).alias(f"r{d}") for d in (0, 2)]).collect()

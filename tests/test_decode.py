@@ -3,6 +3,7 @@
 import random
 import string
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,8 +49,10 @@ CORPUS = [
     ("traces", f'{{{T},"duration_ns":1e3}}', "invalid_json", 0),
     ("traces", f'{{{T},"duration_ns":-1}}', "invalid_json", 0),
     ("traces", f'{{{T},"duration_ns":9223372036854775807}}', "ok", 1),
-    ("traces", f'{{{T},"duration_ns":9223372036854775808}}', "out_of_range", 0),
-    ("traces", f'{{{T},"duration_ns":18446744073709551615}}', "out_of_range", 0),
+    ("traces", f'{{{T},"duration_ns":9223372036854775808}}', "ok", 1),
+    ("traces", f'{{{T},"duration_ns":18446744073709551615}}', "ok", 1),
+    ("traces", f'[{{{T},"span_id":"a"}},{{{T},"duration_ns":18446744073709551615}},{{{T},"span_id":"b"}}]', "ok", 3),
+    ("traces", f'[{{{T},"Duration_NS":18446744073709551615}},{{{T},"duration_ns":18446744073709551616}}]', "invalid_json", 0),
     ("traces", f'{{{T},"duration_ns":18446744073709551616}}', "invalid_json", 0),
     ("traces", f'{{{T},"service_name":5}}', "invalid_json", 0),
     ("traces", f'{{{T},"service_name":true}}', "invalid_json", 0),
@@ -66,7 +69,9 @@ CORPUS = [
     ("metrics", f'{{{T},"bucket_bounds":{{"a":1}}}}', "invalid_json", 0),
     ("metrics", f'{{{T},"bucket_bounds":null,"bucket_counts":[1,null]}}', "ok", 1),
     ("metrics", f'{{{T},"bucket_counts":[1,2.0]}}', "invalid_json", 0),
-    ("metrics", f'{{{T},"bucket_counts":[1,18446744073709551615]}}', "out_of_range", 0),
+    ("metrics", f'{{{T},"bucket_counts":[1,18446744073709551615]}}', "ok", 1),
+    ("metrics", f'{{{T},"bucket_counts":[1,18446744073709551616]}}', "invalid_json", 0),
+    ("metrics", f'{{{T},"count":18446744073709551615}}', "ok", 1),
     ("metrics", f'{{{T},"value":1e400}}', "invalid_json", 0),
     ("metrics", f'{{{T},"value":NaN}}', "invalid_json", 0),
     ("metrics", f'{{{T},"value":7}}', "ok", 1),
@@ -162,10 +167,10 @@ def test_random_rows_survive_a_round_trip(spark):
     def value(kind):
         return {
             "text": word, "time": lambda: datetime(2024, 1, rng.randint(1, 28), rng.randint(0, 23), 0, 0, rng.randint(0, 999) * 1000),
-            "u64": lambda: rng.randint(0, 2**63 - 1), "u32": lambda: rng.randint(0, 2**32 - 1),
+            "u64": lambda: Decimal(rng.choice([rng.randint(0, 2**64 - 1), 2**64 - 1, 2**63, rng.randint(0, 10**6)])), "u32": lambda: rng.randint(0, 2**32 - 1),
             "double": lambda: rng.choice([0.0, rng.uniform(-1e9, 1e9), rng.random() * 1e-9]),
             "doubles": lambda: [rng.uniform(-5, 5) for _ in range(rng.randint(0, 4))],
-            "u64s": lambda: [rng.randint(0, 10**12) for _ in range(rng.randint(0, 4))],
+            "u64s": lambda: [Decimal(rng.randint(0, 2**64 - 1)) for _ in range(rng.randint(0, 4))],
             "labels": lambda: {word(): word() for _ in range(rng.randint(0, 3))},
         }[kind]()
 

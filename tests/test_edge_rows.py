@@ -1,6 +1,7 @@
 """Rows that are easily lost: NULL and empty ids, tiny amounts, long durations."""
 
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,14 +12,20 @@ from spanloom.operators import dedup, incidents, metrics, quality, topk, traces,
 from spanloom.signals import SIGNALS
 
 AT = datetime(2024, 1, 1)
-ZERO = {"string": "", "bigint": 0, "int": 0, "double": 0.0, "timestamp": AT}
+ZERO = {"string": "", "bigint": 0, "decimal(20,0)": 0, "int": 0, "double": 0.0, "timestamp": AT}
 
 
 def rows(spark, signal, *given):
     """Rows of a signal from partial ones; NULL must be given."""
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in SIGNALS[signal].schema.fields])
     empty = {f.name: {} if isinstance(f.dataType, T.MapType) else [] if isinstance(f.dataType, T.ArrayType) else ZERO[f.dataType.simpleString()] for f in schema.fields}
-    return spark.createDataFrame([tuple((empty | g)[f.name] for f in schema.fields) for g in given], schema)
+
+    def typed(value, kind):
+        if isinstance(kind, T.ArrayType):
+            return [typed(v, kind.elementType) for v in value]
+        return Decimal(value) if isinstance(kind, T.DecimalType) and value is not None else value
+
+    return spark.createDataFrame([tuple(typed((empty | g)[f.name], f.dataType) for f in schema.fields) for g in given], schema)
 
 
 def test_tiny_and_huge_amounts_are_summed(spark):
@@ -60,6 +67,32 @@ def test_long_durations_and_empty_trace_ids(spark):
     assert traces.traces_with_errors(spans, logs, rows(spark, "ai_spans")).count() == 0
 
 
+def test_the_whole_range_of_unsigned_integers(spark):
+    top = 2**64 - 1
+    spans = rows(
+        spark, "traces", {"trace_id": "t", "span_id": "a", "service_name": "s", "duration_ns": top},
+        {"trace_id": "t", "span_id": "b", "parent_span_id": "a", "service_name": "s", "duration_ns": top - 1},
+        {"trace_id": "t", "span_id": "c", "parent_span_id": "a", "service_name": "s", "duration_ns": 3},
+    )
+    assert {(r.span_id, int(r.self_ns)) for r in traces.self_times(spans).collect()} == {("a", 0), ("b", top - 1), ("c", 3)}
+    assert [int(traces.red(spans).first()[q]) for q in ("p50_ns", "p99_ns")] == [top - 1, top]
+    assert int(traces.trace_summary(spans).first()["slowest_ns"]) == top
+    assert [int(r.duration_ns) for r in topk.slowest_spans(spans, 2).orderBy("rank").collect()] == [top, top - 1]
+    calls = rows(spark, "ai_spans", {"service_name": "s", "duration_ns": top}, {"service_name": "s", "duration_ns": top})
+    assert usage.usage(calls).first()["mean_ms"] == round(top / 1e6, 3)
+    two = rows(spark, "metrics", *[{"metric_type": "histogram", "count": top, "bucket_bounds": [1.0, 2.0], "bucket_counts": [top, top]}] * 2)
+    merged = metrics.merge_histograms(two)
+    assert [int(n) for n in merged.first()["bucket_counts"]] == [2 * top, 2 * top] and int(merged.first()["count"]) == 2 * top
+    for cumulative in (True, False):
+        assert 0 < metrics.histogram_quantiles(merged, {"p50": 0.5}, cumulative).first()["p50"] <= 1.0
+
+
+def test_groups_with_a_null_key_have_quantiles(spark):
+    table = spark.createDataFrame([("a", 1), (None, 5), (None, 7)], "g string, v bigint")
+    assert {(r.g, r.p50) for r in exact_quantiles(table, ["g"], "v", {"p50": 0.5}).collect()} == {("a", 1), (None, 5)}
+    assert exact_quantiles(table, [], "v", {"p50": 0.5}).first()["p50"] == 5
+
+
 def test_one_join_tells_long_and_orphaned_spans(spark):
     spans = rows(
         spark, "traces", {"trace_id": "t", "span_id": "a", "duration_ns": 5}, {"trace_id": "t", "span_id": "b", "parent_span_id": "a", "duration_ns": 9},

@@ -35,6 +35,23 @@ def test_top_per_group_cuts_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan_of(spark, "w4_slowest_spans")
 
 
+def nodes(spark, name):
+    plan = plan_of(spark, name)
+    return len(re.findall(r"(?<!Reused)(?<!Broadcast)Exchange ", plan)), len(re.findall(r"FileScan|Scan parquet", plan))
+
+
+@pytest.mark.parametrize("name", ["j1_logs_with_spans", "j3_self_time", "j3_span_with_parent", "j5_orphan_spans", "a7_service_edges", "j5_dangling_triggers"])
+def test_joins_to_a_lookup_read_each_side_once(spark, name):
+    """No pass that only counts keys: the scans are those of the two sides and of the rows that cannot match."""
+    exchanges, scans = nodes(spark, name)
+    assert "_bucket" not in plan_of(spark, name) and exchanges <= 5, exchanges
+    assert scans <= 6, scans
+
+
+def test_impact_of_incidents_takes_few_exchanges(spark):
+    assert nodes(spark, "j7_incident_impact")[0] <= 12
+
+
 def test_only_needed_columns_are_read(spark):
     plan = plan_of(spark, "q1_total_tokens")
     assert "ReadSchema: struct<role:string,text:string>" in plan or "ReadSchema: struct<text:string,role:string>" in plan
