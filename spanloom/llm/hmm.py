@@ -12,9 +12,13 @@ corpus. Unknown words have one unit of mass in every shared class: all probabili
    are broadcast (that many rows at most); the other words are listed and looked up by a join.
 3. ``train``: Baum-Welch. Tasks run the scaled forward and backward recursions over windows of
    ``window`` tokens, many at once, and send expected counts; sums of them give the next model.
-   Windows cut only how training sees a text; all tokens take part.
+   A window after a text's first begins with the token before it, so moves across borders count
+   and only true beginnings count as starts; its first state comes from the moves' own balance.
 4. ``score``: the scaled forward recursion over each whole text gives its exact likelihood.
 
+A very long text is split into words a megabyte at a time; its classes take two bytes a token,
+its scoring about 12.
+
 Defined cases: a null or empty text is the end token alone; a null id counts as the text
 ``null`` where ids are hashed; repeated rows are scored each; without training rows N and V
 are 0 and the model is uniform; an empty table gives an empty result.
@@ -23,10 +27,12 @@ are 0 and the model is uniform; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +42,8 @@ from pyspark.sql import functions as F
 from .common import held_out_crc, ids_and_texts, out_rows, raw, stored, tuned
 
 END = b"\n"  # no word holds white space
+PIECE = 1 << 20  # bytes of a text that are split into words at once
+SPACE = re.compile(rb"[ \t-\r]")
 
 
 @dataclass(frozen=True)
@@ -56,8 +64,15 @@ class Settings:
         return self.own_classes + self.shared_classes
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]
+def pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The tokens of a text, some at a time."""
+    at = 0
+    while len(text) - at > PIECE:
+        found = SPACE.search(text, at + PIECE)
+        end = found.start() if found else len(text)
+        yield text[at:end].lower().split()
+        at = end
+    yield [*text[at:].lower().split(), END]
 
 
 def shared_class(word: bytes, s: Settings) -> int:
@@ -78,10 +93,11 @@ def vocabulary(training: DataFrame) -> DataFrame:
             counts: Counter = Counter()
             for batch in batches:
                 for text in raw(batch.column(0)):
-                    counts.update(tokens(text))
-                    if len(counts) > 400_000:
-                        yield from counts.items()
-                        counts = Counter()
+                    for some in pieces(text):
+                        counts.update(some)
+                        if len(counts) > 400_000:
+                            yield from counts.items()
+                            counts = Counter()
             yield from counts.items()
 
         yield from out_rows({"word": pa.binary(), "n": pa.int64()}, counted())
@@ -98,96 +114,100 @@ class Words:
     total: int  # N
     different: int  # V
     own: dict[bytes, int]  # word to class
-    held: dict[bytes, tuple[int, float, float]]  # word to class, log10(c + 1), log10 p(word | class)
+    held: dict[bytes, int]  # word to its place in the next three
+    held_class: np.ndarray
+    held_base: np.ndarray  # log10(c + 1)
+    held_inner: np.ndarray  # log10 p(word | class)
     class_counts: np.ndarray  # training tokens by class
     class_masses: np.ndarray  # of shared classes: sum of (c + 1) of its words, and 1
 
 
 def most_frequent(vocab: DataFrame, most: int) -> DataFrame:
-    """The words above a count that at most ``most`` words reach.
+    """About the ``most`` most frequent words.
 
-    The count comes from a histogram with a fixed number of bands (16 for each doubling), so
-    tasks send only words that are wanted; a sorted limit would bring ``most`` from each task.
+    The least count comes from a histogram with a fixed number of bands (16 for each doubling), so
+    tasks send only words that are wanted; a sorted limit would bring ``most`` from each task. Of
+    the band that would pass ``most``, a hash picks the share of words that fits.
     """
     band = F.floor(F.log2(F.col("c")) * 16)
     sizes = vocab.groupBy(band.alias("band")).agg(F.count("*").alias("words")).collect()
-    least, total = 1 << 62, 0
+    room = most
     for r in sorted(sizes, key=lambda r: -r["band"]):
-        total += r["words"]
-        if total > most:
-            break
-        least = r["band"]
-    return vocab.where(band >= least)
+        if r["words"] > room:
+            picked = F.pmod(F.xxhash64("word"), F.lit(1 << 32)) < int(room / r["words"] * (1 << 32))
+            return vocab.where((band > r["band"]) | ((band == r["band"]) & picked))
+        room -= r["words"]
+    return vocab
 
 
 def summarize(vocab: DataFrame, s: Settings) -> Words:
-    """The bounded summary; brings at most ``held_words`` words and one row per class to the driver."""
-    total, different = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ranked = sorted(((bytes(r.word), r.c) for r in most_frequent(vocab, s.held_words).collect()), key=lambda r: (-r[1], r[0]))
-    own = {END: 0}
-    for word, _ in ranked:
-        if len(own) == s.own_classes:
-            break
-        own.setdefault(word, len(own))
+    """The bounded summary; brings about ``held_words`` words and one row per class to the driver."""
+    total, different, ends = vocab.agg(
+        F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0))
+    ).first()
+    words = ((bytes(r.word), r.c) for r in most_frequent(vocab, s.held_words).collect())
+    # The end token is always held, in the first class, however rare it is.
+    ranked = [(END, ends), *sorted((r for r in words if r[0] != END), key=lambda r: (-r[1], r[0]))]
+    own = {word: i for i, (word, _) in enumerate(ranked[: s.own_classes])}
     counts, masses = np.zeros(s.classes), np.ones(s.classes)
     by_class = vocab.groupBy(shared_class_column(s).alias("class")).agg(F.sum("c").alias("c"), F.count("*").alias("words"))
     for r in by_class.collect():  # as if no word had a class of its own; these are taken out below
         counts[r["class"]], masses[r["class"]] = r.c, r.c + r.words + 1
-    for word, c in ranked:
-        if word in own:
-            counts[own[word]] = c
+    if total:
+        for word, cls in own.items():
+            c = ranked[cls][1]
+            counts[cls] = c
             masses[shared_class(word, s)] -= c + 1
             counts[shared_class(word, s)] -= c
-    held = {}
-    for word, c in ranked:
-        cls = own.get(word)
-        if cls is None:
-            cls = shared_class(word, s)
-            held[word] = (cls, math.log10(c + 1), math.log10((c + 1) / masses[cls]))
-        else:
-            held[word] = (cls, math.log10(c + 1), 0.0)
-    held.setdefault(END, (0, 0.0, 0.0))
-    return Words(s, total, different, own, held, counts, masses)
+    classes = np.array([own[word] if word in own else shared_class(word, s) for word, _ in ranked], np.uint16)
+    plus_one = np.array([c + 1 for _, c in ranked], float)
+    inner = np.where(classes < s.own_classes, 0.0, np.log10(plus_one / masses[classes]))
+    held = {word: i for i, (word, _) in enumerate(ranked)}
+    return Words(s, total, different, own, held, classes, np.log10(plus_one), inner, counts, masses)
 
 
 CODED = {
     "row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_held": pa.int64(),
-    "base": pa.float64(), "inner": pa.float64(), "classes": pa.binary(), "rest": pa.list_(pa.binary()),
+    "base": pa.float64(), "inner": pa.float64(), "classes": pa.binary(), "rest": pa.list_(pa.binary()), "times": pa.list_(pa.int64()),
 }
-CODED_DDL = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_held bigint, base double, inner double, classes binary, rest array<binary>"
+CODED_DDL = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_held bigint, base double, inner double, classes binary, rest array<binary>, times array<bigint>"
 
 
 def encode(texts: DataFrame, words: Words) -> DataFrame:
-    """Texts as class sequences (unsigned 16-bit), sums over held words, and the other words."""
+    """Texts as class sequences (unsigned 16-bit), sums over held words, and the other words with their counts."""
     shared = texts.sparkSession.sparkContext.broadcast(words)
     s = words.settings
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held, known = shared.value.held, shared.value.class_counts
+        known = shared.value
         row = TaskContext.get().partitionId() << 40
 
         def coded():
             nonlocal row
             for batch in batches:
                 for doc_id, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2))):
-                    toks = tokens(text)
-                    found = list(map(held.get, toks))
-                    rest = []
-                    if None in found:
-                        for i, f in enumerate(found):
-                            if f is None:
-                                rest.append(toks[i])
-                                found[i] = (shared_class(toks[i], s), 0.0, 0.0)
-                    classes, base, inner = zip(*found)
-                    n_held = len(toks) - len(rest)
-                    if known[0] == 0:  # no training rows: even the end token is unknown
-                        n_held -= classes.count(0)
-                    yield row, doc_id, out, len(toks), n_held, math.fsum(base), math.fsum(inner), np.array(classes, "<u2").tobytes(), rest
+                    n_tokens = n_held = 0
+                    base = inner = 0.0
+                    classes, rest = [], Counter()
+                    for some in pieces(text):
+                        at = np.fromiter(map(known.held.get, some, repeat(-1)), np.int64, len(some))
+                        found = at[at >= 0]
+                        its = known.held_class[at]
+                        if len(found) < len(some):
+                            others = [some[i] for i in np.flatnonzero(at < 0).tolist()]
+                            its[at < 0] = [shared_class(word, s) for word in others]
+                            rest.update(others)
+                        classes.append(its.astype("<u2").tobytes())
+                        n_tokens, n_held = n_tokens + len(some), n_held + len(found)
+                        base, inner = base + float(known.held_base[found].sum()), inner + float(known.held_inner[found].sum())
+                    if not known.total:  # no training rows: even the end token is unknown
+                        n_held -= 1
+                    yield row, doc_id, out, n_tokens, n_held, base, inner, b"".join(classes), list(rest), list(rest.values())
                     row += 1
 
-        yield from out_rows(CODED, coded(), lambda r: 96 + 24 * r[3])
+        yield from out_rows(CODED, coded(), lambda r: 96 + len(r[7]) + 48 * len(r[8]))
 
     return texts.select("doc_id", "held_out", "text").mapInArrow(mapper, CODED_DDL)
 
@@ -214,32 +234,47 @@ def class_shares(words: Words) -> np.ndarray:
     return (words.class_counts + 1) / (words.class_counts + 1).sum()
 
 
-def windows(sequences: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences cut in windows: a matrix padded with 0, longest first, and the lengths."""
-    cut = [x[at : at + size] for x in sequences for at in range(0, len(x), size)]
-    cut.sort(key=len, reverse=True)
-    lengths = np.array([len(x) for x in cut])
+def windows(sequences: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences cut in windows: a matrix padded with 0, longest first, the lengths, and which begin a text.
+
+    A window that does not has one token more, the one before it.
+    """
+    cut = [(x[max(at - 1, 0) : at + size], at == 0) for x in sequences for at in range(0, len(x), size)]
+    cut.sort(key=lambda w: len(w[0]), reverse=True)
+    lengths = np.array([len(x) for x, _ in cut])
     matrix = np.zeros((len(cut), int(lengths[0]) if len(cut) else 0), np.int64)
-    matrix[np.arange(matrix.shape[1]) < lengths[:, None]] = np.concatenate(cut) if cut else 0
-    return matrix, lengths
+    matrix[np.arange(matrix.shape[1]) < lengths[:, None]] = np.concatenate([x for x, _ in cut]) if cut else 0
+    return matrix, lengths, np.array([first for _, first in cut], bool)
+
 
+def balance(move: np.ndarray) -> np.ndarray:
+    """Shares of the states that the moves leave as they are."""
+    share = np.full(len(move), 1 / len(move))
+    for _ in range(200):
+        share = share @ move
+    return share / share.sum()
 
-def expected(model: Model, matrix: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected start, move and emission counts of windows, and their log likelihood."""
+
+def expected(model: Model, matrix: np.ndarray, lengths: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected start, move and emission counts of windows, and their log likelihood.
+
+    The token that leads into a window counts for its move alone.
+    """
     n, size, k = len(lengths), matrix.shape[1], len(model.start)
     active = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(size)]  # windows longer than t
     alphas, scales, emits = [], [], []
     alpha = None
+    first = np.where(begins[:, None], model.start, balance(model.move))
     for t in range(size):
         m = active[t]
         e = model.emit[matrix[:m, t]]
-        alpha = (model.start if t == 0 else alpha[:m] @ model.move) * e
+        alpha = (first if t == 0 else alpha[:m] @ model.move) * e
         scale = alpha.sum(axis=1)
         alpha = alpha / scale[:, None]
         alphas.append(alpha)
         scales.append(scale)
         emits.append(e)
-    move, log_likelihood = np.zeros((k, k)), float(sum(np.log(s).sum() for s in scales))
+    move, log_likelihood = np.zeros((k, k)), float(np.log(scales[0][begins]).sum() + sum(np.log(s).sum() for s in scales[1:]))
     gammas, symbols = [], []
     beta = np.ones((n, k))
     for t in range(size - 1, -1, -1):
@@ -251,6 +286,7 @@ def expected(model: Model, matrix: np.ndarray, lengths: np.ndarray) -> tuple[np.
             beta[:ahead] = weighted @ model.move.T
         gammas.append(alphas[t] * beta[:m])
         symbols.append(matrix[:m, t])
+    gammas[-1] = gammas[-1] * begins[:, None]
     gamma, symbol = np.concatenate(gammas), np.concatenate(symbols)
     emit = np.stack([np.bincount(symbol, gamma[:, i], len(model.emit)) for i in range(k)], axis=1)
     return gammas[-1].sum(axis=0), move, emit, log_likelihood
@@ -374,14 +410,16 @@ def rest_sums(coded: DataFrame, vocab: DataFrame, words: Words) -> DataFrame:
     masses = coded.sparkSession.createDataFrame(
         [(i, float(words.class_masses[i])) for i in range(s.own_classes, s.classes)], "its_class int, mass double"
     )
-    rest = coded.select("row", F.explode("rest").alias("word"))
-    # Rows of one text, then one row per text and task: frequent words are not in here, so no word is hot.
+    rest = coded.select("row", F.inline(F.arrays_zip(F.col("rest").alias("word"), "times")))
+    # A text's word is one row, and frequent words are not in here, so no word is hot.
     counted = vocab.select(F.col("word").alias("its_word"), "c")
     joined = rest.join(counted, F.col("word") == F.col("its_word"), "left").withColumn("its", shared_class_column(s))
     c = F.coalesce("c", F.lit(0))
     with_mass = joined.join(F.broadcast(masses), F.col("its") == F.col("its_class"))
+    times = F.col("times")
     return with_mass.groupBy("row").agg(
-        F.sum((c > 0).cast("long")).alias("rest_known"), F.sum(F.log10(c + 1)).alias("rest_base"), F.sum(F.log10((c + 1) / F.col("mass"))).alias("rest_inner")
+        F.sum(F.when(c > 0, times).otherwise(0)).alias("rest_known"), F.sum(times * F.log10(c + 1)).alias("rest_base"),
+        F.sum(times * F.log10((c + 1) / F.col("mass"))).alias("rest_inner"),
     )
 
 

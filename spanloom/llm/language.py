@@ -6,11 +6,12 @@ longer context that was seen but not with this byte costs an escape (method C: d
 followers / (count + distinct followers)); bytes never seen at all are coded evenly over 256.
 The code length of a text under each language's frozen counts is exact, and the shortest wins.
 
-Counts come from a bounded sample of labelled text, at most about ``sample_bytes`` bytes a
-language: blocks of 4 KB of all its rows, chosen by a hash of id, text and place, so that few long
+Counts come from a bounded sample of labelled text, about ``sample_bytes`` bytes a language and,
+with many languages, an even share of ``all_sample_bytes`` each: blocks of 4 KB of all its rows, chosen by a hash of id, text and place, so that few long
 texts are sampled like many short ones. The trees have a bounded size and are broadcast. All
-rows are predicted, over whole texts. Texts are lower-cased (A-Z); each different context and
-byte of a batch is looked up once.
+rows are predicted, over whole texts, a megabyte at a time, so a very long text costs time in
+proportion and little memory beside its own. Texts are lower-cased (A-Z); each different context
+and byte of a batch is looked up once.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without labelled
 rows all are ``und``; ties go to the first language by name; repeated rows are predicted alike;
@@ -33,11 +34,17 @@ from .common import held_out_crc, out_rows, row_key, stored, tuned
 
 ORDER = 4
 SAMPLE_BYTES = 1_500_000
+ALL_SAMPLE_BYTES = 24_000_000  # of all languages together; each has one block of BLOCK bytes at least
 BLOCK = 4096  # bytes of a text that are sampled together
-LETTER = re.compile(r"[^\W\d_]")
+LIKE_LETTERS = re.compile(r"[^\W\d_]+")  # also numeric signs such as fractions, which are no letters
 UNDETERMINED = "und"
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of any category L is in the text."""
+    return any(c.isalpha() for found in LIKE_LETTERS.finditer(text) for c in found.group())
+
+
 def grams(data: bytes, order: int) -> np.ndarray:
     """For each byte, itself and the ``order`` bytes before it, as one number; spaces lead in."""
     return windows(b" " * order + data, order)
@@ -99,15 +106,17 @@ class Tree:
         return cost
 
 
-def sample(labelled: DataFrame, sample_bytes: int, order: int = ORDER) -> DataFrame:
-    """lang, block: blocks of all rows by their hash, each language at about ``sample_bytes`` bytes in expectation.
+def sample(labelled: DataFrame, sample_bytes: int, order: int = ORDER, all_sample_bytes: int = ALL_SAMPLE_BYTES) -> DataFrame:
+    """lang, block: blocks of all rows by their hash, each language at about ``sample_bytes`` bytes in expectation,
+    or at its even share of ``all_sample_bytes`` where that is less.
 
     A block begins with the ``order`` bytes before it. A language without a chosen block gets the one of smallest
     hash; blocks of equal rows have equal hashes and count once.
     """
     # Written first, so that Spark sees how small it is and leaves the texts where they are.
     sizes = stored(labelled.groupBy(F.col("lang").alias("its_lang")).agg(F.sum(F.octet_length("text")).alias("all_bytes")), "language-sizes")
-    share = F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest(F.col("all_bytes"), F.lit(1)))
+    each = min(sample_bytes, all_sample_bytes / max(sizes.count(), 1))
+    share = F.least(F.lit(1.0), F.lit(float(each)) / F.greatest(F.col("all_bytes"), F.lit(1)))
     data = F.concat(F.lit(b" " * order), F.col("text").cast("binary"))
     last = F.floor(F.greatest(F.octet_length("text") - 1, F.lit(0)) / BLOCK).cast("int")
     place = lambda number: F.pmod(F.xxhash64("key", number), F.lit(1 << 62))
@@ -151,20 +160,30 @@ CHUNK = 1_000_000  # bytes looked up at a time
 def predict_batch(texts: list[str | None], trees: dict[str, Tree], order: int) -> tuple[list[str], list[float]]:
     names = list(trees)
     chosen, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-    rows = [i for i, t in enumerate(texts) if names and t and LETTER.search(t)]
-    at = 0
-    while at < len(rows):
-        some, size = [], 0
-        while at < len(rows) and size < CHUNK:
-            some.append((rows[at], grams(texts[rows[at]].encode("utf-8", "surrogatepass"), order)))
-            size += len(some[-1][1])
-            at += 1
+    rows = [i for i, t in enumerate(texts) if names and t and has_letter(t)]
+    bits = np.zeros((len(rows), len(names)))
+
+    def add(some: list[tuple[int, np.ndarray]]) -> None:
         codes, different = pd.factorize(np.concatenate([g for _, g in some]))
         starts = np.concatenate([[0], np.cumsum([len(g) for _, g in some])[:-1]])
-        bits = np.stack([np.add.reduceat(trees[name].bits(different)[codes], starts) for name in names], axis=1)
+        found = np.stack([np.add.reduceat(trees[name].bits(different)[codes], starts) for name in names], axis=1)
+        np.add.at(bits, [row for row, _ in some], found)
+
+    some, size = [], 0
+    for row, i in enumerate(rows):
+        data = b" " * order + texts[i].encode("utf-8", "surrogatepass")
+        for at in range(0, len(data) - order, CHUNK):
+            some.append((row, windows(data[at : at + CHUNK + order], order)))
+            size += len(some[-1][1])
+            if size >= CHUNK:
+                add(some)
+                some, size = [], 0
+    if some:
+        add(some)
+    if rows:
         share = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0))
         share /= share.sum(axis=1, keepdims=True)
-        for (i, _), best, s in zip(some, bits.argmin(axis=1), share):
+        for i, best, s in zip(rows, bits.argmin(axis=1), share):
             chosen[i], scores[i] = names[best], float(s[best])
     return chosen, scores
 

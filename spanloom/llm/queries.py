@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, hmm, language, lines, mixing, packing, pii, quality, simhash, substring, warc
-from .common import tuned
+from . import exact, hmm, language, lines, mixing, packing, pii, quality, repair, simhash, substring, trie, warc
+from ..functions.spread import null_safe_join
+from .common import stored, tuned
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,13 +116,103 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.train_and_predict(docs, held_out=lambda crc: F.pmod(crc, F.lit(4)) == 2)
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """The damage of op11's contract, by CRC-32 of ``conv_id:turn``."""
+    known = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    chosen = rows.select("*", (F.crc32(F.concat_ws(":", known("conv_id"), known("turn")).cast("binary")) % 20).alias("damage"))
+    damage, text = F.col("damage"), known("text")
+    copies = F.when(damage == 0, 0).when(damage == 3, 2).otherwise(1)
+    return chosen.select(
+        "conv_id", "turn", F.when(damage == 4, "user").otherwise(known("role")).alias("role"),
+        F.when(damage == 1, "").when(damage == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), copies)).alias("copy"),
+    ).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    broken = damaged(rows)
+    audits = stored(repair.audit(broken), "audits")
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    found = null_safe_join(rows.select("conv_id").distinct(), audits, ["conv_id"])
+    found = null_safe_join(found, repair.digests(broken, audits), ["conv_id"])
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0).cast("long")).alias(name)
+    return found.select(
+        "conv_id", *(zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256"),
+    )
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    bits = "list_reduce(range(8), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b))"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, b: {bits}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def edit_sql(later: str, cost: str, letter: str, line: str) -> str:
+    """An edit before those of ``later``: nine digits of cost, the letters, a mark, the repaired lines."""
+    return (
+        f"lpad((substr({later}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || '{letter}' || substr({later}, 10, strpos({later}, chr(1)) - 9)"
+        f" || {line} || substr({later}, strpos({later}, chr(1)) + 1)"
+    )
+
+
+def plain_sql(state: int) -> str:
+    """The cheapest of delete, keep and rerole in a state, as one comparable text."""
+    reroled = repair.NEXT[state]
+    keeps = " ".join(
+        f"WHEN initial = '{initial}' THEN {edit_sql(f'e{repair.KEPT[state, kind]}', '5 * (fault = 3)::BIGINT', 'K', "chr(10) || role || ':' || text")}"
+        for initial, kind in repair.KINDS.items() if (state, kind) in repair.KEPT
+    )
+    reroles = edit_sql(f"e{reroled}", "1 + 5 * (fault = 3)::BIGINT", "R", f"chr(10) || '{repair.ROLE[state].decode()}:' || text")
+    return f"least({edit_sql(f'e{state}', '2', 'D', "''")}, CASE WHEN fault IN (1, 2) THEN NULL {keeps} END, CASE WHEN fault NOT IN (1, 2) THEN {reroles} END)"
+
+
+def insert_sql(state: int, later: str) -> str:
+    return edit_sql(later, "5", "I", f"chr(10) || '{repair.ROLE[state].decode()}:'")
+
+
+def best_sql(state: int, e: str) -> str:
+    """The same with up to two inserts before it."""
+    after = repair.NEXT[state]
+    return f"least({e}{state}, {insert_sql(state, f'{e}{after}')}, {insert_sql(state, insert_sql(after, f'{e}{repair.NEXT[after]}'))})"
+
+
+OP11 = f"""
+WITH RECURSIVE named AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+hit AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql('name')} % 20 AS damage FROM named),
+broken AS (SELECT conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role,
+  CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE damage WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hit),
+turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, substr(role, 1, 1) AS initial, rtrim(text, {BLANK}) AS body FROM broken),
+judged AS (SELECT *, CASE WHEN body = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+  lead(initial) OVER (PARTITION BY conv_id ORDER BY i) AS later FROM turns),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+  count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+  count(*) FILTER (later IS NOT NULL AND initial || '>' || later NOT IN ('s>u', 'u>a', 'a>u')) AS illegal FROM judged GROUP BY conv_id),
+best AS (SELECT conv_id, n AS left_, '000000000' || chr(1) AS e0, '000000010II' || chr(1) || chr(10) || 'user:' || chr(10) || 'assistant:' AS e1,
+  '000000005I' || chr(1) || chr(10) || 'assistant:' AS e2, '000000000' || chr(1) AS e3 FROM counts
+  UNION ALL SELECT conv_id, left_ - 1, {best_sql(0, 'p')}, {best_sql(1, 'p')}, {best_sql(2, 'p')}, {best_sql(3, 'p')}
+  FROM (SELECT b.conv_id, left_, {', '.join(f'{plain_sql(s)} AS p{s}' for s in range(4))}
+    FROM best b JOIN judged t ON b.conv_id IS NOT DISTINCT FROM t.conv_id AND b.left_ = t.i)),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(substr(e0, 1, 9)::BIGINT, 0) AS cost, coalesce(substr(e0, 10, strpos(e0, chr(1)) - 10), '') AS audit,
+  sha256(coalesce(substr(e0, strpos(e0, chr(1)) + 2), '')) AS repaired_sha256
+FROM ids i LEFT JOIN counts c ON i.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best b ON i.conv_id IS NOT DISTINCT FROM b.conv_id AND b.left_ = 0
+"""
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 OP12 = f"""
-WITH texts AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '') AS ws FROM documents),
+WITH texts AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
 spots AS (SELECT doc_id, ws, unnest(range(len(ws))) AS pos FROM texts),
 wins AS (SELECT doc_id, pos, ws[pos + 1] AS word, CASE WHEN pos + {substring.WINDOW} <= len(ws) THEN array_to_string(ws[pos + 1 : pos + {substring.WINDOW}], ' ') END AS win FROM spots),
 owned AS (SELECT doc_id, pos, word, win IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY win) AS dup FROM wins),
@@ -132,10 +223,36 @@ FROM texts t LEFT JOIN kept k USING (doc_id)
 """
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = lambda conv: F.crc32(conv.cast("string").cast("binary")) % 9
+    return trie.trie(table(spark, sf_dir, "conversations"), lambda conv: conv - conv % 5, head, longest_head=8)
+
+
+OP13 = f"""
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS i FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id AS c, conv_id - conv_id % 5 AS base, conv_id::VARCHAR AS name, count(*) AS n FROM turns GROUP BY conv_id),
+convs AS (SELECT a.c, a.base, a.n, {crc32_sql('a.name')} % 9 AS h, coalesce(b.n, 0) AS n_base FROM ids a LEFT JOIN ids b ON b.c = a.base),
+rebuilt AS (SELECT c, i AS d, role, text FROM convs JOIN turns ON conv_id = base AND i <= h
+  UNION ALL SELECT c, least(h, n_base) + i - h, role, text FROM convs JOIN turns ON conv_id = c AND i > h),
+paths AS (SELECT c, d, octet_length(encode(text)) AS size, string_agg(sha256(octet_length(encode(role)) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY d) AS path FROM rebuilt
+  UNION ALL SELECT c, 0, 0, '' FROM convs),
+nodes AS (SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, max(size) AS size, left(path, greatest(64 * (d - 1), 0)) AS above FROM paths GROUP BY d, path),
+lasts AS (SELECT c, max_by(path, d) AS path FROM paths GROUP BY c),
+finals AS (SELECT path, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends FROM lasts GROUP BY path),
+children AS (SELECT above AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY above),
+counted AS (SELECT x.*, coalesce(n, 0) AS n_children FROM nodes x LEFT JOIN children k USING (path)),
+subtrees AS (SELECT x.path, count(*) FILTER (y.n_children = 0) AS n_leaves, sum((y.n_convs - 1) * y.size)::BIGINT AS saved FROM counted x JOIN counted y ON starts_with(y.path, x.path) GROUP BY x.path)
+SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM counted x JOIN subtrees USING (path) LEFT JOIN finals f ON f.path = x.path LEFT JOIN nodes p ON x.d > 0 AND p.path = x.above
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_line_dedup, op3_exact_dedup, op4_mixing, op5_packing, op6_lm_scoring, op7_pii, op8_simhash, op9_quality, op10_language_id, op12_substring_dedup)
+    for f in (op1_warc, op2_line_dedup, op3_exact_dedup, op4_mixing, op5_packing, op6_lm_scoring, op7_pii, op8_simhash, op9_quality, op10_language_id, op11_conversation_repair,
+              op12_substring_dedup, op13_prefix_trie)
 }
 
 #: Tokenizer files, trained models, XXH64 and rolling-hash coverage have no SQL twin: tests hold those queries to brute force.
-ORACLES: dict[str, str] = {"op1_warc": OP1, "op2_line_dedup": OP2, "op3_exact_dedup": OP3, "op4_mixing": OP4, "op12_substring_dedup": OP12}
+ORACLES: dict[str, str] = {"op1_warc": OP1, "op2_line_dedup": OP2, "op3_exact_dedup": OP3, "op4_mixing": OP4, "op11_conversation_repair": OP11, "op12_substring_dedup": OP12, "op13_prefix_trie": OP13}

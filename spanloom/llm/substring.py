@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, by_rows, ids_and_texts, raw, row_key, stored, tuned
-from .lines import LAST, SEEN_DDL, carried, stream
+from .lines import LAST, carried
 
 WINDOW = 13
 BLOCK = 1 << 18  # bytes hashed at once
@@ -200,6 +200,42 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=SHARED)
 
 
+# kind 0: a dropped window; 1: one of the first document of its partition, in a run that may have begun
+# earlier; 2: the partition's summary: first and last hash, and the document its last run began with
+OWNED_NAMES = ("kind", "part", "doc", "key", "at", "h1", "h2", "g1", "g2")
+OWNED_DDL = ", ".join(f"{n} bigint" for n in OWNED_NAMES)
+OWNED = pa.schema([(n, pa.int64()) for n in OWNED_NAMES])
+
+
+def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of one sorted partition that an earlier document holds.
+
+    A run's first document in the partition is its smallest there, so all others are dropped
+    whether or not the run began in an earlier partition; only that document's rows wait.
+    """
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    head = head_doc = run = began = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h1, h2, doc, at, key = (batch.column(i).to_numpy() for i in range(5))
+        new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
+        new[0] = run != (h1[0], h2[0])
+        if head is None:
+            head, head_doc = (h1[0], h2[0]), doc[0]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(h1)), -1))
+        owner = np.where(first >= 0, doc[np.maximum(first, 0)], doc[0] if began is None else began)
+        run, began = (h1[-1], h2[-1]), owner[-1]
+        waits = (h1 == head[0]) & (h2 == head[1]) & (doc == head_doc)
+        out = waits | (doc != owner)
+        none = np.zeros(int(out.sum()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (waits[out].astype(np.int64), none + part, doc[out], key[out], at[out], none, none, none, none)], schema=OWNED)
+    if head is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in (2, part, began, 0, 0, *head, *run)], schema=OWNED)
+
+
 def candidates(window: int):
     schema = pa.schema([(n, pa.int64()) for n in ("h1", "h2", "doc", "at", "key")])
     apart = np.int64(0x5851F42D4C957F2D)
@@ -270,13 +306,10 @@ def dropped_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with freed(spark):
         near = stored(texts.select("doc", "key", "text", "found").mapInArrow(candidates(window), fields), "windows")
         order = ["h1", "h2", "doc", "at"]
-        seen = stored(near.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(stream, SEEN_DDL), "owners")
+        seen = stored(near.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(owned, OWNED_DDL), "owners")
     later = carried(seen.where("kind = 2").select("part", "doc", "h1", "h2", "g1", "g2").collect())  # one row per partition
-    before = spark.createDataFrame(later, "part int, owner bigint")
-    heads = seen.where("kind = 1")
-    own = heads.groupBy("part").agg(F.min("doc").alias("own"))  # one row per partition
-    waiting = heads.join(F.broadcast(own), "part").join(F.broadcast(before), "part", "left")
-    late = waiting.where(F.col("doc") != F.coalesce("owner", "own"))
+    before = spark.createDataFrame(later, "part bigint, owner bigint")
+    late = seen.where("kind = 1").join(F.broadcast(before), "part").where("doc <> owner")
     return seen.where("kind = 0").select("doc", "key", "at").unionByName(late.select("doc", "key", "at"))
 
 
