@@ -20,15 +20,17 @@ from ..functions import ids, maps, numeric, times
 from ..functions.maps import attribute, label_key
 from ..functions.quantiles import exact_quantiles
 from ..operators import (
-    dedup, filters, health, incidents, logvolume, metrics, panels, quality, sessions, timeline, topk, traces, usage,
+    dedup, filters, health, incidents, logvolume, metrics, panels, quality, sessions, sketches, timeline, topk, traces, usage,
 )
 from ..session import tune, work_folder
 from ..signals import NIL_UUID, SIGNALS
 from ..sinks import upkeep
+from ..sinks.colocated import read_by_trace, write_by_trace
+from ..sinks.counters import CounterTable
 from ..sinks.tables import write_rejected, write_signal
 from ..sources import payloads
 from ..sources.sample_views import batch_load, sample_view, stream_load
-from ..sources.tables import read_range, read_signal
+from ..sources.tables import count_rows, read_range, read_signal
 from ..streaming import alerts, ingest, rollups, totals
 from .oracle_views import content_id, fixed_sum, label_text, nearest_rank, round_even, uuid_text, with_views
 
@@ -109,6 +111,9 @@ register("q2_total_cost", f"SELECT {round_even(fixed_sum('cost_usd'), 4)} AS tot
     lambda i: panels.total_cost(i.ai_spans)
 )
 register("q3_total_logs", "SELECT count(*) AS total_logs FROM logs")(lambda i: panels.total_logs(i.logs))
+register("q4_spans_per_day_stored", "SELECT CAST(strftime(timestamp, '%Y%m%d') AS int) AS dt, count(*) AS n FROM traces GROUP BY 1")(
+    lambda i: count_rows(i.spark, i.table("traces"), "traces")
+)
 register("q4_total_spans", "SELECT count(*) AS total_traces FROM traces")(lambda i: panels.total_spans(i.traces))
 register(
     "q5_recent_ai_spans",
@@ -423,6 +428,30 @@ register(
 )(lambda i: payloads.ingest_health(_faulty(i), _decoded(i, "logs", "log_id")))
 
 
+_COUNTED = f"""SELECT {_FAULT_STATUS} AS status, CASE left(span_id, 1) WHEN '1' THEN 0 WHEN '3' THEN 0 WHEN '5' THEN 2 ELSE 1 END AS n
+    FROM traces"""
+
+
+@register(
+    "s16_durable_counters",
+    f"""WITH counted AS ({_COUNTED})
+    SELECT 'payloads' AS name, count(*) AS n FROM counted
+    UNION ALL SELECT 'payloads_' || status, count(*) FROM counted GROUP BY status
+    UNION ALL SELECT 'accepted', sum(n)::bigint FROM counted WHERE status = 'ok'
+    UNION ALL SELECT 'rejected', sum(n)::bigint FROM counted WHERE status <> 'ok'""",
+)
+def _s16_durable(i: Inputs) -> DataFrame:
+    """A stream that is stopped after half its input and started again; its counters go on."""
+    sent, out = i.new_folder("payloads"), i.new_folder("stream")
+    texts = _faulty(i).select("value", "payload_id")
+    half = F.pmod(F.crc32("payload_id"), F.lit(2))
+    for n in range(2):
+        texts.filter(half == n).select("value").write.mode("append").text(sent)
+        finish(ingest.ingest(i.spark, sent, "traces", f"{out}/table", f"{out}/rejected", f"{out}/checkpoint",
+                             live=False, max_files_per_trigger=5, counters=f"{out}/counters"))
+    return CounterTable(i.spark, f"{out}/counters").totals().select("name", "n")
+
+
 @register("s17_rfc3339_times", "SELECT log_id AS payload_id, timestamp FROM logs")
 def _s17(i: Inputs) -> DataFrame:
     """The same instants written with nine decimals and another offset."""
@@ -627,6 +656,26 @@ register(
                                 WHERE parent_span_id <> '' GROUP BY ALL) c
        ON t.trace_id = c.trace_id AND t.span_id = c.parent_span_id""",
 )(lambda i: traces.self_times(i.traces).select("trace_id", "span_id", "duration_ns", "children", "self_ns"))
+def _by_trace(i: Inputs, signal: str) -> DataFrame:
+    return read_by_trace(i.spark, write_by_trace(i.view(signal), signal, i.new_folder(f"{signal}-by-trace"), buckets=8))
+
+
+register(
+    "j3_self_time_by_trace",
+    """SELECT t.trace_id, t.span_id, coalesce(c.n, 0) AS children, greatest(t.duration_ns - coalesce(c.ns, 0), 0)::bigint AS self_ns
+       FROM traces t LEFT JOIN (SELECT trace_id, parent_span_id, count(*) AS n, sum(duration_ns) AS ns FROM traces
+                                WHERE parent_span_id <> '' GROUP BY ALL) c
+       ON t.trace_id = c.trace_id AND t.span_id = c.parent_span_id""",
+)(lambda i: traces.self_times(_by_trace(i, "traces")).select("trace_id", "span_id", "children", "self_ns"))
+register(
+    "j2_ai_spans_with_trace_by_trace",
+    """SELECT a.span_id, a.trace_id, a.total_tokens, s.n AS trace_spans FROM ai_spans a
+       LEFT JOIN (SELECT trace_id, count(*) AS n FROM traces GROUP BY 1) s ON a.trace_id = s.trace_id""",
+)(
+    lambda i: traces.ai_spans_with_trace(_by_trace(i, "ai_spans"), _by_trace(i, "traces")).select(
+        "span_id", "trace_id", "total_tokens", "trace_spans"
+    )
+)
 register(
     "j3_span_with_parent",
     """WITH spans AS MATERIALIZED (SELECT * FROM traces),
@@ -777,19 +826,36 @@ register(
 )
 def _a5_approximate(i: Inputs) -> DataFrame:
     """Exact counts, and whether the rank of each approximate quantile is off by at most 1 / accuracy."""
-    accuracy, keys = 10_000, ["service_name", "operation_name"]
-    found = traces.red_approximate(i.traces, accuracy=accuracy)
-    marks = {"p50_ns": 0.5, "p95_ns": 0.95, "p99_ns": 0.99}
+    accuracy = 10_000
+    return _within(i, traces.red_approximate(i.traces, accuracy=accuracy), ["service_name", "operation_name"], 1 / accuracy)
+
+
+def _within(i: Inputs, found: DataFrame, keys: list[str], slack: float) -> DataFrame:
+    """Whether the true rank of each quantile of ``found`` is off by at most a share ``slack``."""
+    marks = sketches.QUANTILES
     ranked = i.traces.select(*keys, "duration_ns").join(found, keys).groupBy(*keys, "spans", "errors").agg(
         *[F.count_if(F.col("duration_ns") < F.col(m)).alias(f"{m}_below") for m in marks],
         *[F.count_if(F.col("duration_ns") <= F.col(m)).alias(f"{m}_upto") for m in marks],
     )
-    slack = F.col("spans") / accuracy + 1
-    within = [
-        ((F.col(f"{m}_below") <= F.col("spans") * q + slack) & (F.col(f"{m}_upto") >= F.col("spans") * q - slack)).alias(m)
+    off = F.col("spans") * slack + 1
+    inside = [
+        ((F.col(f"{m}_below") <= F.col("spans") * q + off) & (F.col(f"{m}_upto") >= F.col("spans") * q - off)).alias(m)
         for m, q in marks.items()
     ]
-    return ranked.select(*keys, "spans", "errors", *within)
+    return ranked.select(*keys, "spans", "errors", *inside)
+
+
+@register(
+    "a5_red_sketches",
+    """SELECT service_name, operation_name, count(*) AS spans, count(*) FILTER (WHERE status_code = 'ERROR') AS errors,
+       true AS p50_ns, true AS p95_ns, true AS p99_ns FROM traces GROUP BY 1, 2""",
+)
+def _a5_sketches(i: Inputs) -> DataFrame:
+    """Sketches stored by day and merged; whether each quantile's rank is off by at most 1 %."""
+    path = i.new_folder("red-by-day")
+    sketches.red_by_day(i.traces).write.partitionBy("dt").parquet(path)
+    found = sketches.red_over(i.spark.read.parquet(path))
+    return _within(i, found, ["service_name", "operation_name"], 0.01)
 
 
 register("a6_trace_summary", _SUMMARY)(
@@ -930,6 +996,21 @@ def _a15_approximate(i: Inputs) -> DataFrame:
     )
 
 
+@register(
+    "a15_series_cardinality_sketches",
+    "SELECT metric_name, metric_type, count(*) AS samples, true AS close FROM metrics GROUP BY 1, 2",
+)
+def _a15_sketches(i: Inputs) -> DataFrame:
+    """Sketches stored by day and merged; whether each count is within 5 % of the exact one."""
+    path, keys = i.new_folder("series-by-day"), ["metric_name", "metric_type"]
+    sketches.cardinality_by_day(i.metrics).write.partitionBy("dt").parquet(path)
+    exact = metrics.series_cardinality(i.metrics).select(*keys, F.col("series_count").alias("exact"))
+    off = F.abs(F.col("series_count") - F.col("exact"))
+    return sketches.cardinality_over(i.spark.read.parquet(path)).join(exact, keys).select(
+        *keys, "samples", (off <= F.greatest(F.lit(1.0), F.col("exact") * 0.05)).alias("close")
+    )
+
+
 register(
     "a15_attribute_usage",
     "SELECT key, count(*) AS rows FROM (SELECT unnest(map_keys(attributes)) AS key FROM traces) GROUP BY 1",

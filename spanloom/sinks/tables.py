@@ -36,6 +36,11 @@ def with_day(df: DataFrame) -> DataFrame:
     return df.withColumn("dt", day_key("timestamp"))
 
 
+def signal_columns(signal: str) -> list[Column]:
+    """The columns of a signal, in the types of its tables."""
+    return [F.col(n).cast(SPARK_TYPES[k]).alias(n) for n, k in SIGNALS[signal].columns.items()]
+
+
 def folded_days(spark: SparkSession, path: str, label: str) -> list[int]:
     """Days whose compacted copy holds the rows of ``label``; few, as a batch spans few days."""
     if not names_in(spark, f"{path}/{FOLDED}"):
@@ -52,7 +57,7 @@ def write_signal(df: DataFrame, signal: str, path: str, batch: str | None = None
     """
     spec = SIGNALS[signal]
     label = batch or uuid.uuid4().hex
-    rows = with_day(df.select(*[F.col(n).cast(SPARK_TYPES[k]).alias(n) for n, k in spec.columns.items()]))
+    rows = with_day(df.select(*signal_columns(signal)))
     if batch and (held := folded_days(df.sparkSession, path, batch)):
         rows = rows.filter(~F.col("dt").isin(held))
     (
