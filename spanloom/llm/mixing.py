@@ -14,7 +14,9 @@ equal counts; an empty table gives an empty result. Columns of the input stay as
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, tuned
@@ -57,22 +59,39 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, epoch
     return shares.select("src", "size", F.when(F.col("size") > 0, rate).otherwise(F.lit(1.0)).alias("rate"))
 
 
-def thresholds(rate: Column) -> Column:
-    """The Poisson distribution function at 0, 1, 2, ... until its rest is below any uniform number.
+def window(rate: Column) -> tuple[Column, Column]:
+    """The counts that matter: outside lies less than one 2^-53rd of the distribution on either side."""
+    spread = F.sqrt(rate)
+    low = F.when(rate >= 400, F.floor(rate - 9 * spread - 8)).otherwise(F.lit(0)).cast("long")
+    return low, F.ceil(rate + 12 * spread + 24).cast("long")
 
-    Terms are exp(k ln rate - rate - ln k!), so large rates do not underflow.
-    """
-    top = F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
-    zero = F.struct(F.lit(0.0).alias("log_fact"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("all"))
 
-    def step(state: Column, k: Column) -> Column:
-        log_fact = state["log_fact"] + F.when(k > 0, F.ln(k.cast("double"))).otherwise(F.lit(0.0))
-        log_term = F.when(k > 0, k * F.ln(rate)).otherwise(F.lit(0.0)) - rate - log_fact
-        total = state["sum"] + F.exp(log_term)
-        return F.struct(log_fact.alias("log_fact"), total.alias("sum"), F.concat(state["all"], F.array(total)).alias("all"))
+def thresholds(rates: DataFrame) -> DataFrame:
+    """Adds ``low`` and ``at_most``: the Poisson distribution function from ``low`` on, for any rate.
 
-    table = F.aggregate(F.sequence(F.lit(0), top), zero, step, lambda s: s["all"])
-    return F.when(rate > 0, table).otherwise(F.array(F.lit(1.0)))
+    One row for each count of a source's window, about 21 * sqrt(rate) of them, summed up in order
+    and gathered: no step looks at what an earlier one has built. The first term comes from
+    Stirling's series, and the sum is scaled to 1, so large rates neither underflow nor drift.
+    """
+    low, high = window(F.col("rate"))
+    counts = rates.where("rate > 0").withColumn("low", low).select("src", "rate", "low", F.explode(F.sequence("low", high)).alias("k"))
+    at = F.col("low").cast("double")
+    series = 1 / (12 * at) - 1 / (360 * F.pow(at, F.lit(3))) + 1 / (1260 * F.pow(at, F.lit(5)))
+    gap = F.col("rate") - at
+    first = F.when(at == 0, -F.col("rate")).otherwise(at * F.log1p(gap / at) - gap - F.log(2 * math.pi * at) / 2 - series)
+    by_source = Window.partitionBy("src").orderBy("k")
+    change = F.when(F.col("k") == F.col("low"), first).otherwise(F.ln(F.col("rate") / F.col("k")))
+    terms = counts.withColumn("term", F.exp(F.sum(change).over(by_source)))
+    sums = terms.withColumn("sum", F.sum("term").over(by_source)).withColumn("all", F.sum("term").over(Window.partitionBy("src")))
+    share = F.when(F.col("low") == 0, F.col("sum")).otherwise(F.col("sum") / F.col("all"))
+    lists = sums.groupBy(F.col("src").alias("its_src")).agg(F.min("low").alias("low"), F.array_sort(F.collect_list(F.struct("k", share.alias("at_most")))).alias("found"))
+    lists = lists.select("its_src", "low", F.transform("found", lambda x: x["at_most"]).alias("at_most"))
+    joined = rates.join(lists, F.col("src").eqNullSafe(F.col("its_src")), "left")
+    # Without a rate there is no copy: even no copies at all is at most any number.
+    return joined.select("src", "rate", F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("at_most", F.array(F.lit(1.0))).alias("at_most"))
+
+
+BLOCK = 4096  # copies numbered at once
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, temperature: float = TEMPERATURE, seed: int = SEED,
@@ -80,19 +99,23 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs:
     """row (the input row), copy (from 1), rate, place: every copy, dealt out by place and sorted.
 
     Rates have one row per source and are broadcast only while Spark finds them small;
-    otherwise their join shuffles, with hot sources split.
+    otherwise their join shuffles, with hot sources split. A document looks at no more
+    thresholds than a small multiple of the copies it yields, and numbers its copies a
+    block at a time, so a rate of a million is a million rows and no long list.
     """
     spark = tuned(docs.sparkSession)
-    rates = source_rates(docs, weights, epochs, temperature, source_col, text_col).withColumn("at_most", thresholds(F.col("rate")))
-    rates = stored(rates.select("src", "rate", "at_most"), "rates")
+    rates = stored(source_rates(docs, weights, epochs, temperature, source_col, text_col).select("src", "rate"), "source-rates")
+    rates = stored(thresholds(rates), "rates")
     rows = docs.select(F.struct("*").alias("row"), F.col(source_col).cast("string").alias("source_key"), id_text(F.col(id_col)).alias("id_text"))
     u = uniform(F.concat(F.lit(f"{seed}:"), "id_text"))
-    count = F.size(F.filter("at_most", lambda c: c <= F.col("u")))
-    counted = rows.join(rates, F.col("source_key").eqNullSafe(F.col("src"))).withColumn("u", u).withColumn("copies", count)
-    copies = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    reached = F.size(F.filter("at_most", lambda c: c <= F.col("u"))).cast("long")
+    counted = rows.join(rates, F.col("source_key").eqNullSafe(F.col("src"))).withColumn("u", u).withColumn("copies", F.col("low") + reached).drop("at_most")
+    last = F.floor((F.col("copies") - 1) / BLOCK).cast("long")
+    blocks = counted.where("copies > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    copies = blocks.withColumn("copy", F.explode(F.sequence(F.col("block") * BLOCK + 1, F.least("copies", (F.col("block") + 1) * BLOCK))))
     placed = copies.withColumn("place", uniform(F.concat(F.lit(f"{seed}:"), "id_text", F.lit(":"), F.col("copy").cast("string"))))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(parts, "place").sortWithinPartitions("place").select("row", F.col("copy").cast("long").alias("copy"), "rate", "place")
+    return placed.repartition(parts, "place").sortWithinPartitions("place").select("row", "copy", "rate", "place")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

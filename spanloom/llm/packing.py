@@ -60,6 +60,17 @@ class Encoder:
             table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
         self.full_path, self.full = full, None
+        self.lengths = np.zeros(max(table.values()) + 1, np.int32)
+        self.lengths[list(table.values())] = [len(token) for token in table]
+
+    def prompt(self, text: str, ids: np.ndarray) -> int:
+        """How many leading tokens lie wholly in the first line, if another follows it."""
+        head = text.find("\n") + 1
+        if not head:
+            return 0
+        size = len(text[:head].encode("utf-8", "surrogatepass"))
+        known = np.minimum(ids[: size + 1], len(self.lengths) - 1)  # a token has a byte at least
+        return int(np.searchsorted(np.cumsum(self.lengths[known]), size, side="right"))
 
     def ids(self, text: str) -> bytes:
         if "<|" in text or has_long_space(text):
@@ -198,11 +209,12 @@ def pack_ids(examples: Iterable[tuple], limits: Limits, cut: bool, base: int) ->
 
 
 def pack(docs: DataFrame, ranks: str | None = None, full: str | None = None, limits: Limits = Limits(), cut: bool = True,
-         id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None) -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, prompt_line: bool = False) -> DataFrame:
     """doc_id, start, length, ids, doc_tokens, sequence_id, offset: a row for each piece.
 
     ``ranks`` and ``full`` are the vocabulary's files (by default those of the public 50k byte
-    BPE). ``prompt_col`` holds how many leading tokens bear no loss; without it all bear loss.
+    BPE). ``prompt_col`` holds how many leading tokens bear no loss; with ``prompt_line`` the
+    first line of a text of several lines is its prompt; otherwise all tokens bear loss.
     """
     import public_tokenizers
 
@@ -212,13 +224,14 @@ def pack(docs: DataFrame, ranks: str | None = None, full: str | None = None, lim
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(str(ranks), str(full)).ids
+        coder = encoder(str(ranks), str(full))
         end = np.array([END], "<u4").tobytes()
 
         def examples():
             for batch in batches:
                 for doc_id, text, prompt in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    yield doc_id, np.frombuffer(encode(text) + end, "<u4"), prompt
+                    ids = np.frombuffer(coder.ids(text) + end, "<u4")
+                    yield doc_id, ids, coder.prompt(text, ids) if prompt_line else prompt
 
         base = TaskContext.get().partitionId() << 40
         yield from out_rows(PIECES, pack_ids(examples(), limits, cut, base), lambda row: 64 + len(row[3]))

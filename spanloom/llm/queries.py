@@ -73,11 +73,14 @@ OP4 = f"""
 WITH sizes AS (SELECT source, sum(length(coalesce(text, ''))) AS size FROM documents GROUP BY source),
 shares AS (SELECT source, size, CASE WHEN size > 0 THEN pow(size::DOUBLE, {mixing.TEMPERATURE}) ELSE 0 END AS share FROM sizes),
 rates AS (SELECT source, CASE WHEN size > 0 THEN (SELECT sum(size) FROM shares)::DOUBLE * share / (SELECT sum(share) FROM shares) / size ELSE 1 END AS rate FROM shares),
-steps AS (SELECT source, rate, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS term FROM rates, range(0, 200) AS t(k) WHERE rate > 0 AND k <= ceil(rate + 12 * sqrt(rate) + 24)),
-dist AS (SELECT source, rate, k, sum(term) OVER (PARTITION BY source ORDER BY k) AS at_most FROM steps),
+bounds AS (SELECT source, rate, CASE WHEN rate >= 400 THEN floor(rate - 9 * sqrt(rate) - 8) ELSE 0 END::BIGINT AS low, ceil(rate + 12 * sqrt(rate) + 24)::BIGINT AS high FROM rates WHERE rate > 0),
+steps AS (SELECT source, rate, low, unnest(range(low, high + 1)) AS k FROM bounds),
+terms AS (SELECT *, exp(k * ln(rate) - rate - lgamma(k + 1)) AS term FROM steps),
+dist AS (SELECT source, rate, low, k, sum(term) OVER (PARTITION BY source ORDER BY k) / CASE WHEN low > 0 THEN sum(term) OVER (PARTITION BY source) ELSE 1 END AS at_most FROM terms),
 drawn AS (SELECT d.*, r.rate, ('0x' || substr(md5('{mixing.SEED}:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
-counted AS (SELECT *, (SELECT count(*) FROM dist t WHERE t.source IS NOT DISTINCT FROM drawn.source AND t.at_most <= drawn.u) AS n FROM drawn)
+counted AS (SELECT *, (SELECT count(*) FROM dist t WHERE t.source IS NOT DISTINCT FROM drawn.source AND t.at_most <= drawn.u)
+  + (SELECT coalesce(max(low), 0) FROM bounds b WHERE b.source IS NOT DISTINCT FROM drawn.source) AS n FROM drawn)
 SELECT doc_id, text, lang, source, n_chars, copy, round(rate, 9) AS rate,
   ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS place
 FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM counted)
@@ -85,7 +88,7 @@ FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM counted)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    pieces = packing.pack(table(spark, sf_dir, "documents"), prompt_line=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
