@@ -24,8 +24,6 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Tables in buckets of a trace id join on it and further keys without a shuffle.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
-    # Counts of stored rows come from file footers (``sources.tables.count_rows``).
-    "spark.sql.parquet.aggregatePushdown": "true",
     # Split a hot key of a join even where a later step must then shuffle once more.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",

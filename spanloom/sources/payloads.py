@@ -181,6 +181,72 @@ def _element(kinds: Column, typed: Column, signal: Signal) -> Column:
     )
 
 
+# Types under which the typed reader tells the truth, by kind. An absent or null field has none or VOID.
+_NUMBER = r"(?:BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))"
+_PLAIN_TYPES = {
+    "text": "STRING", "uuid": "STRING", "time": "STRING", "time?": "STRING", "u32": "BIGINT", "u64": "BIGINT", "double": _NUMBER,
+    "doubles": f"ARRAY<(?:{_NUMBER}|VOID)>", "u64s": "ARRAY<(?:BIGINT|VOID)>",
+    "labels": r"OBJECT<(?:`?[A-Za-z0-9_.\-]++`?: (?:STRING|VOID)(?:, )?+)*+>",
+}
+
+
+def plain_signature(signal: Signal) -> str:
+    """Pattern of the type signatures of payloads whose every field has its kind's plain type.
+
+    A signature is the merged type of a payload's elements, one short text for a whole
+    payload, of which a producer sends few different ones. Unknown keys, keys in another
+    case, mixed types and integers beyond a bigint do not match.
+    """
+    # A signature has its keys in order, so each field is looked for once, at its place.
+    fields = "".join(f"(?:{n}: (?:{_PLAIN_TYPES[k]}|VOID)(?:, )?+)?+" for n, k in sorted(signal.wire_columns.items()))
+    return f"^(?:ARRAY<)?+OBJECT<{fields}>{{1,2}}$"
+
+
+def _last_of_each(labels: Column) -> Column:
+    """A map in which the last of repeated keys counts; maps without them stay as they are."""
+    keys = F.array_distinct(F.map_keys(labels))
+    entries = F.map_entries(labels)
+    last = F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"])
+    unique = F.when(F.size(keys) == F.size(labels), labels).otherwise(F.map_from_arrays(keys, last))
+    holes = F.exists(F.map_values(unique), lambda v: v.isNull())
+    return F.when(holes, F.transform_values(unique, lambda _, v: F.coalesce(v, F.lit("")))).otherwise(unique)
+
+
+def _plain_element(t: Column, signal: Signal) -> Column:
+    """Struct (status, row) of one typed element of a payload with a plain signature: only values are judged."""
+    wire = signal.wire_columns
+    zero = lambda kind: zero_value(kind).cast(SPARK_TYPES[kind])
+    ok = lambda good: F.when(F.coalesce(good, F.lit(True)), OK).otherwise(INVALID)
+    finite = lambda x: F.abs(x) < F.lit(float("inf"))
+    read = {n: F.when(is_rfc3339(t[n]), parse_rfc3339(t[n])) for n, k in wire.items() if k in ("time", "time?")}
+
+    def judged(at: Column) -> Column:
+        checks, values = [F.when(t.isNull(), INVALID).otherwise(OK)], []
+        for n, kind in wire.items():
+            raw, value = t[n], None
+            if kind in ("time", "time?"):
+                value = at[n]
+                absent = BAD_TIMESTAMP if kind == "time" else OK
+                checks.append(F.when(raw.isNull(), absent).when(value.isNull(), INVALID).otherwise(OK))
+            elif kind == "uuid":
+                checks.append(ok(is_uuid(raw)))
+                value = F.coalesce(canonical_uuid(raw), zero(kind))
+            elif kind in ("u32", "u64"):
+                checks.append(ok(raw.between(0, U32_MAX) if kind == "u32" else raw >= 0))
+            elif kind == "double":
+                checks.append(ok(finite(raw)))
+            elif kind in ("doubles", "u64s"):
+                item = zero("double" if kind == "doubles" else "u64")
+                checks.append(ok(F.forall(raw, lambda x: F.coalesce(finite(x) if kind == "doubles" else x >= 0, F.lit(True)))))
+                value = F.coalesce(F.transform(raw, lambda x: F.coalesce(x, item)), zero(kind))
+            elif kind == "labels":
+                value = F.coalesce(_last_of_each(raw), zero(kind))
+            values.append((F.coalesce(raw, zero(kind)) if value is None else value).cast(SPARK_TYPES[kind]).alias(n))
+        return F.struct(F.greatest(F.lit(OK), *checks).alias("status"), F.struct(*values).alias("row"))
+
+    return _let(F.struct(*[c.alias(n) for n, c in read.items()]), judged)
+
+
 def _maybe_other_case(value: Column) -> Column:
     """Whether a text may hold a key with a capital letter or an escape: cheap, and never wrong when it says no."""
     capital = value.rlike(r'"[a-z0-9_]*+[A-Z][A-Za-z0-9_]*+"[ \t\r\n]*:')
@@ -242,7 +308,11 @@ def decode(payloads: DataFrame, signal: str) -> DataFrame:
     # inline() keeps the result of the one reading: filters on status cannot be
     # moved below it and repeat the work.
     exact = F.zip_with(untyped, typed, lambda u, t: _element(u, t, spec))
-    elements = F.coalesce(F.when(_maybe_other_case(F.col("value")), _any_case(spec)), exact)
+    by_field = F.coalesce(F.when(_maybe_other_case(F.col("value")), _any_case(spec)), exact)
+    # One look at the whole type settles the types of all fields of nearly every payload;
+    # the others are judged field by field.
+    plain = F.schema_of_variant(F.try_parse_json("value")).rlike(plain_signature(spec))
+    elements = F.when(plain, F.transform(typed, lambda t: _plain_element(t, spec))).otherwise(by_field)
     judged = F.transform(F.array(elements), judge)
     return payloads.select(
         "payload_id", "source", "value", F.lit(signal).alias("signal"), F.inline(judged)

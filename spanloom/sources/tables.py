@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.folders import names_in
 from ..functions.times import day_key, instant
+from ..session import tune
 from ..signals import SIGNALS
 
 # A compaction that is under way leaves a file "<dt>.<label>.<state>" here; readers never list it as data.
@@ -35,6 +36,11 @@ def read_signal(spark: SparkSession, path: str, signal: str, days: Sequence[int]
     is. Of a day that is being compacted either the old folders or the new copy
     are read, never both and never neither.
     """
+    return _with_batch(spark, path, signal, days).drop("batch")
+
+
+def _with_batch(spark: SparkSession, path: str, signal: str, days: Sequence[int] | None) -> DataFrame:
+    """A signal table with both folder columns, ``dt`` and ``batch``."""
     columns = SIGNALS[signal].schema.fields
     folders = [T.StructField("dt", T.IntegerType()), T.StructField("batch", T.StringType())]
     schema = T.StructType([*columns, *folders])
@@ -52,23 +58,22 @@ def read_signal(spark: SparkSession, path: str, signal: str, days: Sequence[int]
     for (dt, label), state in pending.items():
         new = F.col("batch") == label
         table = table.filter((F.col("dt") != dt) | (new if state == SWITCHED else ~new))
-    return table.drop("batch")
+    return table
 
 
 def count_rows(spark: SparkSession, path: str, signal: str, days: Sequence[int] | None = None) -> DataFrame:
     """dt, n: stored rows per day, from the footers of the files; no column is read.
 
-    The columnar reader of Spark's second source API pushes a count down to the files;
-    it is chosen for this one read only.
+    The Parquet reader of Spark's second source API pushes a count down to the files;
+    a session of its own chooses it for this one read.
     """
+    own = tune(spark.newSession())
     setting = "spark.sql.sources.useV1SourceList"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, ",".join(s for s in before.split(",") if s.strip() != "parquet"))
-    try:
-        table = read_signal(spark, path, signal, days)
-    finally:
-        spark.conf.set(setting, before)
-    return table.groupBy("dt").agg(F.count(F.lit(1)).alias("n"))
+    own.conf.set(setting, ",".join(s for s in own.conf.get(setting).split(",") if s.strip() != "parquet"))
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    # Files answer for whole folders only, so counts are taken by folder first.
+    per_folder = _with_batch(own, path, signal, days).groupBy("dt", "batch").agg(F.count(F.lit(1)).alias("n"))
+    return per_folder.groupBy("dt").agg(F.sum("n").alias("n"))
 
 
 def days_between(spark: SparkSession, start: datetime | str, end: datetime | str) -> list[int]:
