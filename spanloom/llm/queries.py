@@ -216,8 +216,9 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP12 = f"""
 WITH texts AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
-spots AS (SELECT doc_id, ws, unnest(range(len(ws))) AS pos FROM texts),
-wins AS (SELECT doc_id, pos, ws[pos + 1] AS word, CASE WHEN pos + {substring.WINDOW} <= len(ws) THEN array_to_string(ws[pos + 1 : pos + {substring.WINDOW}], ' ') END AS win FROM spots),
+spots AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM texts),
+wins AS (SELECT doc_id, pos, word, CASE WHEN lead(word, {substring.WINDOW - 1}) OVER w IS NOT NULL THEN concat_ws(' ', {', '.join(f'lead(word, {k}) OVER w' for k in range(substring.WINDOW))}) END AS win
+  FROM spots WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 owned AS (SELECT doc_id, pos, word, win IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY win) AS dup FROM wins),
 gone AS (SELECT doc_id, pos, word, bool_or(dup) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {substring.WINDOW - 1} PRECEDING AND CURRENT ROW) AS goes FROM owned),
 kept AS (SELECT doc_id, count(*) FILTER (goes) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT goes) AS kept FROM gone GROUP BY doc_id)

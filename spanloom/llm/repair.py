@@ -43,7 +43,7 @@ COSTS = {"D": 2, "I": 5, "K": 0, "R": 1}
 TRUNCATED = 5
 LETTERS = "DIKR"  # in the order in which ties are settled
 KINDS = {"s": 0, "u": 1, "a": 2}  # a role's initial; others are 3
-FAULTS = ("none", "blank", "duplicate", "truncated")
+# Faults are 0 none, 1 blank, 2 duplicate, 3 truncated.
 START, AFTER_S, AFTER_U, AFTER_A = range(4)
 #: The state after a turn that Rerole or Insert makes, and that turn's role.
 NEXT = {START: AFTER_U, AFTER_S: AFTER_U, AFTER_U: AFTER_A, AFTER_A: AFTER_U}

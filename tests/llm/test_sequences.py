@@ -11,7 +11,6 @@ import numpy as np
 import pytest
 import xxhash
 from compare import compare, duck
-from conftest import SMALL
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -317,12 +316,6 @@ def test_products_compose():
 # --- the queries and their SQL
 
 
-@pytest.mark.parametrize("name", ["op11_conversation_repair", "op12_substring_dedup", "op13_prefix_trie"])
-def test_sql_twins(spark, name):
-    same, why = compare(queries.QUERIES[name](spark, SMALL), duck(SMALL), queries.ORACLES[name])
-    assert same, why
-
-
 def test_damaged_nulls_and_the_sql(spark, tmp_path):
     rng = random.Random(8)
     rows = broken_turns(rng, [None, *range(60)], 9)
