@@ -103,6 +103,7 @@ def finish(query: StreamingQuery) -> StreamingQuery:
 
 
 # --- dashboard queries ---------------------------------------------------------------
+# The columns these queries show, their names, rounding and row limits.
 
 register("q1_total_tokens", "SELECT coalesce(sum(total_tokens), 0)::bigint AS total_tokens FROM ai_spans")(
     lambda i: panels.total_tokens(i.ai_spans)
