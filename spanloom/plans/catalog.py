@@ -434,14 +434,14 @@ _COUNTED = f"""SELECT {_FAULT_STATUS} AS status, CASE left(span_id, 1) WHEN '1'
 
 
 @register(
-    "s16_durable_counters",
+    "x9_durable_counters",
     f"""WITH counted AS ({_COUNTED})
     SELECT 'payloads' AS name, count(*) AS n FROM counted
     UNION ALL SELECT 'payloads_' || status, count(*) FROM counted GROUP BY status
     UNION ALL SELECT 'accepted', sum(n)::bigint FROM counted WHERE status = 'ok'
     UNION ALL SELECT 'rejected', sum(n)::bigint FROM counted WHERE status <> 'ok'""",
 )
-def _s16_durable(i: Inputs) -> DataFrame:
+def _x9_durable(i: Inputs) -> DataFrame:
     """A stream that is stopped after half its input and started again; its counters go on."""
     sent, out = i.new_folder("payloads"), i.new_folder("stream")
     texts = _faulty(i).select("value", "payload_id")
@@ -1113,7 +1113,7 @@ register("f1_round_even", f"SELECT span_id, {round_even('cost_usd', 4)} AS cost_
     lambda i: i.ai_spans.select("span_id", numeric.round_even("cost_usd", 4).alias("cost_usd"))
 )
 register("f2_float_division", f"SELECT trace_id, span_id, duration_ns / 1000000 AS duration_ms FROM traces")(
-    lambda i: i.traces.select("trace_id", "span_id", (F.col("duration_ns") / F.lit(1000000)).alias("duration_ms"))
+    lambda i: i.traces.select("trace_id", "span_id", (F.col("duration_ns").cast("double") / F.lit(1000000)).alias("duration_ms"))
 )
 register("f3_day_key", "SELECT log_id, CAST(strftime(timestamp, '%Y%m%d') AS int) AS dt FROM logs")(
     lambda i: i.logs.select("log_id", times.day_key("timestamp").alias("dt"))

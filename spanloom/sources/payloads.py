@@ -307,12 +307,16 @@ def decode(payloads: DataFrame, signal: str) -> DataFrame:
 
     # inline() keeps the result of the one reading: filters on status cannot be
     # moved below it and repeat the work.
-    exact = F.zip_with(untyped, typed, lambda u, t: _element(u, t, spec))
-    by_field = F.coalesce(F.when(_maybe_other_case(F.col("value")), _any_case(spec)), exact)
     # One look at the whole type settles the types of all fields of nearly every payload;
     # the others are judged field by field.
     plain = F.schema_of_variant(F.try_parse_json("value")).rlike(plain_signature(spec))
-    elements = F.when(plain, F.transform(typed, lambda t: _plain_element(t, spec))).otherwise(by_field)
+
+    def read(rows: Column) -> Column:
+        exact = F.zip_with(untyped, rows, lambda u, t: _element(u, t, spec))
+        by_field = F.coalesce(F.when(_maybe_other_case(F.col("value")), _any_case(spec)), exact)
+        return F.when(plain, F.transform(rows, lambda t: _plain_element(t, spec))).otherwise(by_field)
+
+    elements = _let(typed, read)
     judged = F.transform(F.array(elements), judge)
     return payloads.select(
         "payload_id", "source", "value", F.lit(signal).alias("signal"), F.inline(judged)

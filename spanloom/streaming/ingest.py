@@ -59,7 +59,10 @@ def ingest(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         label = f"{name}-{batch_id}"
-        kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        # A payload needs its text only if it is set aside, and its elements only if it is taken.
+        kept = batch.withColumns({
+            "source": F.when(~ok, F.col("source")), "value": F.when(~ok, F.col("value")), "elements": F.when(ok, F.col("elements")),
+        }).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             with temporary(spark):
                 each = number_copies(kept)

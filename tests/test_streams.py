@@ -1,6 +1,7 @@
 """Streams: restart, replay, late rows, several micro-batches, stream = batch."""
 
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ def _write_spans(spark, path, batches):
     import time
 
     for rows in batches:
-        full = [(f"t{n}", f"s{n}", "", at, service, "op", "SERVER", 1, status, {}) for n, (at, service, status) in enumerate(rows)]
+        full = [(f"t{n}", f"s{n}", "", at, service, "op", "SERVER", Decimal(1), status, {}) for n, (at, service, status) in enumerate(rows)]
         spark.createDataFrame(full, SIGNALS["traces"].schema).coalesce(1).write.mode("append").parquet(str(path))
         time.sleep(0.05)
 
