@@ -35,7 +35,7 @@ REVISIT_BYTES = 1000
 
 
 def record_uri(id_: Column) -> Column:
-    """An id of a record, from the capture's id and what it holds."""
+    """An id of a record, from the capture's id; captures that repeat an id share it."""
     return F.concat(F.lit("<urn:capture:"), F.coalesce(id_.cast("string"), F.lit("null")), F.lit(">"))
 
 

@@ -286,3 +286,29 @@ def test_the_first_line_is_the_prompt(spark):
         head = coder.full.decode(ids[:n].tolist()) if coder.full else coder.encoding.decode(ids[:n].tolist())
         line = text[: text.find("\n") + 1]
         assert len(head.encode()) <= len(line.encode()) and (not line or line.startswith(head) and (n == len(ids) or len(coder.encoding.decode(ids[: n + 1].tolist())) > len(line)))
+
+
+# --- long texts and repeated ids in the archive and in line dedup
+
+
+def test_archive_of_long_pages_and_repeated_owners(spark):
+    from spanloom.llm import warc
+
+    page = "é" * 60_000
+    rows = [(5, "u", page), (5, "v", page), (4, "w", page), (3, "t", None), (None, "n", page), (2, "s", "short"), (1, "r", "short")]
+    folder = warc.new_folder(spark)
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    got = Counter((r.id, r.kind, r.refers, bytes(r.payload).decode()) for r in warc.read(spark, folder).select("id", warc.field("WARC-Type").alias("kind"), warc.field("WARC-Refers-To").alias("refers"), "payload").collect())
+    owner = "<urn:capture:5>"
+    assert got == Counter([(5, "response", "", page)] * 2 + [(4, "revisit", owner, page), (None, "revisit", owner, page), (3, "response", "", ""), (2, "response", "", "short"), (1, "response", "", "short")])
+
+
+def test_line_dedup_of_a_text_of_many_lines(spark):
+    from spanloom.llm import lines
+
+    many = [f"line number {n % 9000} of a long text" for n in range(30_000)]
+    texts = {1: "line number 7 of a long text\nshort", 2: "\n".join(many), 3: "\n".join(["  LINE number 8000 of a long text ", "its own line here", "short"])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in lines.apply(docs, lines.keep_bitmaps(docs)).collect()}
+    rest = [x for x in many if x != "line number 7 of a long text"]
+    assert got == {1: (2, 0, texts[1]), 2: (30_000, 30_000 - len(rest), "\n".join(rest)), 3: (3, 1, "its own line here\nshort")}
