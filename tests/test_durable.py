@@ -3,6 +3,7 @@
 import glob
 import os
 import re
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -90,10 +91,10 @@ def test_late_rows_are_counted_over_restarts(spark, tmp_path):
             counts = ingest.dedup_by_id(stream, ["span_id"], "5 minutes")
             query = counts.writeStream.option("checkpointLocation", f"{out}/cp").trigger(availableNow=True).format("noop").start()
             query.awaitTermination()
-            for _ in range(100):
+            for _ in range(300):  # listeners hear of progress a little later
                 if listener.of(query)["rows"] >= len(minutes):
                     break
-                query.awaitTermination(0.1) or __import__("time").sleep(0.1)
+                time.sleep(0.1)
         finally:
             spark.streams.removeListener(listener)
         seen.append({name: n for (_, name), n in totals(table).items()})
