@@ -182,3 +182,17 @@ def test_dedup_over_batches(spark, tmp_path):
         ingest.dedup_by_id(_span_stream(spark, tmp_path / "in"), ["span_id"], "10 minutes"), f"{out}/rows", f"{out}/cp", live=False
     ).awaitTermination()
     assert spark.read.parquet(f"{out}/rows").count() == len(rows)
+
+
+def test_tables_of_many_files_stream_as_one_file_does(spark, tmp_path):
+    """A table may be a folder of files instead of one file."""
+    from spanloom.plans import catalog
+
+    turns = [(c, t, "user" if t % 2 else "assistant", "x" * (c + t)) for c in range(8) for t in range(3)]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    table.repartition(3).write.parquet(str(tmp_path / "many" / "conversations.parquet"))
+    table.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "one" / "conversations.parquet")
+    many, one = (catalog.run("q10_live_panels", spark, str(tmp_path / f)).collect() for f in ("many", "one"))
+    assert many == one and many[0]["calls"] == 24 and many[0]["total_tokens"] == sum(c + t for c, t, _, _ in turns)
