@@ -169,3 +169,28 @@ def test_empty_tables_give_zero_totals(spark):
     assert panels.total_spans(empty["traces"]).collect() == [(0,)]
     assert panels.recent_ai_spans(empty["ai_spans"]).collect() == []
     assert panels.recent_triggers(empty["alert_triggers"]).collect() == []
+
+
+def test_many_small_files_take_few_tasks_and_stay_apart(spark, inputs, tmp_path, monkeypatch):
+    """A task writes several files of its own key range; days are compacted side by side and keep their labels."""
+    path = str(tmp_path / "traces")
+    for n in range(2):
+        write_signal(inputs.traces.filter(F.pmod(F.crc32("span_id"), F.lit(2)) == n), "traces", path, f"b{n}")
+    before = sorted(map(repr, read_signal(spark, path, "traces").collect()))
+    days = upkeep.table_days(spark, path)[:4]
+    real, tasks = type(inputs.traces).repartitionByRange, []
+    monkeypatch.setattr(type(inputs.traces), "repartitionByRange", lambda df, n, *keys: tasks.append(n) or real(df, n, *keys))
+    upkeep.compact_days(spark, path, "traces", dict.fromkeys(days, 20))
+    assert tasks == [1] * len(days)
+    for row in upkeep.day_layout(spark, path, "traces", days).collect():
+        assert 10 <= row["files"] <= 20 and row["ranges_disjoint"], row
+    monkeypatch.setattr(upkeep, "TASK_FILES", 4)
+    upkeep.compact_day(spark, path, "traces", days[0], files=20)
+    layout = upkeep.day_layout(spark, path, "traces", days[:1]).first()
+    assert tasks[-1] == 5 and 10 <= layout["files"] <= 20 and layout["ranges_disjoint"]
+    spark.catalog.refreshByPath(path)
+    assert sorted(map(repr, read_signal(spark, path, "traces").collect())) == before
+    write_signal(inputs.traces, "traces", path, "b0")  # replayed: days with the label in their copy take nothing
+    spark.catalog.refreshByPath(path)
+    counts = {r["dt"]: r["count"] for r in read_signal(spark, path, "traces", days).groupBy("dt").count().collect()}
+    assert sum(counts.values()) == sum(f"dt={d}" in r or f"={d}" in r for r in before for d in days)
