@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from spanloom.signals import SIGNALS
@@ -196,3 +197,23 @@ def test_tables_of_many_files_stream_as_one_file_does(spark, tmp_path):
     next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "one" / "conversations.parquet")
     many, one = (catalog.run("q10_live_panels", spark, str(tmp_path / f)).collect() for f in ("many", "one"))
     assert many == one and many[0]["calls"] == 24 and many[0]["total_tokens"] == sum(c + t for c, t, _, _ in turns)
+
+
+def test_payload_files_of_a_bounded_batch_do_not_grow(spark, monkeypatch):
+    from spanloom.plans import catalog
+
+    monkeypatch.setattr(catalog, "_LINES_PER_FILE", 500)
+    made, real = [], catalog._payload_files
+    monkeypatch.setattr(catalog, "_payload_files", lambda i, df: made.append(real(i, df)) or made[-1])
+    n = catalog.run("x2_bounded_intake", spark, SMALL).first()["n_rows"]
+    files = {r["f"]: r["count"] for r in spark.read.text(made[0]).groupBy(F.input_file_name().alias("f")).count().collect()}
+    assert sum(files.values()) == n > 4 * 1000 and max(files.values()) < 1000
+
+
+def test_payloads_of_the_durable_counters_are_decoded_by_the_stream_alone(spark, monkeypatch):
+    from spanloom.plans import catalog
+
+    batch, real = [], catalog.payloads.decode
+    monkeypatch.setattr(catalog.payloads, "decode", lambda df, signal: batch.append(signal) or real(df, signal))
+    got = {r["name"]: r["n"] for r in catalog.run("x9_durable_counters", spark, SMALL).collect()}
+    assert not batch and got["payloads"] == got["payloads_ok"] + got["payloads_empty"] + got["payloads_bad_timestamp"] + got["payloads_invalid_json"]
