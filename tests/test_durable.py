@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import folders, spread
 from spanloom.operators import sketches, traces
+from spanloom.plans import catalog
 from spanloom.plans.catalog import Inputs
 from spanloom.session import temporary, work_folder, written
 from spanloom.sinks import counters as counting
-from spanloom.sinks import upkeep
+from spanloom.sinks import colocated, upkeep
 from spanloom.sinks.colocated import read_by_trace, write_by_trace
 from spanloom.sinks.counters import CounterTable
 from spanloom.sinks.tables import write_signal
@@ -247,3 +248,23 @@ def test_plain_payloads_and_others_are_judged_alike(spark, monkeypatch):
         monkeypatch.setattr(payloads, "plain_signature", lambda spec: "^never$")
         assert short == outcome()
         monkeypatch.undo()
+
+
+def test_buckets_by_trace_grow_with_the_spans(spark, inputs, monkeypatch):
+    assert [colocated.buckets_for(n) for n in (0, 1, 10**6, 10**6 + 1, 45 * 10**6, 270 * 10**6)] == [1, 1, 1, 2, 64, 512]
+    monkeypatch.setattr(colocated, "BUCKET_ROWS", inputs.traces.count() // 20)
+    for name in ("j3_self_time_by_trace", "j2_ai_spans_with_trace_by_trace"):
+        made = catalog.run(name, spark, SMALL)
+        assert len({int(re.search(r"_(\d{5})\.", f).group(1)) for f in made.inputFiles()}) > 8
+
+
+def test_summaries_of_gathered_spans_move_narrow_rows_and_split_a_giant_trace(spark, inputs, monkeypatch):
+    shown = ["trace_id", "spans", "roots", "wall_ns", "root_service", "slowest_span_id", "has_error", "services"]
+    giant = inputs.traces.withColumn("trace_id", F.when(F.ascii("span_id") % 3 > 0, F.lit("giant")).otherwise(F.col("trace_id")))
+    for spans in (inputs.traces, giant):
+        got, want = (sorted(map(repr, traces.trace_summary(spans, gather=g).select(*shown).collect())) for g in (True, False))
+        assert got == want
+    text = plan(traces.trace_summary(giant, gather=True))
+    first = text.index("REBALANCE_PARTITIONS_BY_COL")
+    assert "partial_max_by" in text[:first] and "partial_max_by" not in text[first:]  # parts are aggregated after the move
+    assert "attributes" not in text[first:] and "hashpartitioning(trace_id" in text[:first]
