@@ -193,3 +193,36 @@ def test_files_of_lines_and_whole_files(spark, tmp_path):
     whole.mkdir()
     (whole / "b.json").write_text(LOG)
     assert payloads.decode(payloads.read_payloads(spark, str(whole), whole_files=True), "logs").first()["status"] == "ok"
+
+
+def test_wide_integers_and_unknown_keys_take_the_short_way_and_give_the_same(spark, monkeypatch):
+    """Integers beyond a bigint and unknown keys are judged by type signature, with what judging by field gives."""
+    t = '"timestamp":"2024-01-10T12:00:00Z"'
+    wide, extra = f'"duration_ns":{2**64 - 1}', '"extra":{"deep":[1,{"x":null}]},"note":"?"'
+    short = [
+        f"{{{t},{wide}}}", f'[{{{t},"duration_ns":5}},{{{t},{wide}}}]', f'{{{t},"duration_ns":{2**63}}}', f'{{{t},"duration_ns":{2**64}}}',
+        f'{{{t},"duration_ns":{-2**63 - 1}}}', f"{{{extra},{t}}}", f"[{{{t}}},{{{extra},{t},{wide}}}]", f'{{"time":"x","span_id":"a"}}',
+        f'[{{{t}}},null,{{{extra},{t}}}]', f'{{{extra},{t},"duration_ns":-1}}', f'{{{extra},{t},"attributes":{{"a":"1","a":"2","b":null}}}}',
+    ]
+    long = [
+        f'[{{{t},"duration_ns":1.0}},{{{t},{wide}}}]', f'[{{{t},"duration_ns" : 1e3}},{{{t},{wide}}}]', f'[{{{t},"duration\\u005fns":1.0}},{{{t},{wide}}}]',
+        f'{{{t},"duration_ns":{10**25}}}', f'{{{t},"duration_ns":{10**40}}}', f'{{{t},"duration_ns":1.0}}', f'{{{extra},{t},"span_id":7}}',
+        f'{{{extra},{t},"Span_Id":"s"}}', f'{{{extra},{t},"duration_ns":"5"}}', f'{{{extra},{t},"attributes":{{"a":[1]}}}}', f'{{"a":1,"a":2,{t}}} x', f"[[{{{t}}}]]",
+        f'{{{extra},{t}', f'{{"extra":NaN,{t}}}', f'{{"a":\'b\',{t}}}', f'{{{t},"duration_ns":12345678901234567890.0}}', f'{{{t},"duration_ns":0.5}}',
+    ]
+    sent = spark.createDataFrame([(f"p{n}", "t", v) for n, v in enumerate(short + long)], "payload_id string, source string, value string")
+
+    def outcome(rows=sent):
+        decoded = payloads.decode(rows, "traces")
+        return sorted(map(repr, payloads.payload_counts(decoded).collect())), sorted(map(repr, payloads.accepted_rows(decoded, "traces").collect()))
+
+    got = outcome()
+    monkeypatch.setattr(payloads, "plain_signature", lambda spec: "^never$")
+    assert got == outcome()
+    monkeypatch.undo()
+    # Judging by field marks nothing here: those payloads never come to it.
+    monkeypatch.setattr(payloads, "_element", lambda kinds, typed, spec: F.struct(F.lit(payloads.INVALID).alias("status"), payloads._plain_element(typed, spec)["row"].alias("row")))
+    first = sent.filter(F.expr(f"int(substring(payload_id, 2)) < {len(short)}"))
+    monkeypatch.setattr(payloads, "_any_case", lambda spec: F.lit(None))
+    statuses = {r["payload_id"]: r["status"] for r in payloads.decode(first, "traces").collect()}
+    assert [statuses[f"p{n}"] for n in (0, 1, 2, 5, 6, 10)] == ["ok"] * 6 and statuses["p7"] == "bad_timestamp"
