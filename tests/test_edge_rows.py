@@ -1,5 +1,6 @@
 """Rows that are easily lost: NULL and empty ids, tiny amounts, long durations."""
 
+import re
 from datetime import datetime
 from decimal import Decimal
 
@@ -115,3 +116,24 @@ def test_top_rows_beyond_the_limit_spark_applies(spark):
     table = spark.range(5000).selectExpr("'g' AS g", "id")
     got = topk.top_per_group(table, ["g"], [F.col("id").desc()], 1500, ["id"])
     assert sorted(r.id for r in got.collect()) == list(range(3500, 5000))
+
+
+def test_impact_counts_rows_at_both_ends_and_no_nulls(spark):
+    """Edges of an incident stand among the rows: one sort by service and hour, and no table by instant."""
+    def at(second):
+        return datetime(2024, 1, 1, 10, 0, second)
+
+    spans = rows(
+        spark, "traces", *[{"service_name": "s", "timestamp": at(n), "status_code": c} for n, c in ((9, "OK"), (10, "ERROR"), (10, "OK"), (20, None), (21, "ERROR"))],
+        {"service_name": "s", "timestamp": datetime(2024, 1, 1, 8)}, {"service_name": None, "timestamp": at(15)}, {"service_name": "s", "timestamp": None},
+    )
+    lines = rows(spark, "logs", *[{"service_name": "s", "timestamp": at(n), "severity": "ERROR"} for n in (10, 20, 22)])
+    states = rows(
+        spark, "incidents", {"incident_id": "i", "service_name": "s", "timestamp": at(10), "resolved_at": at(20), "status": "resolved"},
+        {"incident_id": "j", "service_name": "s", "timestamp": at(20), "resolved_at": None}, {"incident_id": "n", "service_name": None, "timestamp": at(10), "resolved_at": at(20)},
+    )
+    found = incidents.incident_impact(states, spans, lines, datetime(2024, 1, 2))
+    got = {r.incident_id: (r.spans, r.error_spans, r.logs, r.error_logs) for r in found.collect()}
+    assert got == {"i": (3, 1, 2, 2), "j": (2, 1, 2, 2), "n": (0, 0, 0, 0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[service_name#\d+, _hour#\d+L?, at#", plan)
