@@ -11,7 +11,7 @@ from spanloom.operators import panels
 from spanloom.plans.catalog import Inputs
 from spanloom.signals import SIGNALS
 from spanloom.sinks import upkeep
-from spanloom.sinks.tables import write_signal
+from spanloom.sinks.tables import gathered_by_day, with_day, write_signal
 from spanloom.sources.tables import read_signal, time_range
 
 
@@ -194,3 +194,22 @@ def test_many_small_files_take_few_tasks_and_stay_apart(spark, inputs, tmp_path,
     spark.catalog.refreshByPath(path)
     counts = {r["dt"]: r["count"] for r in read_signal(spark, path, "traces", days).groupBy("dt").count().collect()}
     assert sum(counts.values()) == sum(f"dt={d}" in r or f"={d}" in r for r in before for d in days)
+
+
+def test_rows_come_out_of_the_shuffle_of_a_write_as_they_went_in(spark, inputs, tmp_path):
+    """Ids travel as bytes, whatever is no plain hex text as it is; the text comes back to the letter."""
+    odd = ["0123456789abcdef" * 2, "0123456789ABCDEF" * 2, "0123456789abcdef", "0123456789abcdef\n", "a" * 34, "abc", "", "ü" * 16, None,
+           "01234567-89ab-cdef-0123-456789abcdef", "01234567-89AB-cdef-0123-456789abcdef", "0123456-789ab-cdef-0123-456789abcdef", "-" * 32]
+    given = inputs.traces.limit(1).drop("trace_id", "parent_span_id").crossJoin(spark.createDataFrame([(x, x) for x in odd], "trace_id string, parent_span_id string"))
+    path = str(tmp_path / "traces")
+    write_signal(given, "traces", path, "b")
+    back = read_signal(spark, path, "traces").drop("dt")
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, given.select(*back.columns).collect()))
+    for signal in SIGNALS:
+        moved = gathered_by_day(with_day(inputs.view(signal)), signal)
+        assert moved.columns == [*SIGNALS[signal].columns, "dt"]
+        plan = moved._jdf.queryExecution().optimizedPlan()
+        while "RebalancePartitions" not in plan.nodeName():
+            plan = plan.children().head()
+        kinds = {a.name(): a.dataType().simpleString() for a in (plan.output().apply(n) for n in range(plan.output().size()))}
+        assert all(kinds[f"_{c}"] == "binary" for c in SIGNALS[signal].columns if c.endswith("_id"))
