@@ -217,3 +217,17 @@ def test_payloads_of_the_durable_counters_are_decoded_by_the_stream_alone(spark,
     monkeypatch.setattr(catalog.payloads, "decode", lambda df, signal: batch.append(signal) or real(df, signal))
     got = {r["name"]: r["n"] for r in catalog.run("x9_durable_counters", spark, SMALL).collect()}
     assert not batch and got["payloads"] == got["payloads_ok"] + got["payloads_empty"] + got["payloads_bad_timestamp"] + got["payloads_invalid_json"]
+
+
+def test_ids_of_an_ingest_are_counted_without_moving_its_rows(spark, monkeypatch):
+    """Payload files are compressed and small, copies of a line stand in one file, and the rows are not shuffled for the count."""
+    from spanloom.plans import catalog
+
+    sources = []
+    monkeypatch.setattr(catalog, "_LINES_PER_PACKED_FILE", 100)
+    monkeypatch.setattr(catalog, "_payload_files", lambda *a, _f=catalog._payload_files, **k: sources.append(_f(*a, **k)) or sources[0])
+    found = catalog.run("x1_ingest_stream", spark, SMALL)
+    assert found.filter("rows_of_id <> 1").isEmpty() and "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    lines = spark.read.text(sources[0]).groupBy(F.input_file_name().alias("file"), "value").count()
+    assert {r["count"] for r in lines.select("count").distinct().collect()} == {2}
+    assert lines.filter("file NOT LIKE '%.gz'").isEmpty() and lines.groupBy("file").agg(F.sum("count").alias("n")).filter("n > 100").isEmpty()
