@@ -226,3 +226,81 @@ def test_wide_integers_and_unknown_keys_take_the_short_way_and_give_the_same(spa
     monkeypatch.setattr(payloads, "_any_case", lambda spec: F.lit(None))
     statuses = {r["payload_id"]: r["status"] for r in payloads.decode(first, "traces").collect()}
     assert [statuses[f"p{n}"] for n in (0, 1, 2, 5, 6, 10)] == ["ok"] * 6 and statuses["p7"] == "bad_timestamp"
+
+
+def test_plain_texts_are_settled_without_a_second_parse_and_alike(spark, monkeypatch):
+    """What a payload's text settles, unknown keys and wide integers included, is what judging field by field gives."""
+    rng = random.Random(11)
+    t = '"timestamp":"2024-01-10T12:00:00Z"'
+
+    def space():
+        return rng.choice(["", "", "", " ", "\t", "\n "])
+
+    def listed(items, a, b):
+        text = f"{space()},{space()}".join(items)
+        return f"{a}{space()}{text}{rng.choice([''] * 20 + [','])}{space()}{b}"
+
+    texts = ['"a"', '""', '"q\\"\\\\\\/\\n"', '"\\u00e4"', '"\\ud83d\\ude00"', '"\\ud83d"', '"\\x"', '"ä漢😀"', '"{[,:"', '"a\nb"']
+    numbers = ["0", "-0", "7", "-7", "07", "1.0", "1.", ".5", "1e3", "1E+2", "1e400", "+1", "999999999999999999", str(2**63 - 1), str(2**63),
+               str(2**64 - 1), str(2**64), str(10**20), str(10**40), "0." + "1" * 30, "NaN", "4294967295", "4294967296"]
+    times = ['"2024-01-10T12:00:00Z"', '"2024-02-30T00:00:00Z"', '"x"', '"2024-01-10T12:00:00.1234+02:00"']
+
+    def value(depth):
+        kind = rng.randint(0, 9)
+        if depth and kind == 0:
+            return listed([value(depth - 1) for _ in range(rng.randint(0, 3))], "[", "]")
+        if depth and kind == 1:
+            return listed([f"{rng.choice(texts[:4])}:{value(depth - 1)}" for _ in range(rng.randint(0, 3))], "{", "}")
+        return rng.choice([rng.choice(texts), rng.choice(numbers), "null", "true", "false", rng.choice(times), "nul", "'a'"])
+
+    def right(kind):
+        if kind in ("time", "time?"):
+            return rng.choice(times)
+        if kind in ("u32", "u64", "double"):
+            return rng.choice(numbers)
+        if kind in ("doubles", "u64s"):
+            return listed([rng.choice([*numbers, "null"]) for _ in range(rng.randint(0, 2))], "[", "]")
+        if kind == "labels":
+            return listed([f"{rng.choice([x for x in texts if 'ud83d' not in x])}{space()}:{rng.choice([*texts, 'null'])}" for _ in range(rng.randint(0, 2))], "{", "}")
+        return rng.choice(texts)
+
+    def element(wire):
+        members = [t] if rng.random() < 0.9 else []
+        for _ in range(rng.randint(0, 3)):
+            name = rng.choice([*wire, "extra", "Extra", "note-ä", "span\\u005fid", rng.choice(list(wire)).upper()])
+            said = right(wire[name]) if name in wire and rng.random() < 0.9 else value(rng.choice([1, 2, 7]))
+            members.append(f'"{name}"{space()}:{space()}{said}')
+        rng.shuffle(members)
+        return listed(members, "{", "}")
+
+    def payload(wire):
+        if rng.random() < 0.5:
+            return space() + element(wire) + rng.choice([""] * 20 + [" ", " x", "}", ",{}"])
+        return listed([element(wire) for _ in range(rng.randint(1, 3))], "[", "]")
+
+    for signal in ("traces", "metrics", "incidents"):
+        wire = SIGNALS[signal].wire_columns
+        made = [payload(wire) for _ in range(500)]
+        sent = spark.createDataFrame([(f"p{n}", "t", v) for n, v in enumerate(made)], "payload_id string, source string, value string").cache()
+        settled = sent.select(F.count_if(F.col("value").rlike(payloads.plain_text(SIGNALS[signal])))).first()[0]
+        assert 60 < settled < 440
+
+        def outcome():
+            decoded = payloads.decode(sent, signal)
+            return sorted(map(repr, payloads.payload_counts(decoded).collect())), sorted(map(repr, payloads.accepted_rows(decoded, signal).collect()))
+
+        got = outcome()
+        monkeypatch.setattr(payloads, "plain_signature", lambda spec: "^never$")
+        monkeypatch.setattr(payloads, "plain_text", lambda spec: "^never$")
+        assert got == outcome()
+        monkeypatch.undo()
+        sent.unpersist()
+
+    # Neither types nor single fields are looked at for these.
+    monkeypatch.setattr(payloads, "plain_signature", lambda spec: "^never$")
+    monkeypatch.setattr(payloads, "_element", lambda kinds, typed, spec: F.struct(F.lit(payloads.INVALID).alias("status"), payloads._plain_element(typed, spec)["row"].alias("row")))
+    monkeypatch.setattr(payloads, "_any_case", lambda spec: F.lit(None))
+    plain = [f'{{"extra":{{"deep":[1,{{"x":null}}]}},"Note":"?",{t}}}', f'[{{{t}}}, {{{t},"duration_ns":{2**64 - 1}}}]', f'{{{t},"attributes":{{"Host":"\\"a\\""}}}}',
+             "[" + ",".join([f'{{{t},"operation_name":"{"x" * 50}"}}'] * 20_000) + "]", f'{{{t},"operation_name":"{"x" * 3_000_000}"}}']
+    sent = spark.createDataFrame([("p", "t", v) for v in plain], "payload_id string, source string, value string")
+    assert [r["status"] for r in payloads.decode(sent, "traces").select("status").collect()] == ["ok"] * len(plain)
