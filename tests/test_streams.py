@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
@@ -231,3 +232,61 @@ def test_ids_of_an_ingest_are_counted_without_moving_its_rows(spark, monkeypatch
     lines = spark.read.text(sources[0]).groupBy(F.input_file_name().alias("file"), "value").count()
     assert {r["count"] for r in lines.select("count").distinct().collect()} == {2}
     assert lines.filter("file NOT LIKE '%.gz'").isEmpty() and lines.groupBy("file").agg(F.sum("count").alias("n")).filter("n > 100").isEmpty()
+
+
+@pytest.mark.parametrize("name", ["x9_durable_counters"])
+def test_payload_files_of_a_stream_are_compressed_and_bounded(spark, monkeypatch, name):
+    from spanloom.plans import catalog
+
+    sources, real = set(), catalog.ingest.ingest
+    monkeypatch.setattr(catalog, "_LINES_PER_FILE", 700)
+    monkeypatch.setattr(catalog.ingest, "ingest", lambda s, source, *a, **k: sources.add(source) or real(s, source, *a, **k))
+    catalog.run(name, spark, SMALL).collect()
+    files = spark.read.text(sources.pop()).groupBy(F.input_file_name().alias("file")).count().collect()
+    assert not sources and len(files) > 7 and all(r["file"].endswith(".gz") and r["count"] <= 700 for r in files)
+
+
+def test_a_stream_deals_out_lines_of_compressed_files_and_leaves_no_shuffle_files(spark, tmp_path):
+    t = '"timestamp":"2024-01-10T12:00:00Z"'
+    lines = [f'{{{t},"span_id":"s{n}"}}' for n in range(400)] + [f'{{{t},"span_id":{n % 7}}}' for n in range(50)]
+    spark.createDataFrame([(x,) for x in lines], "value string").repartition(3).write.option("compression", "gzip").text(str(tmp_path / "in"))
+    spark._jvm.System.gc()
+    held = lambda: {f.getName() for f in _java_list(spark, spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, out = held(), tmp_path / "out"
+    run = ingest.ingest(spark, str(tmp_path / "in"), "traces", str(out / "t"), str(out / "r"), str(out / "c"), live=False, max_files_per_trigger=1, spread=True)
+    run.awaitTermination()
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(run._jsq.streamingQuery().lastExecution(), "simple")
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan
+    _until(lambda: not held() - before)  # files are deleted beside the driver's work
+    assert read_signal(spark, str(out / "t"), "traces").select("span_id").distinct().count() == 400
+    assert spark.read.parquet(str(out / "r")).select("payload_id").distinct().count() == 50
+
+
+def _java_list(spark, seq):
+    return list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(seq))
+
+
+def test_only_ids_that_are_named_are_numbered(spark, tmp_path, monkeypatch):
+    """Rows with ids of their own need no number for their payload; equal lines without stay apart."""
+    t = '"timestamp":"2024-01-10T12:00:00Z"'
+    own, nil = "6ba7b810-9dad-11d1-80b4-00c04fd430c8", "00000000-0000-0000-0000-000000000000"
+    sent = {
+        "traces": [f'{{{t},"span_id":"a"}}'] * 3 + ['{"span_id":7}'] * 3,
+        "alert_triggers": [f'{{{t},"trigger_id":"{own}"}}'] * 3 + [f'{{{t}}}'] * 3 + [f'[{{{t},"trigger_id":"{own}"}},{{{t},"trigger_id":"{nil}"}}]'] * 3 + ["[]"] * 3,
+        "logs": [f'{{{t}}}'] * 3,
+    }
+    counted, real = [], ingest.number_copies
+    monkeypatch.setattr(ingest, "number_copies", lambda df: counted.append(df.count()) or real(df))
+    for signal, lines in sent.items():
+        (tmp_path / signal).mkdir()
+        (tmp_path / signal / "a.json").write_text("\n".join(lines) + "\n")
+        out = tmp_path / "out" / signal
+        ingest.ingest(spark, str(tmp_path / signal), signal, str(out / "t"), str(out / "r"), str(out / "c"), live=False).awaitTermination()
+    assert counted == [3, 9, 3]
+    tables = {s: read_signal(spark, str(tmp_path / "out" / s / "t"), s) for s in sent}
+    assert tables["traces"].count() == 3
+    ids = [r["trigger_id"] for r in tables["alert_triggers"].collect()]
+    assert ids.count(own) == 6 and nil not in ids and len(ids) == 12 and len(set(ids)) == 7
+    assert tables["logs"].select("log_id").distinct().count() == 3
+    for signal in ("traces", "alert_triggers"):
+        assert spark.read.parquet(str(tmp_path / "out" / signal / "r")).select("payload_id").distinct().count() == 3
