@@ -234,7 +234,7 @@ def test_ids_of_an_ingest_are_counted_without_moving_its_rows(spark, monkeypatch
     assert lines.filter("file NOT LIKE '%.gz'").isEmpty() and lines.groupBy("file").agg(F.sum("count").alias("n")).filter("n > 100").isEmpty()
 
 
-@pytest.mark.parametrize("name", ["x9_durable_counters"])
+@pytest.mark.parametrize("name", ["x2_bounded_intake", "x9_durable_counters"])
 def test_payload_files_of_a_stream_are_compressed_and_bounded(spark, monkeypatch, name):
     from spanloom.plans import catalog
 
