@@ -290,3 +290,17 @@ def test_only_ids_that_are_named_are_numbered(spark, tmp_path, monkeypatch):
     assert tables["logs"].select("log_id").distinct().count() == 3
     for signal in ("traces", "alert_triggers"):
         assert spark.read.parquet(str(tmp_path / "out" / signal / "r")).select("payload_id").distinct().count() == 3
+
+
+def test_batches_of_the_ingest_of_small_files_are_bounded(spark, monkeypatch):
+    from spanloom.plans import catalog
+
+    runs, real = [], catalog.ingest.ingest
+    monkeypatch.setattr(catalog, "_LINES_PER_PACKED_FILE", 100)
+    monkeypatch.setattr(catalog, "_PACKED_FILES_PER_BATCH", 6)
+    monkeypatch.setattr(catalog.ingest, "ingest", lambda *a, **k: runs.append(real(*a, **k)) or runs[-1])
+    found = catalog.run("x1_ingest_stream", spark, SMALL)
+    n = found.count()
+    assert n > 1000 and found.filter("rows_of_id <> 1").isEmpty()
+    batches = [p["numInputRows"] for p in runs[0].recentProgress if p["numInputRows"]]
+    assert sum(batches) == n and max(batches) <= 600 and not [p for p in runs[1].recentProgress if p["numInputRows"]]
