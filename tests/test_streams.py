@@ -276,7 +276,7 @@ def test_only_ids_that_are_named_are_numbered(spark, tmp_path, monkeypatch):
         "logs": [f'{{{t}}}'] * 3,
     }
     counted, real = [], ingest.number_copies
-    monkeypatch.setattr(ingest, "number_copies", lambda df: counted.append(df.count()) or real(df))
+    monkeypatch.setattr(ingest, "number_copies", lambda df, named: counted.append(df.filter(named).count()) or real(df, named))
     for signal, lines in sent.items():
         (tmp_path / signal).mkdir()
         (tmp_path / signal / "a.json").write_text("\n".join(lines) + "\n")
